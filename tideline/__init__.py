@@ -1,0 +1,13 @@
+"""Temporal stream analytics on Spark, and operators for training data."""
+
+from __future__ import annotations
+
+import os
+
+
+def find_package(spark) -> None:
+    """Let Python workers look for this package where the driver has it; a cluster may bring it by ``--py-files`` instead."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (here, paths) if x)
