@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import quality
+from tideline.llm import bpe, near_dedup, packing, quality, secrets, suffix_dedup
 from tideline.llm.common import read
 
 
@@ -14,9 +15,36 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(read(spark, sf_dir, "documents"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(read(spark, sf_dir, "documents"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality}
+    return {
+        "op1_quality": op1_quality,
+        "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_near_dedup": op5_near_dedup,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op8_secrets": op8_secrets,
+        "op9_packing": op9_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.oracle()}
+    return {"op1_quality": quality.oracle(), "op8_secrets": secrets.oracle()}
