@@ -30,6 +30,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tideline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that the table replaces
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
@@ -79,25 +80,38 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _words(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, text indexes of all words, and the prefix sums of the polynomial hash."""
+    data = np.frombuffer(b" ".join(encoded) + b" ", dtype=np.uint8)
+    change = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
+    starts, ends = change[0::2], change[1::2]
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(BYTES[data] * _power_tables(len(data))[0][: len(data)], out=sums[1:])
+    limits = np.cumsum([len(e) + 1 for e in encoded])
+    return starts, ends, np.searchsorted(limits, starts, side="right"), sums
+
+
+def _hashed(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return splitmix((sums[ends] - sums[starts]) * _power_tables(1)[1][starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, and the words' text indexes.
 
     A polynomial over the bytes with an odd base modulo 2**64: a prefix sum gives every word's hash
     at once, times the inverse power of where the word starts.
     """
-    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" ".join(encoded) + b" ", dtype=np.uint8)
-    space = _SPACE[data]
-    change = np.flatnonzero(np.diff(space, prepend=True))
-    starts, ends = change[0::2], change[1::2]
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    power, inverse = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTES[data] * power[: len(data)], out=sums[1:])
-    hashes = splitmix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    limits = np.cumsum([len(e) + 1 for e in encoded])
-    return hashes, np.searchsorted(limits, starts, side="right")
+    starts, ends, text, sums = _words([t.encode("utf-8", "surrogatepass") for t in texts])
+    return _hashed(sums, starts, ends), text
+
+
+def word_prefix_hashes(encoded: list[bytes], prefixes: tuple[int, ...]):
+    """Hashes and text indexes of all words, then of the words' beginnings of each length in bytes that they exceed."""
+    starts, ends, text, sums = _words(encoded)
+    yield _hashed(sums, starts, ends), text
+    for size in prefixes:
+        own = ends - starts > size
+        yield splitmix(_hashed(sums, starts[own], starts[own] + size)), text[own]
 
 
 def by_size(texts, limit: int = 1 << 20):

@@ -12,7 +12,9 @@ anchors are sorted, which loses nothing:
    then by the block's fingerprint, and compared with their neighbours. Splitters fall between
    different leading tokens, so no two equal suffixes lie on two sides of a boundary. A block that
    has an equal neighbour repeats as a whole; one whose leading tokens nobody shares cannot repeat;
-3. the few between (edges of repeated passages) have each of their strings looked up.
+3. The few between (edges of repeated passages) are taken apart: first into cells of ``CELL``
+   neighbouring strings, of which only those whose common core is found elsewhere go on, and then
+   into single strings, which are looked up.
 
 Blocks that repeat inside a map batch are combined before the shuffle, so a passage that a third of
 all documents share reaches a bucket once a batch. Fingerprints have 64 bits for anchors, 128 for
@@ -30,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ from tideline.llm.common import BYTES, by_size, materialize, shuffle_partitions,
 
 WIDTH = 200
 GRAM = 64
+CELL = 8
 _MULTIPLIERS = splitmix(np.arange(101, 117, dtype=np.uint64)) | np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -79,13 +81,13 @@ def _smallest(keys: np.ndarray, window: int) -> np.ndarray:
 
 
 def blocks(texts: list[bytes], width: int = WIDTH) -> dict[str, np.ndarray]:
-    """Each block of each text: text index, first start, number of further starts, fingerprints."""
+    """Each block of each text: text index, first start, number of further starts, the anchor's place after the first start, fingerprints."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(lengths)
     empty = np.zeros(0, dtype=np.int64)
     if not len(data) or lengths.max() < width:
-        return {"text": empty, "start": empty, "more": empty, "lead": empty, "block": empty}
+        return {"text": empty, "start": empty, "more": empty, "turn": empty, "lead": empty, "block": empty}
     prints = Fingerprints(data)
     key = (prints.grams & ~_LOW) | np.arange(len(prints.grams), dtype=np.uint64)
     anchor = (_smallest(key, width - GRAM + 1) & _LOW).astype(np.int64)
@@ -102,7 +104,7 @@ def blocks(texts: list[bytes], width: int = WIDTH) -> dict[str, np.ndarray]:
     lead = data[at].astype(np.uint64) << np.uint64(56) | data[at + 1].astype(np.uint64) << np.uint64(48) | splitmix(prints.grams[at]) >> np.uint64(16)
     (h, _), (_, g) = prints.at(first, width), prints.at(last, width)
     block = splitmix(h * _MULTIPLIERS[13] + g * _MULTIPLIERS[14] + (last - first).astype(np.uint64) * np.uint64(1009) + (at - first).astype(np.uint64))
-    return {"text": text, "start": first - (ends - lengths)[text], "more": last - first, "lead": lead.view(np.int64), "block": block.view(np.int64)}
+    return {"text": text, "start": first - (ends - lengths)[text], "more": last - first, "turn": at - first, "lead": lead.view(np.int64), "block": block.view(np.int64)}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -116,11 +118,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-ANCHOR = "k1 long, k2 long, start int, more int, lead long, block long, many boolean, known boolean"
+BLOCK = "bucket int, lead long, block long, k1 long, k2 long, start int, more int, turn int, many boolean, known boolean"
+_COLUMNS = [c.split()[0] for c in BLOCK.split(", ")]
 
 
-def anchors(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Blocks for comparison, and spans that the map batch itself knows to repeat (``known``)."""
+def _anchors(documents: DataFrame, width: int, splitters: np.ndarray) -> DataFrame:
+    """Blocks for comparison with their buckets, and spans that the map batch itself knows to repeat (``known``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -144,12 +147,20 @@ def anchors(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                     run_no = (~(same & (spans["start"] <= end.shift()))).cumsum()
                     spans = spans.assign(end=end).groupby(run_no).agg(k1=("k1", "first"), k2=("k2", "first"), start=("start", "min"), end=("end", "max"))
                     spans["more"] = spans["end"] - spans["start"] - width
-                    rows.append(spans.assign(lead=0, block=0, many=True, known=True))
+                    rows.append(spans.assign(lead=spans["k1"], block=0, turn=0, many=True, known=True))
                 for r in rows:
-                    yield r[["k1", "k2", "start", "more", "lead", "block", "many", "known"]]
+                    yield r.assign(bucket=np.searchsorted(splitters, r["lead"].to_numpy(), side="right"))[_COLUMNS]
 
     texts = documents.where(F.octet_length("text") >= width).select(*text_key(F.col("text")), "text")
-    return texts.mapInPandas(run, ANCHOR)
+    return texts.mapInPandas(run, BLOCK)
+
+
+def splitters(documents: DataFrame, width: int, buckets: int, one_in: int = 64) -> np.ndarray:
+    """Leading tokens that part the suffixes into even ranges, from a sample of the texts; as many as buckets, so they may come to the driver."""
+    picked = documents.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(one_in)) == 0)
+    shares = [i / buckets for i in range(1, buckets)]
+    found = _anchors(picked, width, np.zeros(0, dtype=np.int64)).where("not known").agg(F.expr(f"approx_percentile(lead, array({','.join(map(repr, shares))}), 1000)") if shares else F.lit(None)).first()[0]
+    return np.unique(np.array(found or [], dtype=np.int64))
 
 
 def _long_blocks(text: bytes, width: int) -> dict[str, np.ndarray]:
@@ -165,7 +176,7 @@ def _long_blocks(text: bytes, width: int) -> dict[str, np.ndarray]:
 WHOLE, EDGE, EXAMPLE = 1, 2, 3
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A bucket's blocks, sorted by (lead, block), against their neighbours.
 
     WHOLE: has an equal block. EDGE: alone, but shares its leading tokens. EXAMPLE: one of each
@@ -174,7 +185,10 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
     """
     carry = None
     for batch in batches:
-        x = batch.assign(done=False, shown=False)
+        known = batch["known"].to_numpy(dtype=bool)
+        if known.any():
+            yield batch.loc[known, ["k1", "k2", "start", "more", "turn"]].assign(kind=WHOLE)
+        x = batch[~known].drop(columns=["bucket", "known"]).assign(done=False, shown=False)
         x = x if carry is None else pd.concat([carry, x], ignore_index=True)
         carry, out = _compare(x, final=False)
         yield out
@@ -208,49 +222,79 @@ def _compare(x: pd.DataFrame, final: bool) -> tuple[pd.DataFrame | None, pd.Data
                 before = x.iloc[[head[last - 1]]].assign(done=True, many=bool(many[last - 1]), shown=True)
                 row = pd.concat([before, row], ignore_index=True)
             carry = row
-    locate = ["k1", "k2", "start", "more"]
+    locate = ["k1", "k2", "start", "more", "turn"]
     own = x.loc[kind > 0, locate].assign(kind=kind[kind > 0])
     shown_rows = x.iloc[head[example]][locate].assign(kind=EXAMPLE)
     return carry, pd.concat([own, shown_rows])
 
 
-def strings(edges: DataFrame, width: int) -> DataFrame:
-    """Every string of the blocks in ``edges`` (text and places): two fingerprints and its start."""
+def _taken(edges: DataFrame, width: int) -> DataFrame:
+    """The bytes of the blocks in ``edges`` (texts and places in them)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k1, k2, text, places in zip(batch["k1"], batch["k2"], batch["text"], batch["places"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                at, n = np.array([p["start"] for p in places]), np.array([p["more"] for p in places]) + 1
-                example = np.repeat(np.array([p["kind"] == EXAMPLE for p in places]), n)
-                starts = np.arange(n.sum()) + np.repeat(at - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-                parts = []
-                for begin in range(0, len(data), 1 << 20):
-                    own = (starts >= begin) & (starts < begin + (1 << 20))
-                    if own.any():
-                        h, g = Fingerprints(np.frombuffer(data[begin : begin + (1 << 20) + width], dtype=np.uint8)).at(starts[own] - begin, width)
-                        parts.append(pd.DataFrame({"h": h.view(np.int64), "g": g.view(np.int64), "k1": k1, "k2": k2, "start": starts[own].astype(np.int32), "example": example[own]}))
-                yield from parts
+                rows = [(p["start"], p["more"], p["turn"], p["kind"] == EXAMPLE, data[p["start"] : p["start"] + p["more"] + width]) for p in places]
+                x = pd.DataFrame(rows, columns=["start", "more", "turn", "example", "bytes"])
+                x.insert(0, "k1", k1)
+                x.insert(1, "k2", k2)
+                yield x
+
+    return edges.select("k1", "k2", "text", "places").mapInPandas(run, "k1 long, k2 long, start int, more int, turn int, example boolean, bytes binary")
+
 
-    return edges.select("k1", "k2", "text", "places").mapInPandas(run, "h long, g long, k1 long, k2 long, start int, example boolean")
+def _parts(taken: DataFrame, width: int, whole: bool) -> DataFrame:
+    """The cells of blocks, by the fingerprints of their cores; or the single strings of the given ``cells``, by their own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for begin in range(0, len(batch), 2000):
+                b = batch.iloc[begin : begin + 2000]
+                at = np.concatenate([[0], np.cumsum(b["bytes"].map(len).to_numpy())])[:-1]
+                low, high = (b["turn"] - b["more"]).to_numpy(), b["turn"].to_numpy()  # places before the anchor
+                if whole:
+                    first, n = low // CELL, high // CELL - low // CELL + 1
+                    row = np.repeat(np.arange(len(b)), n)
+                    cell = np.arange(len(row)) + np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+                else:
+                    row = np.repeat(np.arange(len(b)), b["cells"].map(len).to_numpy())
+                    cell = np.concatenate([np.asarray(c) for c in b["cells"]])
+                    row, cell = np.repeat(row, CELL), np.repeat(cell, CELL)
+                    place = cell * CELL + np.tile(np.arange(CELL), len(cell) // CELL)
+                    own = (place >= low[row]) & (place <= high[row])
+                    row, cell, place = row[own], cell[own], place[own]
+                shift = cell * CELL if whole else place
+                prints = Fingerprints(np.frombuffer(b"".join(b["bytes"]), dtype=np.uint8))
+                h, g = prints.at(at[row] + high[row] - shift, width - CELL + 1 if whole else width)
+                x = pd.DataFrame({"h": (h ^ splitmix(shift.astype(np.uint64))).view(np.int64), "g": g.view(np.int64)})
+                for c in ("k1", "k2", "start", "turn", "example"):
+                    x[c] = b[c].to_numpy()[row]
+                x["part"] = shift // CELL if whole else (b["start"].to_numpy()[row] + high[row] - shift)
+                yield x.drop(columns="turn")
+
+    return taken.mapInPandas(run, "h long, g long, k1 long, k2 long, start int, example boolean, part int")
+
+
+def _found_again(parts: DataFrame) -> DataFrame:
+    """h, g of the parts that are found twice; copies of a text all have its parts as an example's, so those that aren't examples come from one place each."""
+    again = parts.groupBy("h", "g").agg(F.max("example").alias("example"), F.sum(F.when(F.col("example"), 0).otherwise(1)).alias("n"))
+    return again.where("n >= 1 and (example or n >= 2)").select("h", "g")
 
 
 def repeated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """k1, k2 and spans (arrays of start, end in bytes) of the texts in which something repeats."""
-    found = materialize(anchors(documents, width), "anchors")
     n = shuffle_partitions(documents.sparkSession)
-    suffixes = found.where("not known").select("lead", "block", "k1", "k2", "start", "more", "many")
-    suffixes = suffixes.repartitionByRange(n, "lead").sortWithinPartitions("lead", "block")
-    judged = materialize(suffixes.mapInPandas(compare, "k1 long, k2 long, start int, more int, kind int"), "suffixes")
-    places = judged.where(f"kind in ({EDGE}, {EXAMPLE})").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "more", "kind")).alias("places"))
+    suffixes = _anchors(documents, width, splitters(documents, width, n)).repartitionById(n, "bucket").sortWithinPartitions("lead", "block")
+    judged = materialize(suffixes.mapInPandas(compare, "k1 long, k2 long, start int, more int, turn int, kind int"), "suffixes")
+    places = judged.where(f"kind in ({EDGE}, {EXAMPLE})").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "more", "turn", "kind")).alias("places"))
     texts = documents.where(F.octet_length("text") >= width).select(*text_key(F.col("text")), "text")
-    single = materialize(strings(texts.join(places, ["k1", "k2"]), width), "strings")
-    # copies of a text all have its strings; those that must be found twice come from one text alone
-    again = single.groupBy("h", "g").agg(F.max("example").alias("example"), F.sum(F.when(F.col("example"), 0).otherwise(1)).alias("n"))
-    again = again.where("n >= 1 and (example or n >= 2)").select("h", "g")
-    edge = single.where("not example").join(again, ["h", "g"]).select("k1", "k2", "start", (F.col("start") + width).alias("end"))
-    span = ["k1", "k2", "start", (F.col("start") + F.col("more") + width).alias("end")]
-    every = found.where("known").select(*span).unionByName(judged.where(f"kind = {WHOLE}").select(*span)).unionByName(edge)
+    taken = materialize(_taken(texts.join(places, ["k1", "k2"]), width), "blocks")
+    cells = materialize(_parts(taken, width, whole=True), "cells")
+    chosen = cells.join(_found_again(cells), ["h", "g"]).groupBy("k1", "k2", "start", "example").agg(F.collect_set("part").alias("cells"))
+    single = materialize(_parts(taken.join(chosen, ["k1", "k2", "start", "example"]), width, whole=False), "strings")
+    edge = single.where("not example").join(_found_again(single), ["h", "g"]).select("k1", "k2", F.col("part").alias("start"), (F.col("part") + width).alias("end"))
+    every = judged.where(f"kind = {WHOLE}").select("k1", "k2", "start", (F.col("start") + F.col("more") + width).alias("end")).unionByName(edge)
     return every.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
