@@ -11,8 +11,9 @@ Registers form bands; texts that agree in a band are candidates, and a pair is l
 multiset overlap is ``similarity`` or more. Classes are the components of the links. Inside a band's
 bucket no pairs are listed: every text is compared with one hub of its bucket, over several
 rounds with other hubs; texts that are in the hub's component by then need no further proof. For buckets
-that still hold several components, all pairs across components are verified, so no link between
-texts of different classes is lost.
+that still hold several components, the pairs across components are verified too, so no link between
+texts of different classes is lost, except those that the similarity rules out before: shingles that
+no other text has bound a text's overlap with any other.
 
 Equal texts are one node, so copies cost one row each. Node ids are 64-bit hashes of texts.
 
@@ -156,35 +157,53 @@ def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = B
     wanted = rows.select("id").distinct()
     texts = documents.where(F.length(F.trim("text")) > 0).select(F.xxhash64("text").alias("id"), "text")
     bag = materialize(bags(texts.join(wanted, "id"), words), "bags")
-    near = F.least("n", "m") >= similarity * F.greatest("n", "m")
+    # cells that no other text has: what they leave, e, bounds every overlap, so J <= e / n
+    single = bag.select("id", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    single = single.groupBy("id").agg(F.count("*").alias("c"))
+    rows = rows.join(single, "id", "left").withColumn("e", F.col("n") - F.coalesce("c", F.lit(0))).drop("c").where(F.col("e") >= similarity * F.col("n"))
+    rows = materialize(rows.select("band", "id", "n", "e"), "buckets")
+    ratio = similarity / (1 + similarity)
+    near = (F.least("n", "m") >= similarity * F.greatest("n", "m")) & (F.least("e", "f") >= ratio * (F.col("n") + F.col("m")) - 1e-6)
     found, roots, tried = None, None, None
     state = rows.withColumn("root", F.col("id"))
     for k in range(rounds + 1):
-        mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("r"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("root").alias("hub_root"))).alias("x"))
-        mixed = mixed.where("low <> high").select("band", "x.hub", "x.m", "x.hub_root")
+        # the hub is the text with the least of its own: the likely origin of its bucket's copies
+        hub = F.min(F.struct(((F.col("n") - F.col("e")) / F.col("n") if k == 0 else F.lit(0.0)).alias("own"), F.xxhash64("id", F.lit(k)).alias("r"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("e").alias("f"), F.col("root").alias("hub_root")))
         if k < rounds:
+            mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub.alias("x")).where("low <> high").select("band", "x.hub", "x.m", "x.f", "x.hub_root")
             pairs = state.join(mixed, "band").where("root <> hub_root").where(near).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
         else:
-            rest = materialize(state.join(mixed.select("band"), "band"), "rest")
-            other = rest.select("band", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("root").alias("hub_root"))
-            pairs = rest.join(other, "band").where("root < hub_root").where(near).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
+            pairs = _across(state, near, ratio)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            if k < rounds:
-                continue
-            break
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = materialize(verified(pairs, bag, similarity), "links")
         found = new if found is None else found.unionByName(new)
         roots = materialize(components(found), "roots")
-        if k < rounds:
-            state = rows.join(roots, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
+        state = rows.join(roots, "id", "left").select("band", "id", "n", "e", F.coalesce("root", "id").alias("root"))
     return roots if roots is not None else rows.select("id", F.col("id").alias("root")).limit(0)
 
 
+def _across(state: DataFrame, near, ratio: float) -> DataFrame:
+    """The pairs of buckets that still hold several components, across components, that could reach the similarity.
+
+    Of such a pair the smaller text, at least, could be as similar to a text of its own size ("common"). A text that
+    isn't common can only pair with one that is smaller than ``most``; it goes if its bucket has none.
+    """
+    state = state.withColumn("most", F.col("e") / ratio - F.col("n")).withColumn("common", F.col("most") >= F.col("n") - 1e-6)
+    least = state.groupBy("band").agg(F.min(F.when(F.col("common"), F.col("n"))).alias("least"))
+    open_ = state.join(least, "band").where(F.col("common") | (F.col("most") >= F.col("least") - 1e-6)).drop("least")
+    mixed = open_.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    rest = materialize(open_.join(mixed, "band"), "rest")
+    small = rest.where("common").select("band", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("e").alias("f"), F.col("root").alias("hub_root"))
+    pairs = rest.join(small, "band").where("root <> hub_root and (m < n or m = n and hub < id)").where(near)
+    return pairs.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
+
+
 def classes(documents: DataFrame, **parameters) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), class_size and whether the document is the one of its class that stays."""
     return _classes(documents, **parameters).select("doc_id", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"))
