@@ -7,12 +7,14 @@ the tokenizers library. The cache is emptied when it is full, which changes spee
 
 from __future__ import annotations
 
+import os
 import re
 
+# one thread a task: Spark runs as many tasks as there are cores
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: White space as the tokenizers see it (Unicode White_Space; not the separators \x1c-\x1f).
 SPACE = "\t-\r \x85\xa0  -     　"
 WITH_SPACE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WITHOUT_SPACE = re.compile(f"[^{SPACE}]+")
-CACHE = 400_000
-#: White space to str.split, but not to the tokenizers.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+CACHE = 250_000

@@ -14,45 +14,57 @@ An empty table gives an empty result. Extra columns aren't carried.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.chunks import CACHE, SEPARATORS, WITHOUT_SPACE
+from tideline.llm.bpe import byte_table
+from tideline.llm.chunks import CACHE, WITHOUT_SPACE
 from tideline.llm.common import by_size, materialize, shuffle_partitions
 
 LENGTH = 2048
 END_ID = 1
 
 
+#: Letters and numbers below U+0250, where lower case and composition depend on single characters only.
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+#: What needs the library's whole pipeline: other characters, special tokens, separators that aren't white space to it.
+ODD = re.compile("[\x1c-\x1f]|[^\x00-\u024f]|<\\|")
+
+
 class WordBpe:
-    """The ids of whole texts by a tokenizers file that drops white space and ends words."""
+    """The ids of whole texts by a tokenizers file that drops white space and ends words.
+
+    Pieces that are new to the worker are encoded by the library and kept in a bounded cache, which
+    is emptied when it is full; ids are then gathered from one array. Chunks with odd characters go
+    through the library's whole pipeline.
+    """
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.odd = regex.compile("[\x1c-\x1f]|[^\x00-ɏ]|<\\|")
+        self.whole = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.whole.model)
+        self.chars = str.maketrans({chr(b): c for b, c in enumerate(byte_table())})
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 16, dtype=np.int64)
         self.n = 0
 
-    def _append(self, chunks: list[str], ids: list[list[int]]) -> None:
+    def _append(self, keys: list[str], ids: list[list[int]]) -> None:
         first, base = self.n, int(self.ends[self.n - 1]) if self.n else 0
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = base + np.cumsum(sizes)
+        ends = base + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
         total = int(ends[-1])
         while total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -60,38 +72,43 @@ class WordBpe:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.flat[base:total] = np.fromiter((i for x in ids for i in x), np.uint32, total - base)
         self.ends[first : first + len(ids)] = ends
-        self.at.update(zip(chunks, range(first, first + len(ids)), strict=True))
+        self.at.update(zip(keys, range(first, first + len(ids)), strict=True))
         self.n += len(ids)
 
-    def learn(self, chunks: set[str]) -> None:
-        """Chunks of plain Latin letters are split here and their pieces encoded once each; others go to the library whole."""
-        plain = [c for c in chunks if not self.odd.search(c)]
-        odd = [c for c in chunks if self.odd.search(c)]
-        lists = [self.split.findall(c.lower()) for c in plain]
-        new = list({p for found in lists for p in found if p not in self.pieces})
-        if len(self.pieces) + len(new) > CACHE:
-            self.pieces.clear()
-            new = list({p for found in lists for p in found})
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            self.pieces.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        known = self.pieces
-        if plain:
-            self._append(plain, [[i for p in found for i in known[p]] for found in lists])
+    def learn(self, new: list[str]) -> None:
+        """Encode pieces, and chunks marked by a leading zero, into the cache."""
+        plain, odd = [p for p in new if p[0] != "\0"], [p for p in new if p[0] == "\0"]
+        for start in range(0, len(plain), 8192):
+            part = plain[start : start + 8192]
+            mapped = [p.encode().decode("latin-1").translate(self.chars) for p in part]
+            self._append(part, [e.ids for e in self.model.encode_batch_fast(mapped, add_special_tokens=False)])
         if odd:
-            self._append(odd, [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)])
+            self._append(odd, [e.ids for e in self.whole.encode_batch_fast([c[1:] for c in odd], add_special_tokens=False)])
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        if not ODD.search(text) and "\0" not in text:
+            return PIECES.findall(text.lower())
+        out = []
+        for chunk in WITHOUT_SPACE.findall(text):
+            if ODD.search(chunk) or "\0" in chunk:
+                out.append("\0" + chunk)
+            else:
+                out += PIECES.findall(chunk.lower())
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids end."""
-        split = [WITHOUT_SPACE.findall(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        new = {c for chunks in split for c in chunks if c not in self.at}
+        split = [self.split(t) for t in texts]
+        every = list(chain.from_iterable(split))
+        new = set(every).difference(self.at)
         if self.n + len(new) > CACHE:
             self.clear()
-            new = {c for chunks in split for c in chunks}
+            new = set(every)
         if new:
-            self.learn(new)
+            self.learn(list(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        rows = np.fromiter((self.at[c] for chunks in split for c in chunks), np.int64, int(counts.sum()))
+        rows = np.fromiter(map(self.at.__getitem__, every), np.int64, len(every))
         starts = np.where(rows > 0, self.ends[rows - 1], 0)
         sizes = self.ends[rows] - starts
         upto = np.concatenate([[0], np.cumsum(sizes)])
