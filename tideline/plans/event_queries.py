@@ -1,15 +1,326 @@
-"""Queries over the ``events`` table."""
+"""Queries over the ``events`` table: one for each operator, with SQL that gives the same rows.
+
+Each user is a timeline of its own; time is microseconds since the table's epoch, 2024-01-01, so that
+tick 0 comes before all events. Values are whole cents.
+"""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.functions.expr import Lit, apply, function
+from tideline.functions.scalars import ite, option_flat_map, option_map, option_map2
+from tideline.functions.types import BOOL, FLOAT, INT, STRING, UNIT, FrozenMap, list_of, map_of
+from tideline.operators import library as L
+from tideline.operators.graph import Input, Stream
+from tideline.operators.lowering import events as trace_of
+from tideline.operators.lowering import outputs
+from tideline.operators.timeline import Timeline, from_events
+
+EPOCH = datetime.datetime(2024, 1, 1)
+HOUR = 3_600_000_000
+DAY = 24 * HOUR
+TYPES = ("click", "view", "purchase", "error", "signup")
+
+#: Input streams by name: each event type's cents, and what every event has.
+STREAMS = {**dict.fromkeys(TYPES, INT), "cents": INT, "price": FLOAT, "kind": STRING, "number": INT, "big": BOOL, "any": UNIT}
+
+
+def user_timelines(spark: SparkSession, sf_dir: str, split: bool = False) -> Timeline:
+    """A timeline of each user's events; scans only the columns that the query's streams read."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ts = F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    cents = F.round(F.col("value") * 100).cast("long")
+    columns = {t: F.when(F.col("event_type") == t, cents) for t in TYPES}
+    columns |= {"cents": cents, "price": F.col("value"), "kind": F.col("event_type"), "number": F.col("event_id"), "big": cents > 5000, "any": F.lit(True)}
+    # the table's timestamps are unique
+    return from_events(df, columns, ("user_id",), ts, unique=True, split=split)
+
+
+class Streams(dict):
+    """Input streams by attribute."""
+
+    def __init__(self) -> None:
+        super().__init__({n: Input(n, t) for n, t in STREAMS.items()})
+
+    def __getattr__(self, name: str) -> Input:
+        return self[name]
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+_BASE = f"""with e as (select user_id, epoch_us(ts) - 1704067200000000 as ts, event_type, event_id, "value", cast(round("value" * 100) as bigint) as cents from events),
+s as (select user_id, ts, cents, "value" as price, event_type as kind, event_id as number, cents > 5000 as big, true as any_, {", ".join(f"case when event_type = '{t}' then cents end as {t}" for t in TYPES)} from e)"""
+
+
+def strict(x: str) -> str:
+    return f"last_value({x} ignore nulls) over (partition by user_id order by ts rows between unbounded preceding and 1 preceding)"
+
+
+def upto(x: str, f: str = "last_value") -> str:
+    ignore = " ignore nulls" if f == "last_value" else ""
+    return f"{f}({x}{ignore}) over (partition by user_id order by ts rows between unbounded preceding and current row)"
+
+
+def _zero(value: str) -> str:
+    return f" union all select distinct user_id, 0::bigint, {value} from s"
+
+
+def query(name: str, make: Callable[[Streams], Stream | dict[str, Stream]], sql: str | None, split: bool = False) -> None:
+    """``sql`` continues the common table expressions ``e`` (events) and ``s`` (streams)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = make(Streams())
+        return outputs(made if isinstance(made, dict) else {"out": made}, user_timelines(spark, sf_dir, split))
+
+    _QUERIES[name] = run
+    if sql is not None:
+        _SQL[name] = _BASE + sql
+
+
+def simple(name: str, make: Callable, value: str, where: str = "true", zero: str | None = None, split: bool = False) -> None:
+    """SQL of one column ``out`` over ``s``; ``zero`` is the value at tick 0."""
+    query(name, make, f", t as (select user_id, ts, {value} as out, {where} as ok from s) select user_id, ts, out from t where ok and out is not null" + (_zero(zero) if zero is not None else ""), split)
+
+
+def two_steps(name: str, make: Callable, first: str, value: str, where: str = "true", zero: str | None = None) -> None:
+    query(name, make, f", m as (select *, {first} from s), t as (select user_id, ts, {value} as out, {where} as ok from m) select user_id, ts, out from t where ok and out is not null" + (_zero(zero) if zero is not None else ""))
+
+
+# core
+query("last_click_at_purchase", lambda s: {"click_cents": L.last(s.click, s.purchase)}, f", t as (select user_id, ts, {strict('click')} as click_cents, purchase from s) select user_id, ts, click_cents from t where purchase is not null and click_cents is not null")
+simple("nil_merge", lambda s: L.merge(L.nil(), s.click), "click")
+simple("default_at_zero", lambda s: L.default(s.click, -1), "click", zero="-1")
+two_steps("default_from", lambda s: L.default_from(s.purchase, s.view), f"{upto('coalesce(purchase, view)', 'count')} as seen", "case when purchase is not null then purchase when seen = 1 then view end")
+simple("time_of_event", lambda s: L.time(s.error), "ts", "error is not null")
+simple("lift_exclusive", lambda s: L.lift(lambda a, b: ite(apply("isSome", a), a, b), s.click, s.view), "coalesce(click, view)")
+two_steps("lift3_sum", lambda s: L.lift3(lambda a, b, c: apply("Some", apply("getSomeOrElse", a, 0) + 2 * apply("getSomeOrElse", b, 0) + 3 * apply("getSomeOrElse", c, 0)), s.click, s.view, s.error), "1 as one", "coalesce(click, 0) + 2 * coalesce(view, 0) + 3 * coalesce(error, 0)", "coalesce(click, view, error) is not null")
+simple("delayed_last", lambda s: L.last(s.click, L.delay(L.const(6 * HOUR, s.click), s.click)), "null::bigint")
+_SQL["delayed_last"] = _BASE + f""", h as (select user_id, max(ts) as h from s group by user_id),
+d as (select user_id, ts + {6 * HOUR} as ts, click as out, lead(ts) over (partition by user_id order by ts) as nxt from s where click is not null)
+select d.user_id, d.ts, d.out from d join h using (user_id) where d.ts <= h and (nxt is null or d.ts < nxt)"""  # a click at the very tick of the firing would still leave last the click before; no two differ by 6 h to the microsecond
+
+# signal lifts
+simple("on_click_at_purchase", lambda s: L.on(s.purchase, s.click), upto("click"), "purchase is not null")
+two_steps("slift_sum_two_signals", lambda s: s.click + s.view, f"{upto('click')} as a, {upto('view')} as b", "a + b", "coalesce(click, view) is not null")
+two_steps("slift3", lambda s: L.slift3(lambda a, b, c: a * 2 + b - c, s.click, s.view, s.error), f"{upto('click')} as a, {upto('view')} as b, {upto('error')} as c", "a * 2 + b - c", "coalesce(click, view, error) is not null")
+two_steps("slift5", lambda s: L.slift5(lambda a, b, c, d, e: a + b + c + d + e, *(s[t] for t in TYPES)), ", ".join(f"{upto(t)} as l{t}" for t in TYPES), " + ".join(f"l{t}" for t in TYPES))
+two_steps("ite_signal", lambda s: ite(s.big, s.click, s.view), f"{upto('click')} as a, {upto('view')} as b", "case when big then a else b end", "a is not null and b is not null")
+simple("slift_curried", lambda s: L.slift1_curried(lambda a: a * 3)(s.view), "view * 3")
+simple("literal_signal", lambda s: 10_000 - s.cents, "10000 - cents")
 
+# filters, projections, merges
+simple("const_on_error", lambda s: L.const(1, s.error), "1::bigint", "error is not null")
+two_steps("first_of_two", lambda s: L.first(s.click, s.view), f"{upto('click')} as a, {upto('view')} as b", "a", "coalesce(click, view) is not null and b is not null")
+simple("prev_value", lambda s: L.prev(s.cents), strict("cents"))
+simple("merge_click_view", lambda s: L.merge(s.click, s.view), "coalesce(click, view)")
+simple("merge_all", lambda s: L.merge5(s.error, s.signup, s.click, s.view, s.purchase), "cents")
+simple("merge_unit", lambda s: L.merge_unit3(s.click, s.error, s.signup), "true", "coalesce(click, error, signup) is not null")
+two_steps("filter_by_last_flag", lambda s: L.filter(s.cents, L.filter(s.big, L.defined(s.click))), f"{upto('click', 'count')} as n", "null::bigint")
+_SQL["filter_by_last_flag"] = _BASE + f", m as (select *, {upto('click')} is not null as was from s), o as (select *, case when was then big end as flag from m), t as (select *, {upto('flag')} as f from o) select user_id, ts, cents as out from t where f"
+two_steps("pure_event_type", lambda s: L.pure(s.kind), f"{strict('kind')} as p", "kind", "p is null or p <> kind")
+two_steps("is_first", lambda s: L.is_first(s.view), f"{strict('view')} as p", "p is null", "view is not null", zero="false")
+two_steps("first_event_per_user", lambda s: L.first_event(s.view), f"{strict('view')} as p", "view", "p is null")
+simple("had_any_event", lambda s: L.had_any_event(s.signup), "true", "signup is not null", zero="false")
+simple("const_if", lambda s: L.const_if("big", s.big), "'big'", "big")
+simple("unit_if", lambda s: L.unit_if(s.big), "true", "big")
+two_steps("rising_edge", lambda s: L.rising(s.big), f"{strict('big')} as p", "true", "big and not p")
+two_steps("falling_edge", lambda s: L.falling(s.big), f"{strict('big')} as p", "true", "not big and p")
+_SAMPLED = """, r as materialized (select user_id, ts, {value} as v, row_number() over (partition by user_id order by ts) as i from s where {value} is not null),
+go as (with recursive c as (select user_id, i, ts, v, ts as kept from r where i = 1
+  union all select r.user_id, r.i, r.ts, r.v, case when r.ts - c.kept >= {rate} then r.ts else c.kept end from c join r on r.user_id = c.user_id and r.i = c.i + 1) select * from c)"""
+query("sample_rate", lambda s: L.sample(s.cents, 2 * DAY), _SAMPLED.format(value="cents", rate=2 * DAY) + " select user_id, ts, v as out from go where ts = kept")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+# running aggregates
+simple("running_count", lambda s: L.count(s.click), upto("click", "count"), "click is not null", zero="0")
+simple("running_sum_cents", lambda s: L.sum(s.cents), f"cast({upto('cents', 'sum')} as bigint)", zero="0")
+simple("running_sum_split", lambda s: L.sum(s.cents), f"cast({upto('cents', 'sum')} as bigint)", zero="0", split=True)
+simple("running_max", lambda s: L.maximum(s.cents), upto("cents", "max"))
+simple("running_min", lambda s: L.minimum(s.cents), upto("cents", "min"))
+simple("int_average", lambda s: L.average(s.view), f"cast({upto('view', 'sum')} // {upto('view', 'count')} as bigint)", "view is not null")
+simple("fold_product_mod", lambda s: L.fold(s.click, 1, lambda a, v: (a * 31 + v) % 1009), "null::bigint")
+_SQL["fold_product_mod"] = _BASE + """, r as materialized (select user_id, ts, click as v, row_number() over (partition by user_id order by ts) as i from s where click is not null),
+go as (with recursive c as (select user_id, i, ts, (31 + v) % 1009 as acc from r where i = 1
+  union all select r.user_id, r.i, r.ts, (c.acc * 31 + r.v) % 1009 from c join r on r.user_id = c.user_id and r.i = c.i + 1) select * from c)
+select user_id, ts, acc as out from go union all select distinct user_id, 0::bigint, 1::bigint from s"""
+simple("reduce_max_of", lambda s: L.reduce(s.view, lambda a, b: apply("max", a, b)), upto("view", "max"), "view is not null")
+_RESET = f", m as (select *, {upto('error', 'count')} as g, {upto('click', 'count')} as n from s), t as (select *, {upto('click', 'count').replace('partition by user_id', 'partition by user_id, g')} as c from m)"
+query("reset_count_since_error", lambda s: L.reset_count(s.click, s.error), _RESET + " select user_id, ts, c as out from t where coalesce(click, error) is not null and n > 0" + _zero("0"))
+query("no_event_since", lambda s: L.no_event(s.click, s.error), _RESET + " select user_id, ts, c = 0 as out from t where coalesce(click, error) is not null and n > 0" + _zero("true"))
+two_steps("runtime_view_to_purchase", lambda s: L.runtime(s.view, s.purchase), f"{upto('case when view is not null then ts end')} as v", "ts - v", "purchase is not null")
+simple("lastn_2", lambda s: L.last_n(s.cents, 2), "lag(cents, 2) over (partition by user_id order by ts)")
+_BURST = _SAMPLED.format(value="cents", rate=5 * DAY)
+query("bursts", lambda s: L.bursts(s.cents, 3 * DAY, 2 * DAY, 5), _BURST + f", t as (select *, row_number() over (partition by user_id, kept order by ts) as c from go) select user_id, ts, c <= 5 and ts < kept + {3 * DAY} as out from t" + _zero("true"))
+query("bursts_since", lambda s: L.bursts_since(s.click, 3 * DAY, 2 * DAY, 5, s.error), None)
+
+# running collections, as traces print them
+query("distinct_types_set", lambda s: apply("toString", L.collect_set(s.kind)), f""", t as (select user_id, ts, list_sort(list_distinct({upto("kind", "array_agg")})) as k from s)
+select user_id, ts, 'Set(' || array_to_string(list_transform(k, lambda x: '"' || x || '"'), ', ') || ')' as out from t""" + _zero("'Set()'"))
+query("set_with_remove", lambda s: apply("Set.contains", L.collect_set_with_remove(L.filter(s.kind, s.big), L.filter(s.kind, ~s.big)), "click"), None)
+_PIVOT = ", ".join(f"{upto(t, '{f}')} as m{t}" for t in sorted(TYPES))
+_SHOWN = "'Map(' || array_to_string(list_filter([" + ", ".join(f"case when m{t} is not null and m{t} > 0 then '\"{t}\" -> ' || m{t} end" for t in sorted(TYPES)) + "], lambda x: x is not null), ', ') || ')'"
+for _name, _make, _f in (("map_count", lambda s: L.collect_count(s.kind), "count"), ("map_max", lambda s: L.collect_max(s.kind, s.cents), "max"), ("map_min", lambda s: L.collect_min(s.kind, s.cents), "min")):
+    query(_name, lambda s, make=_make: apply("toString", make(s)), f", t as (select user_id, ts, {_PIVOT.format(f=_f)} from s) select user_id, ts, {_SHOWN} as out from t" + _zero("'Map()'"))
+query("map_counting", lambda s: apply("Map.get", L.filter(L.counting(s.kind), L.defined(s.kind)), s.kind), f""", m as (select user_id, kind, min(ts) as born from s group by all), n as (select user_id, kind, row_number() over (partition by user_id order by born) as out from m)
+select s.user_id, s.ts, n.out from s join n on s.user_id = n.user_id and s.kind = n.kind""")
+
+# delays and periods
+query("delay_fire_1h", lambda s: L.delay(L.const(HOUR, s.click), s.click), f""", h as (select user_id, max(ts) as h from s group by user_id),
+d as (select user_id, ts + {HOUR} as ts, lead(ts) over (partition by user_id order by ts) as nxt from s where click is not null)
+select d.user_id, d.ts, true as out from d join h using (user_id) where d.ts <= h and (nxt is null or d.ts <= nxt)""")
+query("delay_stepped", lambda s: L.delay(s.cents * HOUR // 100, s.click), f""", h as (select user_id, max(ts) as h from s group by user_id),
+d as (select user_id, ts + click * {HOUR} // 100 as ts, lead(ts) over (partition by user_id order by ts) as nxt from s where click is not null)
+select d.user_id, d.ts, true as out from d join h using (user_id) where d.ts <= h and (nxt is null or d.ts <= nxt)""")
+query("delay_recursive", lambda s: L.recursive(INT, lambda me: L.merge(L.const(8 * HOUR, L.delay(me, s.signup)), L.const(HOUR, s.signup))), f""", h as (select user_id, max(ts) as h from s group by user_id),
+d as (select user_id, ts, lead(ts) over (partition by user_id order by ts) as nxt from s where signup is not null),
+f as (select user_id, unnest(range(ts + {HOUR}, least(h, coalesce(nxt, h)) + 1, {8 * HOUR})) as ts from d join h using (user_id))
+select user_id, ts, {8 * HOUR}::bigint as out from f union all select user_id, ts, {HOUR}::bigint from d""")
+query("period_daily_ticks", lambda s: L.period(DAY), f", h as (select user_id, max(ts) as h from s group by user_id) select user_id, unnest(range(0, h + 1, {DAY})) as ts, true as out from h")
+query("last_at_period", lambda s: L.last(s.cents, L.period(DAY)), f""", h as (select user_id, max(ts) as h from s group by user_id), p as (select user_id, unnest(range(0, h + 1, {DAY})) as ts from h)
+select p.user_id, p.ts, s.cents as out from p asof join s on p.user_id = s.user_id and p.ts > s.ts""")
+
+# scalars
+_A, _B = "cents", "number % 7 - 3"
+query(
+    "scalar_int_ops",
+    lambda s: (lambda a, b: {
+        "r_add": a + b, "r_sub": a - b, "r_mul": a * b, "r_div": L.filter(a // L.filter(b, b != 0), b != 0), "r_mod": L.filter(a % L.filter(b, b != 0), b != 0), "r_neg": -a,
+        "r_and": apply("bitand", a, b), "r_or": apply("bitor", a, b), "r_xor": apply("bitxor", a, b), "r_flip": apply("bitflip", a),
+        "r_left": a << 3, "r_right": a >> 2, "r_max": apply("max", a, b), "r_min": apply("min", a, b),
+        "r_eq": a == b, "r_neq": a != b, "r_lt": a < b, "r_leq": a <= b, "r_gt": a > b, "r_geq": a >= b, "r_logic": (a > 500) & ~(b < 0) | (b == 2),
+    })(s.cents, s.number % 7 - 3),
+    f""", m as (select user_id, ts, {_A} as a, {_B} as b from s)
+select user_id, ts, a + b as r_add, a - b as r_sub, a * b as r_mul, case when b <> 0 then a // b end as r_div, case when b <> 0 then a % b end as r_mod, -a as r_neg,
+  a & b as r_and, a | b as r_or, xor(a, b) as r_xor, ~a as r_flip, a * 8 as r_left, a // 4 as r_right, greatest(a, b) as r_max, least(a, b) as r_min,
+  a = b as r_eq, a <> b as r_neq, a < b as r_lt, a <= b as r_leq, a > b as r_gt, a >= b as r_geq, (a > 500 and not b < 0) or b = 2 as r_logic from m""",
+)
+_round = lambda x: apply("floatToInt", apply("fmul", x, 1000.0))
+query(
+    "scalar_float_ops",
+    lambda s: (lambda p, n: {
+        "r_add": _round(apply("fadd", p, n)), "r_sub": _round(apply("fsub", p, n)), "r_mul": _round(apply("fmul", p, n)), "r_div": _round(apply("fdiv", p, n)), "r_neg": _round(apply("fnegate", p)),
+        "r_pow": _round(apply("pow", n, 2.0)), "r_log": _round(apply("log", p, 2.0)), "r_sin": _round(apply("sin", p)), "r_cos": _round(apply("cos", p)), "r_atan": _round(apply("atan", p)),
+        "r_lt": apply("flt", p, n), "r_leq": apply("fleq", p, n), "r_gt": apply("fgt", p, n), "r_geq": apply("fgeq", p, n), "r_inf": apply("fgt", apply("fdiv", p, 0.0), 1e300),
+    })(s.price, apply("intToFloat", s.number % 97 + 1)),
+    """, m as (select user_id, ts, price as p, cast(number % 97 + 1 as double) as n from s)
+select user_id, ts, trunc((p + n) * 1000)::bigint as r_add, trunc((p - n) * 1000)::bigint as r_sub, trunc(p * n * 1000)::bigint as r_mul, trunc(p / n * 1000)::bigint as r_div, trunc(-p * 1000)::bigint as r_neg,
+  trunc(pow(n, 2) * 1000)::bigint as r_pow, trunc(ln(p) / ln(2.0::double) * 1000)::bigint as r_log, trunc(sin(p) * 1000)::bigint as r_sin, trunc(cos(p) * 1000)::bigint as r_cos, trunc(atan(p) * 1000)::bigint as r_atan,
+  p < n as r_lt, p <= n as r_leq, p > n as r_gt, p >= n as r_geq, true as r_inf from m""",
+)
+query(
+    "string_ops",
+    lambda s: {
+        "r_concat": apply("String.concat", s.kind, "!"), "r_pad": apply("String.formatInt", "%08d", s.cents), "r_hex": apply("String.formatInt", "%x", s.number),
+        "r_float": apply("String.formatFloat", "%.1f", apply("fmul", apply("intToFloat", s.number), 0.5)), "r_text": apply("String.format", "<%s>", s.kind), "r_show": apply("toString", s.big),
+    },
+    """select user_id, ts, kind || '!' as r_concat, lpad(cents::varchar, 8, '0') as r_pad, lower(to_hex(number)) as r_hex, printf('%.1f', number * 0.5::double) as r_float, '<' || kind || '>' as r_text, big::varchar as r_show from s""",
+)
+_SQL["string_ops"] = _BASE + " " + _SQL["string_ops"][len(_BASE) :]
+
+
+def _list(s: Streams) -> Stream:
+    return L.slift2(lambda a, b: apply("List.prepend", b, apply("List.append", apply("List.append", Lit((), list_of(INT)), a), a + b)), s.cents, s.number)
+
+
+query(
+    "list_ops",
+    lambda s: (lambda x: {
+        "r_size": apply("List.size", x), "r_empty": apply("List.isEmpty", x), "r_head": apply("List.head", x), "r_last": apply("List.last", x), "r_get": apply("List.get", x, 1),
+        "r_tail": apply("toString", apply("List.tail", x)), "r_init": apply("toString", apply("List.init", x)), "r_set": apply("toString", apply("List.set", x, 0, 5)),
+        "r_fold": apply("List.fold", x, Lit(0), function(lambda acc, v: acc * 3 + v, INT, INT)),
+    })(_list(s)),
+    """, m as (select user_id, ts, number as x, cents as y, cents + number as z from s)
+select user_id, ts, 3::bigint as r_size, false as r_empty, x as r_head, z as r_last, y as r_get, 'List(' || y || ', ' || z || ')' as r_tail, 'List(' || x || ', ' || y || ')' as r_init, 'List(5, ' || y || ', ' || z || ')' as r_set, (x * 3 + y) * 3 + z as r_fold from m""",
+)
+
+
+def _set(s: Streams) -> Stream:
+    return L.slift2(lambda a, b: apply("Set.add", apply("Set.add", apply("Set.singleton", Lit(1)), a % 3), b % 4), s.cents, s.number)
+
+
+query(
+    "set_ops",
+    lambda s: (lambda x: {
+        "r_size": apply("Set.size", x), "r_has": apply("Set.contains", x, 0), "r_all": apply("toString", x), "r_less": apply("toString", apply("Set.remove", x, 1)),
+        "r_union": apply("toString", apply("Set.union", x, frozenset({7}))), "r_both": apply("toString", apply("Set.intersection", x, frozenset({0, 3}))), "r_minus": apply("toString", apply("Set.minus", x, frozenset({0, 3}))),
+        "r_fold": apply("Set.fold", x, Lit(0), function(lambda acc, v: acc + v * v, INT, INT)),
+    })(_set(s)),
+    """, m as (select user_id, ts, list_sort(list_distinct([1, cents % 3, number % 4])) as x from s)
+select user_id, ts, len(x)::bigint as r_size, list_contains(x, 0) as r_has, 'Set(' || array_to_string(x, ', ') || ')' as r_all, 'Set(' || array_to_string(list_filter(x, lambda v: v <> 1), ', ') || ')' as r_less,
+  'Set(' || array_to_string(list_append(x, 7), ', ') || ')' as r_union, 'Set(' || array_to_string(list_filter(x, lambda v: v in (0, 3)), ', ') || ')' as r_both, 'Set(' || array_to_string(list_filter(x, lambda v: v not in (0, 3)), ', ') || ')' as r_minus,
+  list_sum(list_transform(x, lambda v: v * v))::bigint as r_fold from m""",
+)
+
+
+def _map(s: Streams) -> Stream:
+    return L.slift2(lambda k, v: apply("Map.add", apply("Map.add", Lit(FrozenMap(), map_of(STRING, INT)), "view", v), k, v + 1), s.kind, s.cents)
+
+
+query(
+    "map_ops",
+    lambda s: (lambda x: {
+        "r_size": apply("Map.size", x), "r_has": apply("Map.contains", x, "click"), "r_view": apply("Map.get", x, "view"), "r_else": apply("Map.getOrElse", x, "click", -1), "r_keys": apply("toString", apply("Map.keys", x)),
+        "r_less": apply("toString", apply("Map.remove", x, "view")), "r_inc": apply("Map.get", apply("Map.inc", x, "error"), "error"), "r_fold": apply("Map.fold", x, Lit(0), function(lambda acc, k, v: acc + v, INT, STRING, INT)), "r_same": x == x,
+    })(_map(s)),
+    """select user_id, ts, case when kind = 'view' then 1 else 2 end::bigint as r_size, kind = 'click' as r_has, case when kind = 'view' then cents + 1 else cents end as r_view, case when kind = 'click' then cents + 1 else -1 end as r_else,
+  case when kind = 'view' then 'List("view")' when kind < 'view' then 'List("' || kind || '", "view")' else 'List("view", "' || kind || '")' end as r_keys,
+  case when kind = 'view' then 'Map()' else 'Map("' || kind || '" -> ' || (cents + 1) || ')' end as r_less, case when kind = 'error' then cents + 2 else 1 end::bigint as r_inc,
+  case when kind = 'view' then cents + 1 else 2 * cents + 1 end as r_fold, true as r_same from s""",
+)
+_SQL["map_ops"] = _BASE + " " + _SQL["map_ops"][len(_BASE) :]
+
+
+def _option(s: Streams) -> Stream:
+    return L.slift1(lambda v: ite(v % 2 == 0, apply("Some", v), None), s.cents)
+
+
+query(
+    "option_ops",
+    lambda s: (lambda x: {
+        "r_some": apply("isSome", x), "r_none": apply("isNone", x), "r_else": apply("getSomeOrElse", x, 0), "r_show": apply("toString", x),
+        "r_map": apply("getSomeOrElse", L.slift1(lambda o: option_map(o, lambda v: v + 1), x), -1), "r_flat": apply("isSome", L.slift1(lambda o: option_flat_map(o, lambda v: ite(v > 1000, apply("Some", v), None)), x)),
+        "r_both": apply("getSomeOrElse", L.slift1(lambda o: option_map2(o, o, lambda a, b: a * b), x), 0), "r_set": apply("Set.size", apply("Option.toSet", x)),
+    })(_option(s)),
+    """select user_id, ts, cents % 2 = 0 as r_some, cents % 2 <> 0 as r_none, case when cents % 2 = 0 then cents else 0 end as r_else, case when cents % 2 = 0 then 'Some(' || cents || ')' else 'None' end as r_show,
+  case when cents % 2 = 0 then cents + 1 else -1 end as r_map, cents % 2 = 0 and cents > 1000 as r_flat, case when cents % 2 = 0 then cents * cents else 0 end as r_both, (1 - cents % 2)::bigint as r_set from s""",
+)
+_SQL["option_ops"] = _BASE + " " + _SQL["option_ops"][len(_BASE) :]
+
+
+# whole-table forms
+
+def toplevel_merge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as events of one timeline without key: several orders of a day are one tick, by their number and sum."""
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderdate").agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("total"))
+    day = F.timestamp_diff("DAY", F.lit(datetime.datetime(1970, 1, 1)).cast("timestamp_ntz"), F.col("o_orderdate").cast("timestamp_ntz"))
+    line = from_events(df, {"n": F.col("n"), "total": F.col("total")}, (), day, unique=True)
+    n, total = Input("n", INT), Input("total", INT)
+    return outputs({"orders": L.sum(n), "best_day": L.maximum(total), "before": L.prev(n)}, line)
+
+
+def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs as a trace: a row for each event, its value as text."""
+    s = Streams()
+    return trace_of({"clicks": L.count(s.click), "last_kind": L.prev(s.kind)}, user_timelines(spark, sf_dir))
+
+
+_QUERIES |= {"toplevel_merge_dedupe": toplevel_merge_dedupe, "trace_rows": trace_rows}
+_SQL["toplevel_merge_dedupe"] = """with d as (select datediff('day', date '1970-01-01', o_orderdate::date)::bigint as ts, count(*) as n, sum(cast(round(o_totalprice * 100) as bigint))::bigint as total from orders group by all)
+select ts, sum(n) over (order by ts)::bigint as orders, max(total) over (order by ts) as best_day, lag(n) over (order by ts) as before from d union all select 0, 0, null, null"""
+_SQL["trace_rows"] = _BASE + f", m as (select *, {strict('kind')} as p, {upto('click', 'count')} as c from s) select user_id, ts, 'clicks' as stream, c::varchar as \"value\" from m where click is not null union all select user_id, ts, 'last_kind', p from m where p is not null union all select distinct user_id, 0, 'clicks', '0' from s"
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
