@@ -155,7 +155,7 @@ def column(e: Expr, env: Env) -> tuple[Column, Column | None]:
         if isinstance(a, Lambda):
             values.append(_lambda(a, env))
             continue
-        if isinstance(a, Lit) and e.name in ("field", "String.format"):
+        if isinstance(a, Lit) and e.name in ("field", "String.format", "String.formatInt", "String.formatFloat"):
             values.append(a.value)
             continue
         v, err = column(a, env)
