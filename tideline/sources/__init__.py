@@ -1,0 +1 @@
+"""Readers of event traces, and sinks."""
