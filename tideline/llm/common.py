@@ -31,9 +31,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tideline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that the table replaces
+    hadoop_path, files = _folder(spark, path)
+    files.deleteOnExit(hadoop_path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._folder = path
+    return table
+
+
+def _folder(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        hadoop_path, files = _folder(table.sparkSession, table._folder)
+        files.delete(hadoop_path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import BYTES, by_size, materialize, shuffle_partitions, splitmix, text_key
+from tideline.llm.common import BYTES, by_size, discard, materialize, shuffle_partitions, splitmix, text_key
 
 WIDTH = 200
 GRAM = 64
@@ -293,9 +293,12 @@ def repeated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     cells = materialize(_parts(taken, width, whole=True), "cells")
     chosen = cells.join(_found_again(cells), ["h", "g"]).groupBy("k1", "k2", "start", "example").agg(F.collect_set("part").alias("cells"))
     single = materialize(_parts(taken.join(chosen, ["k1", "k2", "start", "example"]), width, whole=False), "strings")
+    discard(taken, cells)
     edge = single.where("not example").join(_found_again(single), ["h", "g"]).select("k1", "k2", F.col("part").alias("start"), (F.col("part") + width).alias("end"))
     every = judged.where(f"kind = {WHOLE}").select("k1", "k2", "start", (F.col("start") + F.col("more") + width).alias("end")).unionByName(edge)
-    return every.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found = materialize(every.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    discard(judged, single)
+    return found
 
 
 def _cut(text: str | None, spans: list | None) -> tuple[bytes, bytes, list[tuple[int, int]]]:
