@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import by_size, materialize, splitmix, text_key, word_hashes
@@ -106,6 +106,10 @@ def _bands(winners: np.ndarray, shape: Bands) -> np.ndarray:
     return out
 
 
+def has_words() -> Column:
+    return F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
 def signed(documents: DataFrame, shape: Bands, words: int = WORDS) -> DataFrame:
     """id, n_shingles and band hashes of each distinct text that has words."""
 
@@ -120,7 +124,7 @@ def signed(documents: DataFrame, shape: Bands, words: int = WORDS) -> DataFrame:
                 own = np.flatnonzero(n)
                 yield pd.DataFrame({"id": ids[first:last][own], "n": n[own], "bands": list(found[own])})
 
-    keyed = documents.where(F.length(F.trim("text")) > 0).select(F.xxhash64("text").alias("id"), "text")
+    keyed = documents.where(has_words()).select(F.xxhash64("text").alias("id"), "text")
     return keyed.mapInPandas(run, "id long, n long, bands array<long>").dropDuplicates(["id"])
 
 
@@ -155,7 +159,7 @@ def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = B
     shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c >= 2").select("band")
     rows = materialize(rows.join(shared, "band"), "buckets")
     wanted = rows.select("id").distinct()
-    texts = documents.where(F.length(F.trim("text")) > 0).select(F.xxhash64("text").alias("id"), "text")
+    texts = documents.where(has_words()).select(F.xxhash64("text").alias("id"), "text")
     bag = materialize(bags(texts.join(wanted, "id"), words), "bags")
     # cells that no other text has: what they leave, e, bounds every overlap, so J <= e / n
     single = bag.select("id", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
@@ -211,7 +215,7 @@ def classes(documents: DataFrame, **parameters) -> DataFrame:
 
 def _classes(documents: DataFrame, **parameters) -> DataFrame:
     roots = links(documents, **parameters)
-    keyed = documents.select("doc_id", F.when(F.length(F.trim("text")) > 0, F.xxhash64("text")).alias("id"))
+    keyed = documents.select("doc_id", F.when(has_words(), F.xxhash64("text")).alias("id"))
     filled = keyed.where("id is not null").join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
     filled = materialize(filled, "classes")
     sizes = filled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
@@ -226,7 +230,7 @@ def keep_one(documents: DataFrame, **parameters) -> DataFrame:
     have the smallest (a null only if there is nothing else) stays.
     """
     roots = links(documents, **parameters)
-    id_ = F.when(F.length(F.trim("text")) > 0, F.xxhash64("text"))
+    id_ = F.when(has_words(), F.xxhash64("text"))
     keyed = documents.withColumn("_id", id_)
     small = documents.select("doc_id", id_.alias("id")).where("id is not null").join(roots, "id", "left")
     first = small.select(F.coalesce("root", "id").alias("root"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id").alias("x")).groupBy("root").agg(F.min("x").alias("x"))
