@@ -177,7 +177,7 @@ def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = B
             mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub.alias("x")).where("low <> high").select("band", "x.hub", "x.m", "x.f", "x.hub_root")
             pairs = state.join(mixed, "band").where("root <> hub_root").where(near).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
         else:
-            pairs = _across(state, near, ratio)
+            pairs = _across(state, bag, near, ratio)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
@@ -192,19 +192,37 @@ def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = B
     return roots if roots is not None else rows.select("id", F.col("id").alias("root")).limit(0)
 
 
-def _across(state: DataFrame, near, ratio: float) -> DataFrame:
+PARTS = 64
+
+
+def _sketches(bag: DataFrame, ids: DataFrame) -> DataFrame:
+    """For each of ``ids`` how many of its cells, that another of them has too, fall in each of ``PARTS`` parts of all cells.
+
+    The smaller counts of two texts, summed over the parts, bound their overlap from above.
+    """
+    cells = bag.join(ids, "id").select("id", F.explode("cells").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.count("*").alias("c")).where("c >= 2").select("cell")
+    counts = cells.join(shared, "cell").groupBy("id", F.pmod("cell", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("c"))
+    rows = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("c"))
+    return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0))).alias("sketch"))
+
+
+def _across(state: DataFrame, bag: DataFrame, near, ratio: float) -> DataFrame:
     """The pairs of buckets that still hold several components, across components, that could reach the similarity.
 
     Of such a pair the smaller text, at least, could be as similar to a text of its own size ("common"). A text that
-    isn't common can only pair with one that is smaller than ``most``; it goes if its bucket has none.
+    isn't common can only pair with one that is smaller than ``most``; it goes if its bucket has none. The
+    pairs' sketches then bound their overlaps.
     """
     state = state.withColumn("most", F.col("e") / ratio - F.col("n")).withColumn("common", F.col("most") >= F.col("n") - 1e-6)
     least = state.groupBy("band").agg(F.min(F.when(F.col("common"), F.col("n"))).alias("least"))
     open_ = state.join(least, "band").where(F.col("common") | (F.col("most") >= F.col("least") - 1e-6)).drop("least")
     mixed = open_.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     rest = materialize(open_.join(mixed, "band"), "rest")
-    small = rest.where("common").select("band", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("e").alias("f"), F.col("root").alias("hub_root"))
-    pairs = rest.join(small, "band").where("root <> hub_root and (m < n or m = n and hub < id)").where(near)
+    rest = materialize(rest.join(_sketches(bag, rest.select("id").distinct()), "id"), "rest")
+    small = rest.where("common").select("band", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("e").alias("f"), F.col("root").alias("hub_root"), F.col("sketch").alias("hub_sketch"))
+    overlap = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    pairs = rest.join(small, "band").where("root <> hub_root and (m < n or m = n and hub < id)").where(near & (overlap >= ratio * (F.col("n") + F.col("m")) - 1e-6))
     return pairs.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
 
 
