@@ -98,14 +98,15 @@ def scan(documents: DataFrame, **parameters) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = "[SECRET]", **parameters) -> DataFrame:
     """The documents with every span, base or live, put out of their texts; overlapping spans give one mark. n_chars, if there, is counted again."""
-    spans = located(documents, **parameters).where(F.size("all_spans") > 0).groupBy("k1", "k2").agg(F.first("all_spans").alias("all_spans"))
+    found = located(documents, **parameters).where(F.size("all_spans") > 0)
+    spans = found.groupBy(F.col("k1").alias("_s1"), F.col("k2").alias("_s2")).agg(F.first("all_spans").alias("_spans"))
     keyed = documents.select("*", *(k.alias(f"_{n}") for k, n in zip(text_key(F.col("text")), ("k1", "k2"), strict=True)))
-    joined = keyed.join(spans, (keyed["_k1"] == spans.k1) & (keyed["_k2"] == spans.k2), "left")
-    walk = f"""aggregate(all_spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct(
+    joined = keyed.join(spans, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")), "left")
+    walk = f"""aggregate(_spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct(
         'at', greatest(a.at, x.end),
         'out', if(x.start < a.at, a.out, concat(a.out, substring(text, a.at + 1, x.start - a.at), '{mark}'))),
         a -> concat(a.out, substring(text, a.at + 1)))"""
-    text = F.when(F.col("all_spans").isNotNull(), F.expr(walk)).otherwise(F.col("text"))
+    text = F.when(F.col("_spans").isNotNull(), F.expr(walk)).otherwise(F.col("text"))
     out = joined.withColumn("_new", text)
     columns = [F.col("_new").alias(c) if c == "text" else F.length(F.coalesce("_new", F.lit(""))).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
     return out.select(*columns)

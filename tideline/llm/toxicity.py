@@ -135,7 +135,8 @@ def scores(texts: list[str], model: Model) -> np.ndarray:
     for first, last in by_size(texts):
         text, bucket = features(texts[first:last])
         out[first:last] = np.bincount(text, weights=model.weights[bucket], minlength=last - first)
-    return 1 / (1 + np.exp(-np.clip(out + model.bias, -700, 700)))
+    with np.errstate(over="ignore"):  # an infinite exponential is a score of 0
+        return 1 / (1 + np.exp(-(out + model.bias)))
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
