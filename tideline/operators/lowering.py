@@ -76,7 +76,7 @@ class Lowering:
             for s in part:
                 self.fallible[s.id] = g.is_recursive(part) and not isinstance(s, g.Delay | g.Time | g.Const) or self._can_fail(s)
         g.within_tick([s for p in parts for s in p])  # cycles that no tick could evaluate
-        if any(isinstance(s, g.Default | g.Fold | g.Period | g.Delay) for p in parts for s in p):
+        if any(isinstance(s, g.Default | g.Fold | g.Period) for p in parts for s in p):
             self.timeline = with_zero(self.timeline)
         self.done |= {s.id for s in self.inputs}
         self.last_input = horizon(self.timeline)

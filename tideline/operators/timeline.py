@@ -118,8 +118,8 @@ def from_events(df: DataFrame, streams: dict[str, Column], keys: tuple[str, ...]
     rows = df.select(*keys, at.cast("long").alias(TS), *(c.alias(n) for n, c in streams.items()))
     if not unique:
         once = lambda n: F.when(F.count(n) > 1, F.raise_error(F.lit(f"two events of {n} at the same time"))).otherwise(F.first(n, ignorenulls=True))
-        if keys:
-            rows = rows.repartition(*keys)
+        if keys and not split:
+            rows = rows.repartition(*keys)  # serves this grouping and the windows after it
         rows = rows.groupBy(*keys, TS).agg(*(once(n).alias(n) for n in streams)) if streams else rows.distinct()
     return Timeline(rows, tuple(keys), split)
 

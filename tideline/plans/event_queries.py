@@ -33,7 +33,9 @@ STREAMS = {**dict.fromkeys(TYPES, INT), "cents": INT, "price": FLOAT, "kind": ST
 def user_timelines(spark: SparkSession, sf_dir: str, split: bool = False) -> Timeline:
     """A timeline of each user's events; scans only the columns that the query's streams read."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ts = F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    at = F.col("ts").cast("timestamp_ntz")
+    # by calendar fields, so that no session time zone comes in
+    ts = F.datediff(at, F.lit(EPOCH.date())).cast("long") * DAY + F.hour(at).cast("long") * HOUR + F.minute(at).cast("long") * (HOUR // 60) + (F.expr("extract(second from cast(ts as timestamp_ntz))") * 1_000_000).cast("long")
     cents = F.round(F.col("value") * 100).cast("long")
     columns = {t: F.when(F.col("event_type") == t, cents) for t in TYPES}
     columns |= {"cents": cents, "price": F.col("value"), "kind": F.col("event_type"), "number": F.col("event_id"), "big": cents > 5000, "any": F.lit(True)}
@@ -298,7 +300,7 @@ _SQL["option_ops"] = _BASE + " " + _SQL["option_ops"][len(_BASE) :]
 def toplevel_merge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as events of one timeline without key: several orders of a day are one tick, by their number and sum."""
     df = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderdate").agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("total"))
-    day = F.timestamp_diff("DAY", F.lit(datetime.datetime(1970, 1, 1)).cast("timestamp_ntz"), F.col("o_orderdate").cast("timestamp_ntz"))
+    day = F.unix_date(F.col("o_orderdate").cast("timestamp_ntz").cast("date"))
     line = from_events(df, {"n": F.col("n"), "total": F.col("total")}, (), day, unique=True)
     n, total = Input("n", INT), Input("total", INT)
     return outputs({"orders": L.sum(n), "best_day": L.maximum(total), "before": L.prev(n)}, line)
