@@ -145,6 +145,68 @@ def test_library_by_its_names():
     assert "3: s = 6" not in got
 
 
+def test_blocks_raw_outputs_tuples_aliases_and_functions_of_functions():
+    text = """
+    in x: Events[Int]
+    def turned(a: Events[Int]) = {
+      def b = -a
+      return b * 2
+    }
+    type P[T] = (T, T)
+    def swap[A](p: P[A]): P[A] = (p._2, p._1)
+    @liftable def apart(p: (Int, Int)): Int = p._1 - p._2
+    @raw out turned(x) as t
+    print x
+    out merge(x, 0) as m
+    out x > 3 &&
+      x < 10 as range
+    out if x > 2
+      then "big"
+      else "small" as size
+    out (x,) as one
+    out swap((x, 5)) as sw
+    out apart((x, 3)) as d
+    out slift(x, 4, (a: Int, b: Int) => a * b) as sl
+    out Map.get(Map.add(Map.empty[Int, String], x, "v"), x) as mg
+    out List.fold(List.append(List.empty[Int], x), 1, (a: Int, b: Int) => a + b) as lf
+    out f"${x}%d and ${intToFloat(x)}%.2f" as ft
+    out nil[Int] as none
+    """
+    assert run(text, "2: x = 1\n4: x = 7") == lines(
+        """0: m = 0
+        2: t = -2
+        2: x = 1
+        2: m = 1
+        2: range = false
+        2: size = small
+        2: one = (1,)
+        2: sw = (5, 1)
+        2: d = -2
+        2: sl = 4
+        2: mg = v
+        2: lf = 2
+        2: ft = 1 and 1.00
+        4: t = -14
+        4: x = 7
+        4: m = 7
+        4: range = true
+        4: size = big
+        4: one = (7,)
+        4: sw = (5, 7)
+        4: d = 4
+        4: sl = 28
+        4: mg = v
+        4: lf = 8
+        4: ft = 7 and 7.00"""
+    )
+    assert compile_spec(text).raw == {"t", "x"}
+
+
+def test_periodic_recursive_delay():
+    text = "in e: Events[Unit]\ndef p: Events[Int] = const(3, default(delay(p, ()), ()))\nout p"
+    assert run(text, "1: e\n10: e") == {"0: p = 3", "3: p = 3", "6: p = 3", "9: p = 3"}
+
+
 @pytest.mark.parametrize(
     ("text", "message"),
     [
