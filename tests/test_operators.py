@@ -5,6 +5,7 @@ import pytest
 from streams import expected, inputs, timeline, traces
 from tideline.functions.expr import apply
 from tideline.functions.scalars import ite
+from tideline.functions.types import INT
 from tideline.operators import library as L
 from tideline.operators.lowering import events
 
@@ -71,7 +72,7 @@ DELAYS = {
     "delay_feeds": lambda i: L.count(L.delay(L.const(4, i["u"]), i["u"])),
     "period": lambda i: L.period(6),
     "period_count": lambda i: L.reset_count(i["x"], L.period(10)),
-    "recursive_delay": lambda i: L.recursive(L.INT, lambda me: L.merge(L.const(3, L.delay(me, i["u"])), L.const(2, i["u"]))),
+    "recursive_delay": lambda i: L.recursive(INT, lambda me: L.merge(L.const(3, L.delay(me, i["u"])), L.const(2, i["u"]))),
 }
 
 
@@ -86,3 +87,42 @@ def test_lowered_operators_agree_with_the_stepper(spark, group, split):
         want = expected(outs, ins, rows)
         for n in outs:
             assert {x for x in got if x[2] == n} == {x for x in want if x[2] == n}, n
+
+
+def test_timeline_without_key_is_one_stream(spark):
+    ins = inputs()
+    outs = {n: make(ins) for group in (CORE, AGGREGATES) for n, make in group.items() if n in ("default_from", "slift2", "last", "sum", "maximum", "reset_count", "sample", "runtime")}
+    outs |= {n: DELAYS[n](ins) for n in ("delay_own_const", "period")}
+    rows = traces(11, keys=1, ticks=30)
+    line = timeline(spark, rows, keys=())
+    assert line.split
+    got = {(0, *r) for r in events(outs, line.with_df(line.df.drop("k"))).collect()}
+    assert got == expected(outs, ins, rows)
+
+
+def test_null_keys_are_a_timeline(spark):
+    ins = inputs()
+    outs = {"n": L.count(ins["x"]), "l": L.last(ins["x"], ins["y"])}
+    rows = [{**r, "k": None} for r in traces(12, keys=1)]
+    want = {r[1:] for r in expected(outs, ins, rows)}
+    for split in (False, True):
+        assert {tuple(r)[1:] for r in events(outs, timeline(spark, rows, split=split)).collect()} == want
+
+
+def test_an_empty_timeline_with_keys_is_empty(spark):
+    ins = inputs()
+    assert events({"n": L.count(ins["x"]), "p": L.period(5)}, timeline(spark, [])).count() == 0
+
+
+def test_cycles_without_last_or_delay_are_rejected(spark):
+    ins = inputs()
+    loop = L.recursive(INT, lambda me: L.merge(me, ins["x"]))
+    with pytest.raises(RecursionError):
+        events({"loop": loop}, timeline(spark, traces(1)))
+
+
+def test_delay_of_nothing_is_an_error(spark):
+    ins = inputs()
+    rows = [{"k": 0, "ts": 3, "x": 0}, {"k": 0, "ts": 9, "x": None}]
+    with pytest.raises(Exception, match="must be positive"):
+        events({"d": L.delay(ins["x"], ins["x"])}, timeline(spark, [{**dict.fromkeys(("y", "b", "c", "u", "s")), **r} for r in rows])).collect()

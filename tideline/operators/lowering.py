@@ -231,9 +231,13 @@ class Lowering:
         keys = list(self.timeline.keys)
         resets = self.timeline.df.where(r.present).select(*keys, TS, d.value.alias("_delay"))
         late = F.when(F.col("_delay") <= 0, F.raise_error(F.concat(F.lit("A delay must be positive, not "), F.col("_delay").cast("string")))).otherwise(F.col(TS) + F.col("_delay"))
-        # without keys the next reset comes from the whole table's order; resets only are moved
-        after = F.lead(TS).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(TS))
-        armed = resets.select(*keys, late.alias("_at"), after.alias("_next"))
+        if self.timeline.split:
+            # the next reset is the last one before, with time reversed
+            back = Timeline(resets.withColumn(TS, -F.col(TS)), self.timeline.keys, True).running({"_next": Running("last", -F.col(TS), True)})
+            resets = back.df.withColumn(TS, -F.col(TS))
+        else:
+            resets = resets.withColumn("_next", F.lead(TS).over(Window.partitionBy(*keys).orderBy(TS)))
+        armed = resets.select(*keys, late.alias("_at"), "_next")
         if keys:
             last = self.last_input.select(*(F.col(k).alias(f"_h_{k}") for k in keys), "_horizon")
             condition = F.lit(True)

@@ -132,12 +132,6 @@ def from_long(df: DataFrame, types: dict[str, str], keys: tuple[str, ...] = (),
     return from_events(df, {n: F.when(F.col("stream") == n, F.col("value").cast(t)) for n, t in types.items()}, keys, split=split)
 
 
-def checked_order(df: DataFrame, keys: tuple[str, ...], position: str, ts: str = TS) -> DataFrame:
-    """``df``, failing when computed if time goes backwards along ``position``; for input whose order is part of its meaning."""
-    before = F.lag(ts).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(position))
-    return df.withColumn(ts, F.when(before > F.col(ts), F.raise_error(F.concat(F.lit("time goes backwards from "), before.cast("string"), F.lit(" to "), F.col(ts).cast("string")))).otherwise(F.col(ts)))
-
-
 def union_ticks(timeline: Timeline, more: DataFrame) -> Timeline:
     """The timeline with the rows of ``more`` (some of its columns): equal ticks become one row, by the first value of each column."""
     both = timeline.df.unionByName(more, allowMissingColumns=True)
