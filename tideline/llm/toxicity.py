@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,10 +83,24 @@ def sampled(documents: DataFrame, labels: DataFrame, sample: Sample) -> tuple[li
                 ends = np.cumsum(np.bincount(text, minlength=last - first))
                 yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[first:last], "p": batch["p"].to_numpy()[first:last], "x": np.split(bucket.astype(np.int32), ends[:-1])})
 
-    rows = chosen.mapInPandas(run, "doc_id long, p int, x array<int>").toPandas()
+    # by Arrow: as Python lists the features would take ten times the memory
+    rows = chosen.mapInPandas(run, "doc_id long, p int, x array<int>").toArrow().sort_by([("p", "ascending"), ("doc_id", "ascending")])
+    p, ids, found = rows["p"].to_numpy(), rows["doc_id"].to_numpy(), rows["x"].combine_chunks()
+    found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+    flat, ends = found.values.to_numpy(), found.offsets.to_numpy()
     # rows come in any order, and copies of an id could be more than the bound
-    rows = rows.sort_values(["p", "doc_id"], kind="stable").drop_duplicates(["p", "doc_id"])
-    return list(rows.loc[rows["p"] == 1, "x"]), list(rows.loc[rows["p"] == 0, "x"]), float(prior)
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 0) | (np.diff(ids) != 0)])) if len(p) else []
+    both: tuple[list, list] = [], []
+    for i in first:
+        both[p[i]].append(flat[ends[i] : ends[i + 1]])
+    return both[1], both[0], float(prior)
+
+
+def _counted(buckets: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    for first in range(0, len(buckets), step):
+        out += np.bincount(buckets[first : first + step], minlength=BUCKETS)
+    return out
 
 
 def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> Model:
@@ -94,16 +109,17 @@ def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate:
     if not len(positive) or not len(unlabelled) or not prior:
         return Model(weights, -np.inf)
     sizes = np.array([len(x) for x in [*positive, *unlabelled]])
-    flat = np.concatenate([*positive, *unlabelled]).astype(np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    flat = np.concatenate([*positive, *unlabelled])
     n_p, n = len(positive), len(sizes)
     n_u, cut = len(unlabelled), sizes[: len(positive)].sum()
-    in_p, in_u = np.bincount(flat[:cut], minlength=BUCKETS), np.bincount(flat[cut:], minlength=BUCKETS)
+    in_p, in_u = _counted(flat[:cut]), _counted(flat[cut:])
     share = (in_p + in_u) / n
     apart = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
-    keep = (apart >= SIGNIFICANT)[flat]
-    names, column = np.unique(flat[keep], return_inverse=True)
-    row = row[keep]
+    chosen = apart >= SIGNIFICANT
+    keep = chosen[flat]
+    names, column = np.flatnonzero(chosen), (np.cumsum(chosen) - 1)[flat[keep]]
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)[keep]
+    del flat, keep
     w, b = np.zeros(len(names)), np.log(prior / (1 - prior))
     state = [np.zeros(len(names) + 1), np.zeros(len(names) + 1)]
     for step in range(1, steps + 1):
