@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tideline-checkpoints"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage, so that a lost executor never makes an expensive stage run again, and lets later
@@ -29,7 +29,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tideline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that the table replaces
     hadoop_path, files = _folder(spark, path)
     files.deleteOnExit(hadoop_path)

@@ -289,7 +289,8 @@ def repeated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     judged = materialize(suffixes.mapInPandas(compare, "k1 long, k2 long, start int, more int, turn int, kind int"), "suffixes")
     places = judged.where(f"kind in ({EDGE}, {EXAMPLE})").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "more", "turn", "kind")).alias("places"))
     texts = documents.where(F.octet_length("text") >= width).select(*text_key(F.col("text")), "text")
-    taken = materialize(_taken(texts.join(places, ["k1", "k2"]), width), "blocks")
+    # neighbouring blocks overlap by a string less a byte, which zstd packs well
+    taken = materialize(_taken(texts.join(places, ["k1", "k2"]), width), "blocks", "zstd")
     cells = materialize(_parts(taken, width, whole=True), "cells")
     chosen = cells.join(_found_again(cells), ["h", "g"]).groupBy("k1", "k2", "start", "example").agg(F.collect_set("part").alias("cells"))
     single = materialize(_parts(taken.join(chosen, ["k1", "k2", "start", "example"]), width, whole=False), "strings")
