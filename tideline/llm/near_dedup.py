@@ -128,8 +128,12 @@ def signed(documents: DataFrame, shape: Bands, words: int = WORDS) -> DataFrame:
     return keyed.mapInPandas(run, "id long, n long, bands array<long>").dropDuplicates(["id"])
 
 
+#: Parts of all cells, for bounds: the low bits of a cell.
+PARTS = 64
+
+
 def bags(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """id and the levels of all shingles as a set of longs, whose overlap is the multiset overlap."""
+    """id, the levels of all shingles as a set of longs, whose overlap is the multiset overlap, and how many of them are in each part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -139,10 +143,12 @@ def bags(texts: DataFrame, words: int = WORDS) -> DataFrame:
                 text, shingle, count = shingles(texts[first:last], words)
                 level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 cells = splitmix(np.repeat(shingle, count) + level.astype(np.uint64) * _STEP).view(np.int64)
-                ends = np.cumsum(np.bincount(np.repeat(text, count), minlength=last - first))
-                yield pd.DataFrame({"id": ids[first:last], "cells": np.split(cells, ends[:-1])})
+                owner = np.repeat(text, count)
+                ends = np.cumsum(np.bincount(owner, minlength=last - first))
+                parts = np.bincount(owner * PARTS + (cells & (PARTS - 1)), minlength=(last - first) * PARTS).astype(np.int32)
+                yield pd.DataFrame({"id": ids[first:last], "cells": np.split(cells, ends[:-1]), "parts": list(parts.reshape(-1, PARTS))})
 
-    return texts.mapInPandas(run, "id long, cells array<long>").dropDuplicates(["id"])
+    return texts.mapInPandas(run, "id long, cells array<long>, parts array<int>").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
@@ -163,8 +169,9 @@ def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = B
     bag = materialize(bags(texts.join(wanted, "id"), words), "bags")
     # cells that no other text has: what they leave, e, bounds every overlap, so J <= e / n
     single = bag.select("id", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    single = single.groupBy("id").agg(F.count("*").alias("c"))
-    rows = rows.join(single, "id", "left").withColumn("e", F.col("n") - F.coalesce("c", F.lit(0))).drop("c").where(F.col("e") >= similarity * F.col("n"))
+    single = single.groupBy("id", F.pmod("cell", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("c"))
+    single = materialize(single.groupBy("id").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("own")), "own")
+    rows = rows.join(single.select("id", "c"), "id", "left").withColumn("e", F.col("n") - F.coalesce("c", F.lit(0))).drop("c").where(F.col("e") >= similarity * F.col("n"))
     rows = materialize(rows.select("band", "id", "n", "e"), "buckets")
     ratio = similarity / (1 + similarity)
     near = (F.least("n", "m") >= similarity * F.greatest("n", "m")) & (F.least("e", "f") >= ratio * (F.col("n") + F.col("m")) - 1e-6)
@@ -177,7 +184,7 @@ def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = B
             mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub.alias("x")).where("low <> high").select("band", "x.hub", "x.m", "x.f", "x.hub_root")
             pairs = state.join(mixed, "band").where("root <> hub_root").where(near).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
         else:
-            pairs = _across(state, bag, near, ratio)
+            pairs = _across(state, _sketches(bag, single), near, ratio)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
@@ -192,22 +199,13 @@ def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = B
     return roots if roots is not None else rows.select("id", F.col("id").alias("root")).limit(0)
 
 
-PARTS = 64
-
-
-def _sketches(bag: DataFrame, ids: DataFrame) -> DataFrame:
-    """For each of ``ids`` how many of its cells, that another of them has too, fall in each of ``PARTS`` parts of all cells.
-
-    The smaller counts of two texts, summed over the parts, bound their overlap from above.
-    """
-    cells = bag.join(ids, "id").select("id", F.explode("cells").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count("*").alias("c")).where("c >= 2").select("cell")
-    counts = cells.join(shared, "cell").groupBy("id", F.pmod("cell", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("c"))
-    rows = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("c"))
-    return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0))).alias("sketch"))
+def _sketches(bag: DataFrame, single: DataFrame) -> DataFrame:
+    """id and, for each part, how many of its cells another text has too; of two texts the smaller counts, summed, bound the overlap."""
+    shared = F.transform("parts", lambda n, i: n - F.coalesce(F.try_element_at("own", i), F.lit(0)))
+    return bag.select("id", "parts").join(single.select("id", "own"), "id", "left").select("id", shared.alias("sketch"))
 
 
-def _across(state: DataFrame, bag: DataFrame, near, ratio: float) -> DataFrame:
+def _across(state: DataFrame, sketches: DataFrame, near, ratio: float) -> DataFrame:
     """The pairs of buckets that still hold several components, across components, that could reach the similarity.
 
     Of such a pair the smaller text, at least, could be as similar to a text of its own size ("common"). A text that
@@ -219,7 +217,7 @@ def _across(state: DataFrame, bag: DataFrame, near, ratio: float) -> DataFrame:
     open_ = state.join(least, "band").where(F.col("common") | (F.col("most") >= F.col("least") - 1e-6)).drop("least")
     mixed = open_.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     rest = materialize(open_.join(mixed, "band"), "rest")
-    rest = materialize(rest.join(_sketches(bag, rest.select("id").distinct()), "id"), "rest")
+    rest = materialize(rest.join(sketches.join(rest.select("id").distinct(), "id"), "id"), "rest")
     small = rest.where("common").select("band", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("e").alias("f"), F.col("root").alias("hub_root"), F.col("sketch").alias("hub_sketch"))
     overlap = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
     pairs = rest.join(small, "band").where("root <> hub_root and (m < n or m = n and hub < id)").where(near & (overlap >= ratio * (F.col("n") + F.col("m")) - 1e-6))
