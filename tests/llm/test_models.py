@@ -221,5 +221,11 @@ def test_index_finds_what_comparing_all_recordings_finds(spark):
     assert found == want and len(found) > 12
 
 
+def test_playing_in_one_map_gives_the_same_fingerprints(spark):
+    vectors = spark.createDataFrame([(1, tune_of(1).tolist()), (2, None), (3, []), (None, tune_of(2).tolist())], "id long, vector array<double>")
+    key = lambda r: (r.id is None, r.id or 0)
+    assert sorted(audio.played_fingerprints(vectors).collect(), key=key) == sorted(audio.fingerprints(audio.synthesized(vectors)).collect(), key=key)
+
+
 def test_words_helper_is_stable():
     assert words(1, 3) == words(1, 3) and documents is not None

@@ -134,9 +134,13 @@ def _mapped(df: DataFrame, column: str, make, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def _played(vector: np.ndarray | None) -> bytes | None:
+    return None if vector is None or not len(vector) else wav(tune(vector))
+
+
 def synthesized(vectors: DataFrame) -> DataFrame:
     """id and a media column from id and vector."""
-    return _mapped(vectors.select("id", "vector"), "vector", lambda v: None if v is None or not len(v) else wav(tune(v)), "id long, media binary")
+    return _mapped(vectors.select("id", "vector"), "vector", _played, "id long, media binary")
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
@@ -144,6 +148,11 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return _mapped(media.select("id", "media"), "media", fingerprint, "id long, prints array<int>")
 
 
+def played_fingerprints(vectors: DataFrame) -> DataFrame:
+    """``fingerprints(synthesized(vectors))`` in one map: each recording is made and read in turn, so no batch of recordings is held."""
+    return _mapped(vectors.select("id", "vector"), "vector", lambda v: fingerprint(_played(v)), "id long, prints array<int>")
+
+
 def matches(prints: DataFrame, queries: DataFrame, max_errors: float = MAX_ERRORS, min_votes: int = MIN_VOTES) -> DataFrame:
     """query_id, match_id, copies, offset, votes and bit_errors: for each query every class of equal fingerprints that aligns with it.
 
