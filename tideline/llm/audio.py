@@ -2,19 +2,20 @@
 
 A recording is a binary column with a mono 16-bit WAV file. Its frames' spectra are folded to twelve
 pitch classes; sixteen filters over the chroma image, computed from its integral image, each give two
-bits, so a frame is one packed 32-bit integer. Recordings are aligned by an inverted index of pairs of
-such integers: shared pairs vote for a time offset (a histogram of offsets for each pair of recordings), and
-the best offset is accepted by the share of differing bits over the overlap.
+bits, so a frame is one packed 32-bit integer. Each query is aligned with every recording at every time offset:
+an offset is accepted by the share of differing bits over the overlap, and pairs of equal integers (two
+prints ``AHEAD`` apart) vote for the best of the accepted offsets.
 
-Equal fingerprints are one class with one row in the index. Queries are looked up in the index; nothing is compared
-that shares no pair of integers.
+The differing bits at all offsets are one correlation of the recordings' bits, so no alignment is lost and held notes
+cost what others do, but the time grows with the number of queries times that of recordings.
+Equal fingerprints are one class and are compared once.
 
 The driver tables have no audio, so ``synthesized`` makes a WAV column from vectors: component k is
 the note played in time slot k.
 
 Cases: null media, files that aren't mono 16-bit WAV, and recordings under ``MIN_FRAMES`` frames have empty
-fingerprints and match nothing. Silent frames aren't indexed. Ties between offsets go to the smallest. Repeated rows are in
-one class. An empty table gives an empty result; extra columns aren't carried.
+fingerprints and match nothing. Places where both recordings are silent don't count for the share of differing bits, so silence
+matches nothing. Ties between offsets go to fewer errors, then to the smallest. Repeated rows are in one class. An empty table gives an empty result; extra columns aren't carried.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,12 @@ FILTERS = (
 #: Quantizer cuts of all filters (quartiles of log ratios on smooth spectra).
 CUTS = (-0.09, 0.0, 0.09)
 MAX_ERRORS = 0.2
-MIN_VOTES = 2
+#: Shared pairs that a match must have: none, as the bit errors decide.
+MIN_VOTES = 0
+#: Prints between the two of a pair.
+AHEAD = 5
+#: Numbers in an array of correlations at most, unless two recordings need more.
+CELLS = 1 << 23
 
 
 def wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -153,28 +160,125 @@ def played_fingerprints(vectors: DataFrame) -> DataFrame:
     return _mapped(vectors.select("id", "vector"), "vector", lambda v: fingerprint(_played(v)), "id long, prints array<int>")
 
 
+def _spectra(prints: list[np.ndarray], size: int) -> np.ndarray:
+    """Fourier transforms of the 32 bits as plus and minus one, as frequency, bit, recording."""
+    signs = np.zeros((len(prints), 32, size), dtype=np.float32)
+    for k, p in enumerate(prints):
+        signs[k, :, : len(p)] = 1 - 2 * (p.view(np.uint32) >> np.arange(32, dtype=np.uint32)[:, None] & np.uint32(1)).astype(np.float32)
+    return np.ascontiguousarray(np.fft.rfft(signs, axis=2).astype(np.complex64).transpose(2, 1, 0))
+
+
+def _fast_size(n: int) -> int:
+    """The least 2**a, 5 * 2**a or 7 * 2**a that is n or more."""
+    return min(f << max(0, (-(-n // f) - 1).bit_length()) for f in (1, 5, 7))
+
+
+def _candidates(x: list[np.ndarray], y: list[np.ndarray], max_errors: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Indexes in x and y and offsets of all overlaps of enough prints with few enough differing bits.
+
+    The differing bits at every offset come from one correlation of both recordings' bits; its rounding is
+    allowed for, so that nothing is lost, and the caller counts the bits again.
+    """
+    ends = [np.array([len(p) for p in side]) for side in (x, y)]
+    # the correlation is circular: offsets that meet there have overlaps of MIN_FRAMES together, so too few each
+    size = _fast_size(int(ends[0].max() + ends[1].max()) - MIN_FRAMES)
+    offset = np.arange(size)
+    offset[offset > ends[1].max() - MIN_FRAMES] -= size
+    own = max(1, min(32, CELLS // (32 * size)))
+    other = max(1, min(128, CELLS // (own * size)))
+    theirs = max(1, CELLS // (32 * size) // other) * other
+    for k in range(0, len(y), theirs):
+        there = _spectra(y[k : k + theirs], size)
+        for i in range(0, len(x), own):
+            here = np.ascontiguousarray(_spectra(x[i : i + own], size).conj().transpose(0, 2, 1))
+            for j in range(0, there.shape[2], other):
+                agree = np.fft.irfft(here @ there[:, :, j : j + other], size, axis=0)
+                a, b = ends[0][i : i + own], ends[1][k + j : k + j + agree.shape[2]]
+                for n in np.unique(a):
+                    for m in np.unique(b):
+                        shared = np.minimum(np.minimum(n, m - offset), np.minimum(n + offset, m))
+                        least = np.where(shared >= MIN_FRAMES, (1 - 2 * max_errors) * 32 * shared - 2, np.inf).astype(np.float32)
+                        rows, columns = np.flatnonzero(a == n), np.flatnonzero(b == m)
+                        part = agree if len(rows) == len(a) and len(columns) == len(b) else agree[:, rows[:, None], columns]
+                        d, q, r = np.unravel_index(np.flatnonzero(part >= least[:, None, None]), part.shape)
+                        yield i + rows[q], k + j + columns[r], offset[d]
+
+
+def _judged(x: np.ndarray, y: list[np.ndarray], offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Differing bits, places where either sounds and votes of x against each of y at an offset."""
+    first, at = max(0, -offset), max(0, offset)
+    parts = [p[at : at + len(x) - first] for p in y]
+    ends = np.array([len(p) for p in parts])
+    b = np.zeros((len(parts), int(ends.max())), dtype=np.int32)
+    for k, p in enumerate(parts):
+        b[k, : len(p)] = p
+    a = x[first : first + b.shape[1]]
+    inside = np.arange(b.shape[1]) < ends[:, None]
+    wrong = (np.bitwise_count((a ^ b).view(np.uint32)) * inside).sum(1, dtype=np.int64)
+    same = (a == b) & (b != 0) & inside
+    return wrong, (((a != 0) | (b != 0)) & inside).sum(1), (same[:, :-AHEAD] & same[:, AHEAD:]).sum(1)
+
+
+def aligned(x: list[np.ndarray], y: list[np.ndarray], max_errors: float = MAX_ERRORS, min_votes: int = MIN_VOTES) -> list[tuple[int, int, int, int, float]]:
+    """Index in x, index in y, offset, votes and share of differing bits of every pair that aligns, at its best offset."""
+    best: dict[tuple[int, int], tuple] = {}
+    classes: list[dict[int, list[int]]] = [{}, {}]  # by length, so that a long recording doesn't pad the short ones
+    for side, found in zip((x, y), classes):
+        for k, p in enumerate(side):
+            if len(p) >= MIN_FRAMES:
+                found.setdefault(len(p).bit_length(), []).append(k)
+    for mine in classes[0].values():
+        for theirs in classes[1].values():
+            for q, r, d in _candidates([x[k] for k in mine], [y[k] for k in theirs], max_errors):
+                order = np.lexsort((d, q))
+                cuts = np.flatnonzero(np.diff(q[order]) | np.diff(d[order])) + 1
+                for group in np.split(order, cuts) if len(order) else ():
+                    k, offset = mine[q[group[0]]], int(d[group[0]])
+                    others = [theirs[c] for c in r[group]]
+                    for other, wrong, sounding, votes in zip(others, *(v.tolist() for v in _judged(x[k], [y[c] for c in others], offset))):
+                        if sounding and wrong <= max_errors * 32 * sounding and votes >= min_votes:
+                            rank = (votes, -wrong / (32 * sounding), -abs(offset), offset)
+                            best[k, other] = max(rank, best.get((k, other), rank))
+    return [(k, other, rank[3], rank[0], -rank[1]) for (k, other), rank in best.items()]
+
+
+def _packed(kinds: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows of about ``size`` classes each; as a table, so that a join knows its size and sends the smaller one around."""
+    packs = -(-kinds.count() // size) or 1
+    rows = kinds.groupBy(F.pmod("key", F.lit(packs)).alias("pack")).agg(F.collect_list(F.struct("key", "prints")).alias(name))
+    return materialize(rows.select(name), name).repartition(packs)
+
+
+def _unpacked(column: pa.ListArray, row: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    items = column[row].values
+    prints = items.field("prints")
+    ends, values = prints.offsets.to_numpy(), prints.values.to_numpy()
+    return items.field("key").to_numpy(), [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def matches(prints: DataFrame, queries: DataFrame, max_errors: float = MAX_ERRORS, min_votes: int = MIN_VOTES) -> DataFrame:
     """query_id, match_id, copies, offset, votes and bit_errors: for each query every class of equal fingerprints that aligns with it.
 
     match_id is the class's smallest id; ``copies`` counts its rows. A query's own class is among them.
     """
-    spark = prints.sparkSession
     keyed = materialize(prints.where(F.size("prints") > 0).withColumn("key", F.xxhash64("prints")), "prints")
     kinds = keyed.groupBy("key").agg(F.min("id").alias("match_id"), F.count("*").alias("copies"), F.first("prints").alias("prints"))
     kinds = materialize(kinds, "kinds")
     asked = materialize(keyed.select("id", "key").join(queries.select("id").distinct(), "id"), "asked")
-    ahead = 5
-    entry = F.expr(f"filter(transform(slice(prints, 1, size(prints) - {ahead}), (p, i) -> named_struct('a', p, 'b', get(prints, i + {ahead}), 'at', i)), x -> x.a != 0 and x.b != 0)")
-    index = kinds.select("key", F.explode(entry).alias("e")).select("key", F.xxhash64("e.a", "e.b").alias("pair"), "e.at")
-    # one entry for each pair of integers and recording: a held note repeats its pair
-    index = materialize(index.groupBy("key", "pair").agg(F.min("at").alias("at")), "index")
-    left = index.join(asked.select("key").distinct(), "key").select(F.col("key").alias("q"), "pair", F.col("at").alias("q_at"))
-    votes = left.join(index, "pair").groupBy("q", "key", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.where(F.col("votes") >= min_votes).groupBy("q", "key").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), F.col("offset"))).alias("b"))
-    pairs = best.select("q", "key", "b.offset", "b.votes")
-    sides = pairs.join(kinds.select(F.col("key").alias("q"), F.col("prints").alias("x")), "q").join(kinds.select("key", "match_id", "copies", F.col("prints").alias("y")), "key")
-    wrong = F.expr("aggregate(zip_with(if(offset >= 0, slice(x, 1, greatest(least(size(x), size(y) - offset), 0)), slice(x, 1 - offset, greatest(least(size(x) + offset, size(y)), 0))), if(offset >= 0, slice(y, 1 + offset, greatest(least(size(x), size(y) - offset), 0)), slice(y, 1, greatest(least(size(x) + offset, size(y)), 0))), (p, r) -> bit_count((p ^ r) & 4294967295L)), 0, (s, v) -> s + v)")
-    shared = F.expr("if(offset >= 0, least(size(x), size(y) - offset), least(size(x) + offset, size(y)))")
-    judged = sides.select("q", "match_id", "copies", "offset", "votes", wrong.alias("wrong"), shared.alias("shared"))
-    good = judged.where((F.col("shared") >= MIN_FRAMES) & (F.col("wrong") <= max_errors * 32 * F.col("shared")))
-    return asked.join(good, asked.key == good.q).select(F.col("id").alias("query_id"), "match_id", "copies", F.col("offset").cast("long").alias("offset"), "votes", (F.col("wrong") / (32 * F.col("shared"))).alias("bit_errors"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own, x = _unpacked(batch.column("own"), row)
+                other, y = _unpacked(batch.column("other"), row)
+                found = aligned(x, y, max_errors, min_votes)
+                q, r, offset, votes, errors = (list(c) for c in zip(*found)) if found else ([],) * 5
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[q] if q else [], pa.int64()), pa.array(other[r] if r else [], pa.int64()), pa.array(offset, pa.int64()), pa.array(votes, pa.int64()), pa.array(errors, pa.float64())],
+                    names=["q", "key", "offset", "votes", "bit_errors"],
+                )
+
+    own = _packed(kinds.join(asked.select("key").distinct(), "key").select("key", "prints"), 2048, "own")
+    good = _packed(kinds.select("key", "prints"), 256, "other").crossJoin(own).mapInArrow(run, "q long, key long, offset long, votes long, bit_errors double")
+    named = materialize(good, "aligned").join(kinds.select("key", "match_id", "copies"), "key")
+    return asked.withColumnRenamed("key", "q").join(named, "q").select(F.col("id").alias("query_id"), "match_id", "copies", "offset", "votes", "bit_errors")
