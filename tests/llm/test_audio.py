@@ -44,3 +44,23 @@ def test_every_alignment_of_noisy_recordings_is_found(spark):
     got = matched(spark, prints, range(0, 100, 20))
     assert set(got) == set(want) and len(want) > 45 and sum(min(w.values()) > 0.1 for w in want.values()) > 15
     assert all(abs(want[k][r.offset] - r.bit_errors) < 1e-9 for k, r in got.items())
+
+
+def random_prints(seed, n):
+    return np.random.default_rng(seed).integers(1, 1 << 31, n).astype(np.int32)
+
+
+def test_repeated_prints_count_at_every_place(spark):
+    x, y, held = random_prints(1, 30), random_prints(2, 25), np.repeat(random_prints(3, 1), 40)
+    prints = {1: np.concatenate([x, x, y]), 2: np.concatenate([x, y]), 3: held, 4: held, 5: held[:30]}
+    got = matched(spark, prints, [2, 4])
+    assert set(got) == {(2, 1), (2, 2), (4, 3), (4, 5)}
+    assert got[2, 1].offset == 30 and got[2, 1].bit_errors == 0 and got[2, 1].votes == 50
+    assert got[4, 3].copies == 2 and got[4, 3].offset == 0 and got[4, 3].votes == 35
+    assert got[4, 5].offset == 0 and got[4, 5].bit_errors == 0 and got[4, 5].votes == 25
+
+
+def test_silence_matches_nothing(spark):
+    silent, a, b = np.zeros(60, dtype=np.int32), random_prints(4, 30), random_prints(5, 30)
+    got = matched(spark, {1: silent, 2: np.concatenate([silent, a]), 3: np.concatenate([silent, b])}, [1, 2])
+    assert set(got) == {(2, 2)} and got[2, 2].offset == 0
