@@ -64,3 +64,15 @@ def test_silence_matches_nothing(spark):
     silent, a, b = np.zeros(60, dtype=np.int32), random_prints(4, 30), random_prints(5, 30)
     got = matched(spark, {1: silent, 2: np.concatenate([silent, a]), 3: np.concatenate([silent, b])}, [1, 2])
     assert set(got) == {(2, 2)} and got[2, 2].offset == 0
+
+
+def test_recordings_of_few_prints_match_their_copies_and_what_holds_them(spark):
+    clip = melody(7)
+    whole = audio.fingerprint(audio.wav(clip))
+    start = 30 * audio.HOP
+    prints = {1: whole, **{k: audio.fingerprint(audio.wav(clip[start : start + audio.FRAME + (frames - 1) * audio.HOP])) for k, frames in ((2, 20), (3, 20), (4, 34))}}
+    assert [len(prints[k]) for k in (2, 3, 4)] == [5, 5, 19]
+    got = matched(spark, prints, [2, 4])
+    assert {(2, 1), (2, 2), (2, 4), (4, 1), (4, 2), (4, 4)} == set(got)
+    assert got[2, 2].copies == 2 and got[2, 2].bit_errors == 0 and got[4, 4].bit_errors == 0 and got[4, 1].offset == 30
+    assert brute_force({k: p for k, p in prints.items() if k == 1}, [1]).keys() == {(1, 1)}

@@ -14,7 +14,8 @@ The driver tables have no audio, so ``synthesized`` makes a WAV column from vect
 the note played in time slot k.
 
 Cases: null media, files that aren't mono 16-bit WAV, and recordings under ``MIN_FRAMES`` frames have empty
-fingerprints and match nothing. Places where both recordings are silent don't count for the share of differing bits, so silence
+fingerprints and match nothing. ``MIN_FRAMES`` frames give ``MIN_FRAMES - WINDOW + 1`` prints: two recordings must share ``MIN_FRAMES``
+prints (``MIN_FRAMES + WINDOW - 1`` frames), or all prints of the shorter one if it has fewer. Places where both recordings are silent don't count for the share of differing bits, so silence
 matches nothing. Ties between offsets go to fewer errors, then to the smallest. Repeated rows are in one class. An empty table gives an empty result; extra columns aren't carried.
 """
 
@@ -180,10 +181,11 @@ def _candidates(x: list[np.ndarray], y: list[np.ndarray], max_errors: float) ->
     allowed for, so that nothing is lost, and the caller counts the bits again.
     """
     ends = [np.array([len(p) for p in side]) for side in (x, y)]
-    # the correlation is circular: offsets that meet there have overlaps of MIN_FRAMES together, so too few each
-    size = _fast_size(int(ends[0].max() + ends[1].max()) - MIN_FRAMES)
+    # the correlation is circular: offsets that meet there have overlaps of the fewest prints together, so too few each
+    fewest = min(MIN_FRAMES, int(ends[0].min()), int(ends[1].min()))
+    size = _fast_size(int(ends[0].max() + ends[1].max()) - fewest)
     offset = np.arange(size)
-    offset[offset > ends[1].max() - MIN_FRAMES] -= size
+    offset[offset > ends[1].max() - fewest] -= size
     own = max(1, min(32, CELLS // (32 * size)))
     other = max(1, min(128, CELLS // (own * size)))
     theirs = max(1, CELLS // (32 * size) // other) * other
@@ -197,7 +199,7 @@ def _candidates(x: list[np.ndarray], y: list[np.ndarray], max_errors: float) ->
                 for n in np.unique(a):
                     for m in np.unique(b):
                         shared = np.minimum(np.minimum(n, m - offset), np.minimum(n + offset, m))
-                        least = np.where(shared >= MIN_FRAMES, (1 - 2 * max_errors) * 32 * shared - 2, np.inf).astype(np.float32)
+                        least = np.where(shared >= min(MIN_FRAMES, n, m), (1 - 2 * max_errors) * 32 * shared - 2, np.inf).astype(np.float32)
                         rows, columns = np.flatnonzero(a == n), np.flatnonzero(b == m)
                         part = agree if len(rows) == len(a) and len(columns) == len(b) else agree[:, rows[:, None], columns]
                         d, q, r = np.unravel_index(np.flatnonzero(part >= least[:, None, None]), part.shape)
@@ -225,7 +227,7 @@ def aligned(x: list[np.ndarray], y: list[np.ndarray], max_errors: float = MAX_ER
     classes: list[dict[int, list[int]]] = [{}, {}]  # by length, so that a long recording doesn't pad the short ones
     for side, found in zip((x, y), classes):
         for k, p in enumerate(side):
-            if len(p) >= MIN_FRAMES:
+            if len(p):
                 found.setdefault(len(p).bit_length(), []).append(k)
     for mine in classes[0].values():
         for theirs in classes[1].values():
