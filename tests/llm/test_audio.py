@@ -76,3 +76,20 @@ def test_recordings_of_few_prints_match_their_copies_and_what_holds_them(spark):
     assert {(2, 1), (2, 2), (2, 4), (4, 1), (4, 2), (4, 4)} == set(got)
     assert got[2, 2].copies == 2 and got[2, 2].bit_errors == 0 and got[4, 4].bit_errors == 0 and got[4, 1].offset == 30
     assert brute_force({k: p for k, p in prints.items() if k == 1}, [1]).keys() == {(1, 1)}
+
+
+def sound(rate, high):
+    """A melody of notes below 1 kHz, with a tone at ``high`` Hz that ``audio.RATE`` can't hold, if given."""
+    t = np.arange(8 * rate) / rate
+    notes = 130.81 * 2 ** (np.random.default_rng(8).integers(0, 30, 32) / 12)
+    return 0.4 * np.sin(2 * np.pi * notes[(t * 4).astype(int)] * t) + (0.3 * np.sin(2 * np.pi * high * t) if high else 0)
+
+
+def test_recordings_of_other_rates_have_the_same_prints():
+    want = audio.fingerprint(audio.wav(sound(audio.RATE, 0)))
+    for rate, high in ((16000, 3000), (8000, 2700), (44100, 9000), (48000, 0), (11025, 4000)):
+        got = audio.fingerprint(audio.wav(sound(rate, high), rate))
+        assert len(got) == len(want) > 100
+        assert np.bitwise_count((got ^ want).view(np.uint32)).sum() < 0.03 * 32 * len(want)
+    assert len(audio.fingerprint(audio.wav(sound(2000, 0), 2000))) == len(want)
+    assert len(audio.unwav(audio.wav(np.ones(3), 48000))) == 1 and len(audio.unwav(audio.wav(np.ones(0), 8000))) == 0 and audio.unwav(audio.wav(np.ones(9), 0)) is None

@@ -1,6 +1,6 @@
 """Media columns: chroma fingerprints of audio and alignment of recordings.
 
-A recording is a binary column with a mono 16-bit WAV file. Its frames' spectra are folded to twelve
+A recording is a binary column with a mono 16-bit WAV file of any rate, brought to ``RATE``. Its frames' spectra are folded to twelve
 pitch classes; sixteen filters over the chroma image, computed from its integral image, each give two
 bits, so a frame is one packed 32-bit integer. Each query is aligned with every recording at every time offset:
 an offset is accepted by the share of differing bits over the overlap, and pairs of equal integers (two
@@ -21,6 +21,7 @@ matches nothing. Ties between offsets go to fewer errors, then to the smallest.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -57,15 +58,36 @@ def wav(samples: np.ndarray, rate: int = RATE) -> bytes:
 
 
 def unwav(media: bytes | None) -> np.ndarray | None:
-    """The samples of a mono 16-bit PCM WAV file at ``RATE``, or None."""
+    """The samples of a mono 16-bit PCM WAV file, brought to ``RATE``, or None."""
     if not media or media[:4] != b"RIFF" or media[8:16] != b"WAVEfmt ":
         return None
     kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", media, 20) if len(media) >= 36 else (0,) * 6
     at = media.find(b"data", 36)
-    if (kind, channels, rate, bits) != (1, 1, RATE, 16) or at < 0:
+    if (kind, channels, bits) != (1, 1, 16) or not rate or at < 0:
         return None
     data = media[at + 8 :]
-    return np.frombuffer(data[: len(data) // 2 * 2], dtype="<i2").astype(np.float32) / 32768
+    return resampled(np.frombuffer(data[: len(data) // 2 * 2], dtype="<i2").astype(np.float32) / 32768, rate)
+
+
+def resampled(samples: np.ndarray, rate: int) -> np.ndarray:
+    """Samples at ``RATE``, by a windowed sinc that lets pass what both rates can hold."""
+    if rate == RATE or not len(samples):
+        return samples
+    up, down = RATE // math.gcd(RATE, rate), rate // math.gcd(RATE, rate)
+    pass_band = 0.98 * min(1, RATE / rate)
+    half = math.ceil(32 / pass_band)
+    reach = np.arange(-half, half + 1)
+    padded = np.pad(samples, half + 1)
+    out = np.zeros(-(-len(samples) * up // down), dtype=np.float32)
+    for phase in range(min(up, len(out))):
+        first, rest = divmod(phase * down, up)
+        x = reach - rest / up
+        taps = (pass_band * np.sinc(pass_band * x) * np.where(np.abs(x) <= half, np.cos(np.pi * x / (2 * half)) ** 2, 0)).astype(np.float32)
+        windows = np.lib.stride_tricks.sliding_window_view(padded[first + 1 :], len(reach))[::down]
+        n = len(range(phase, len(out), up))
+        for k in range(0, n, 4096):
+            out[phase + k * up : phase + min(k + 4096, n) * up : up] = windows[k : min(k + 4096, n)] @ taps
+    return out
 
 
 def tune(vector: np.ndarray, slot: float = 0.25) -> np.ndarray:
