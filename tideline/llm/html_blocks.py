@@ -107,7 +107,7 @@ def vectors(found: list[Block]) -> np.ndarray:
         row = out[k]
         for name in b.path:
             row[_slot(name, PATH, False)[0]] = 1
-        words = b.text.lower().split(None, 64)[:64]
+        words = b.text.lower().split()
         for w in words:
             i, s = _slot(w, WORDS, True)
             row[PATH + i] += s / (1 + len(words)) ** 0.5
