@@ -50,6 +50,23 @@ def discard(*tables: DataFrame) -> None:
         files.delete(hadoop_path, True)
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` doesn't have in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name, k = f"_{stem}", 0
+        while name.lower() in taken:
+            name, k = f"_{stem}_{k}", k + 1
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference to it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

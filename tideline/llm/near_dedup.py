@@ -10,10 +10,13 @@ than its latest register are never drawn, so a signature costs about one point a
 Registers form bands; texts that agree in a band are candidates, and a pair is linked if its exact
 multiset overlap is ``similarity`` or more. Classes are the components of the links. Inside a band's
 bucket no pairs are listed: every text is compared with one hub of its bucket, over several
-rounds with other hubs; texts that are in the hub's component by then need no further proof. For buckets
-that still hold several components, the pairs across components are verified too, so no link between
-texts of different classes is lost, except those that the similarity rules out before: shingles that
-no other text has bound a text's overlap with any other.
+rounds with other hubs; texts that are in the hub's component by then need no further proof. Links of a
+round join components, not texts. For texts whose buckets still hold several components, links
+across components are searched by prefixes: with the cells that only one component has put first and the
+others in order of their frequency, two texts of n and m cells can reach the similarity only if they
+share a cell within the first n - a + 1 and m - a + 1, where a is the overlap that the pair needs. So
+only cells that tell components apart meet, pairs inside a component never do, and no link between
+texts of different classes is lost.
 
 Equal texts are one node, so copies cost one row each. Node ids are 64-bit hashes of texts.
 
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import by_size, materialize, splitmix, text_key, word_hashes
+from tideline.llm.common import by_size, fresh, materialize, quoted, splitmix, word_hashes
 from tideline.llm.components import components
 
 WORDS = 5
@@ -128,12 +131,8 @@ def signed(documents: DataFrame, shape: Bands, words: int = WORDS) -> DataFrame:
     return keyed.mapInPandas(run, "id long, n long, bands array<long>").dropDuplicates(["id"])
 
 
-#: Parts of all cells, for bounds: the low bits of a cell.
-PARTS = 64
-
-
 def bags(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """id, the levels of all shingles as a set of longs, whose overlap is the multiset overlap, and how many of them are in each part."""
+    """id and the levels of all shingles as a set of longs ("cells"), whose overlap is the multiset overlap."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -143,23 +142,27 @@ def bags(texts: DataFrame, words: int = WORDS) -> DataFrame:
                 text, shingle, count = shingles(texts[first:last], words)
                 level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 cells = splitmix(np.repeat(shingle, count) + level.astype(np.uint64) * _STEP).view(np.int64)
-                owner = np.repeat(text, count)
-                ends = np.cumsum(np.bincount(owner, minlength=last - first))
-                parts = np.bincount(owner * PARTS + (cells & (PARTS - 1)), minlength=(last - first) * PARTS).astype(np.int32)
-                yield pd.DataFrame({"id": ids[first:last], "cells": np.split(cells, ends[:-1]), "parts": list(parts.reshape(-1, PARTS))})
+                ends = np.cumsum(np.bincount(np.repeat(text, count), minlength=last - first))
+                yield pd.DataFrame({"id": ids[first:last], "cells": np.split(cells, ends[:-1])})
 
-    return texts.mapInPandas(run, "id long, cells array<long>, parts array<int>").dropDuplicates(["id"])
+    return texts.mapInPandas(run, "id long, cells array<long>").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose multiset overlap reaches the similarity."""
+    """The pairs (u, v, and any further columns) whose multiset overlap reaches the similarity."""
     left, right = bag.select(F.col("id").alias("u"), F.col("cells").alias("a")), bag.select(F.col("id").alias("v"), F.col("cells").alias("b"))
     met = pairs.join(left, "u").join(right, "v").withColumn("both", F.size(F.array_intersect("a", "b")))
-    return met.where(F.col("both") >= similarity * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
+    return met.where(F.col("both") >= similarity * (F.size("a") + F.size("b") - F.col("both"))).select(*pairs.columns)
+
+
+def _met(one: Column, other: Column) -> list[Column]:
+    """Two structs of id and root as u, its root, v and its root, the smaller id first."""
+    low, high = F.least(one, other), F.greatest(one, other)
+    return [low["id"].alias("u"), low["root"].alias("u_root"), high["id"].alias("v"), high["root"].alias("v_root")]
 
 
 def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = Bands(), words: int = WORDS, rounds: int = 3) -> DataFrame:
-    """(id, root) of the texts that have a near-duplicate; ids are hashes of texts."""
+    """(id, root) of the texts that have a near-duplicate and aren't their class's root themselves; ids are hashes of texts."""
     table = materialize(signed(documents, shape, words), "bands")
     rows = table.select("id", "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c >= 2").select("band")
@@ -169,59 +172,74 @@ def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = B
     bag = materialize(bags(texts.join(wanted, "id"), words), "bags")
     # cells that no other text has: what they leave, e, bounds every overlap, so J <= e / n
     single = bag.select("id", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    single = single.groupBy("id", F.pmod("cell", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("c"))
-    single = materialize(single.groupBy("id").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("own")), "own")
-    rows = rows.join(single.select("id", "c"), "id", "left").withColumn("e", F.col("n") - F.coalesce("c", F.lit(0))).drop("c").where(F.col("e") >= similarity * F.col("n"))
-    rows = materialize(rows.select("band", "id", "n", "e"), "buckets")
+    single = single.groupBy("id").agg(F.count("*").cast("int").alias("c"))
+    rows = rows.join(single, "id", "left").withColumn("e", F.col("n") - F.coalesce("c", F.lit(0))).drop("c").where(F.col("e") >= similarity * F.col("n"))
+    state = materialize(rows.select("band", "id", "n", "e", F.col("id").alias("root")), "buckets")
     ratio = similarity / (1 + similarity)
     near = (F.least("n", "m") >= similarity * F.greatest("n", "m")) & (F.least("e", "f") >= ratio * (F.col("n") + F.col("m")) - 1e-6)
-    found, roots, tried = None, None, None
-    state = rows.withColumn("root", F.col("id"))
+    tried = None
     for k in range(rounds + 1):
         # the hub is the text with the least of its own: the likely origin of its bucket's copies
-        hub = F.min(F.struct(((F.col("n") - F.col("e")) / F.col("n") if k == 0 else F.lit(0.0)).alias("own"), F.xxhash64("id", F.lit(k)).alias("r"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("e").alias("f"), F.col("root").alias("hub_root")))
+        hub = F.min(F.struct(((F.col("n") - F.col("e")) / F.col("n") if k == 0 else F.lit(0.0)).alias("own"), F.xxhash64("id", F.lit(k)).alias("r"), F.struct("id", "root").alias("hub"), F.col("n").alias("m"), F.col("e").alias("f")))
         if k < rounds:
-            mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub.alias("x")).where("low <> high").select("band", "x.hub", "x.m", "x.f", "x.hub_root")
-            pairs = state.join(mixed, "band").where("root <> hub_root").where(near).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
+            mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub.alias("x")).where("low <> high").select("band", "x.hub", "x.m", "x.f")
+            pairs = state.join(mixed, "band").where("root <> hub.root").where(near).select(*_met(F.struct("id", "root"), F.col("hub")))
         else:
-            pairs = _across(state, _sketches(bag, single), near, ratio)
+            pairs = _across(state, bag, similarity)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = materialize(verified(pairs, bag, similarity), "links")
-        found = new if found is None else found.unionByName(new)
-        roots = materialize(components(found), "roots")
-        state = rows.join(roots, "id", "left").select("band", "id", "n", "e", F.coalesce("root", "id").alias("root"))
-    return roots if roots is not None else rows.select("id", F.col("id").alias("root")).limit(0)
+        tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
+        new = materialize(verified(pairs, bag, similarity).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct(), "links")
+        moved = materialize(components(new), "roots").select(F.col("id").alias("root"), F.col("root").alias("new"))
+        state = materialize(state.join(moved, "root", "left").select("band", "id", "n", "e", F.coalesce("new", "root").alias("root")), "buckets")
+    return state.where("id <> root").select("id", "root").distinct()
 
 
-def _sketches(bag: DataFrame, single: DataFrame) -> DataFrame:
-    """id and, for each part, how many of its cells another text has too; of two texts the smaller counts, summed, bound the overlap."""
-    shared = F.transform("parts", lambda n, i: n - F.coalesce(F.try_element_at("own", i), F.lit(0)))
-    return bag.select("id", "parts").join(single.select("id", "own"), "id", "left").select("id", shared.alias("sketch"))
+def _across(state: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
+    """The pairs across components that could reach the similarity, of texts whose buckets still hold several components.
 
-
-def _across(state: DataFrame, sketches: DataFrame, near, ratio: float) -> DataFrame:
-    """The pairs of buckets that still hold several components, across components, that could reach the similarity.
-
-    Of such a pair the smaller text, at least, could be as similar to a text of its own size ("common"). A text that
-    isn't common can only pair with one that is smaller than ``most``; it goes if its bucket has none. The
-    pairs' sketches then bound their overlaps.
+    ``reach`` of a text's cell is the largest size of another text that could still pair with this one if this cell,
+    in the common order, were the first that both have. The smaller text of a pair is found by the cells that reach
+    its own size, the larger one by those that reach the least size it may pair with.
     """
-    state = state.withColumn("most", F.col("e") / ratio - F.col("n")).withColumn("common", F.col("most") >= F.col("n") - 1e-6)
-    least = state.groupBy("band").agg(F.min(F.when(F.col("common"), F.col("n"))).alias("least"))
-    open_ = state.join(least, "band").where(F.col("common") | (F.col("most") >= F.col("least") - 1e-6)).drop("least")
-    mixed = open_.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    rest = materialize(open_.join(mixed, "band"), "rest")
-    rest = materialize(rest.join(sketches.join(rest.select("id").distinct(), "id"), "id"), "rest")
-    small = rest.where("common").select("band", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("e").alias("f"), F.col("root").alias("hub_root"), F.col("sketch").alias("hub_sketch"))
-    overlap = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    pairs = rest.join(small, "band").where("root <> hub_root and (m < n or m = n and hub < id)").where(near & (overlap >= ratio * (F.col("n") + F.col("m")) - 1e-6))
-    return pairs.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
+    ratio, slack = similarity / (1 + similarity), 1e-6
+    mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    open_ = state.join(mixed, "band").select("id", "root").distinct()
+    cells = bag.join(open_, "id").select("id", "root", F.size("cells").alias("n"), F.explode("cells").alias("cell"))
+    for _ in range(2):  # texts that go leave cells to one component, which makes more texts go
+        cells = materialize(cells, "cells")
+        kinds = cells.groupBy("cell").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell", "df")
+        bags_ = cells.join(materialize(kinds, "kinds"), "cell").groupBy("id").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "cell"))).alias("shared"))
+        bags_ = bags_.where(F.size("shared") >= similarity * F.col("n") - slack)
+        cells = bags_.select("id", "root", "n", F.explode("shared.cell").alias("cell"))
+    own = F.col("n") - F.size("shared")
+    prefix = bags_.select("id", "root", "n", own.alias("own"), F.posexplode(F.slice("shared", 1, F.greatest(F.lit(0), F.floor(F.col("n") * (1 - similarity) + slack).cast("int") + 1 - own))).alias("k", "x"))
+    reach = (F.col("n") - F.col("own") - F.col("k")) / ratio - F.col("n")
+    size = F.floor(F.log(F.col("n")) / np.log(1 / similarity) + 1e-9).cast("int")
+    prefix = materialize(prefix.select("id", "root", "n", F.col("x.cell").alias("cell"), size.alias("size"), reach.alias("reach")), "prefixes")
+    small = prefix.where(F.col("reach") >= F.col("n") - slack)
+    large = prefix.select("id", "root", "n", "cell", "reach", F.explode(F.array("size", F.col("size") - 1)).alias("size"))
+    key = ["cell", "size"]
+
+    def facing(rows: DataFrame) -> DataFrame:
+        """For each cell and size of ``rows`` the least text, whether there are several components, and the largest component."""
+        by_root = rows.groupBy(*key, "root").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+        found = by_root.groupBy(*key).agg(F.min("n").alias("least"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("several"))
+        return materialize(found.select(*key, "least", F.col("top.root").alias("top"), (F.col("several") > 1).alias("several")), "facing")
+
+    meets = (F.col("several") | (F.col("root") != F.col("top"))) & (F.col("reach") >= F.col("least") - slack)
+    large = materialize(large.join(facing(small), key).where(meets).select("id", "root", "n", "reach", (F.col("root") == F.col("top")).alias("of_top"), "top", *key), "large")
+    small = small.join(facing(large), key).where(meets).select("id", "root", "n", "reach", *key)
+    # texts of a cell's largest component meet those of the others only, which are kept apart for them
+    tops = materialize(large.select(*key, "top").distinct(), "tops")
+    small = small.join(tops, key).select(F.struct("id", "root").alias("hub"), F.col("n").alias("m"), F.col("reach").alias("f"), F.explode(F.when(F.col("root") == F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("of_top"), *key)
+    pairs = large.join(materialize(small, "small"), [*key, "of_top"])
+    fits = (F.col("m") <= F.col("n")) & (F.col("m") >= similarity * F.col("n") - slack) & (F.col("m") <= F.col("reach") + slack) & (F.col("n") <= F.col("f") + slack)
+    return pairs.where(fits & (F.col("root") != F.col("hub.root")) & ((F.col("m") < F.col("n")) | (F.col("hub.id") < F.col("id")))).select(*_met(F.struct("id", "root"), F.col("hub")))
 
 
 def classes(documents: DataFrame, **parameters) -> DataFrame:
@@ -232,26 +250,28 @@ def classes(documents: DataFrame, **parameters) -> DataFrame:
 def _classes(documents: DataFrame, **parameters) -> DataFrame:
     roots = links(documents, **parameters)
     keyed = documents.select("doc_id", F.when(has_words(), F.xxhash64("text")).alias("id"))
-    filled = keyed.where("id is not null").join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
+    filled = keyed.where("id is not null").join(materialize(roots, "roots"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
     filled = materialize(filled, "classes")
-    sizes = filled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # a table of its own, so that the join can split a hot class
+    sizes = materialize(filled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "sizes")
     alone = keyed.where("id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("long").alias("root"))
     return filled.join(sizes, "root").select("doc_id", "class_id", "class_size", "root").unionByName(alone)
 
 
 def keep_one(documents: DataFrame, **parameters) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id; all columns as they were.
+    """One document of each class, the one with the smallest doc_id; all columns as they were, whatever their names.
 
     Documents without words stay. Where doc_id is null or repeats in a class, one of the rows that
     have the smallest (a null only if there is nothing else) stays.
     """
-    roots = links(documents, **parameters)
+    roots = materialize(links(documents, **parameters), "roots")
     id_ = F.when(has_words(), F.xxhash64("text"))
-    keyed = documents.withColumn("_id", id_)
-    small = documents.select("doc_id", id_.alias("id")).where("id is not null").join(roots, "id", "left")
-    first = small.select(F.coalesce("root", "id").alias("root"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id").alias("x")).groupBy("root").agg(F.min("x").alias("x"))
-    first = first.select(F.col("x.doc_id").alias("_doc"), F.col("x.id").alias("_key"))
-    chosen = keyed.join(first, (F.col("_id") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
-    repeated = chosen.groupBy("_id", "doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).isEmpty()
-    chosen = chosen if repeated else chosen.dropDuplicates(["_id", "doc_id"])
-    return chosen.unionByName(keyed.where("_id is null")).select(*documents.columns)
+    own, doc, key = fresh(documents, "id", "doc", "key")
+    rows = documents.select("doc_id", id_.alias("id")).where("id is not null")
+    first = rows.join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id").alias("x")).groupBy("root").agg(F.min("x").alias("x"))
+    first = materialize(first.select(F.col("x.doc_id").alias(doc), F.col("x.id").alias(key)), "first")
+    ties = rows.join(first, (F.col("id") == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left_semi").groupBy("id", "doc_id").agg(F.count("*").alias("c"))
+    keyed = documents.withColumn(own, id_)
+    chosen = keyed.join(first, (F.col(own) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left_semi")
+    chosen = chosen if ties.where("c > 1").limit(1).isEmpty() else chosen.dropDuplicates([own, "doc_id"])
+    return chosen.unionByName(keyed.where(F.col(own).isNull())).select(*map(quoted, documents.columns))
