@@ -148,6 +148,35 @@ def test_repeated_strings_equal_brute_force(spark, which):
     assert Counter(tuple(r) for r in suffix_dedup.spans(documents(spark, rows)).collect()) == want
 
 
+@pytest.mark.parametrize("limit", [3, 12])
+def test_leading_bytes_that_many_share_are_divided(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
+    r, line = random.Random(4), words(900, 14)
+    shared = [words(910 + i, 22) for i in range(3)]
+    rows = [(i, " ".join([words(i, 20), r.choice(shared)[r.randint(0, 30) :], line, r.choice(shared)[: r.randint(60, 110)], words(500 + i, 20)])) for i in range(60)]
+    rows += [(100 + i, line * 3 + str(i % 7)) for i in range(14)]
+    want = Counter((r[0], *x) for r, x in zip(rows, brute_repeats([t for _, t in rows]), strict=True))
+    assert Counter(tuple(r) for r in suffix_dedup.spans(documents(spark, rows)).collect()) == want
+
+
+def test_multikey_orders_rows_and_tells_shared_bytes():
+    r = np.random.default_rng(2)
+    rows = r.choice(np.array([0, 1, 255], dtype=np.uint8), (400, 16))
+    order, shared = suffix_dedup.multikey(rows.view(">u8").astype(np.uint64))
+    got = [bytes(rows[i]) for i in order]
+    assert got == sorted(got)
+    assert [next((k for k in range(16) if a[k] != b[k]), 16) for a, b in zip(got, got[1:], strict=False)] == shared[1:].tolist()
+
+
+def test_hot_leading_bytes_are_dealt_over_their_ranges_in_order():
+    r = np.random.default_rng(3)
+    lead = np.sort(r.choice(np.array([-5, 0, 0, 0, 7, 9]), 2000))
+    block = r.integers(-(2**63), 2**63 - 1, 2000)
+    order = np.lexsort((block, lead))
+    bucket = suffix_dedup._bucket(np.array([-5, 0, 0, 0, 8]), lead[order], block[order])
+    assert (np.diff(bucket) >= 0).all() and len(set(bucket[lead[order] == 0])) == 3 and bucket.max() <= 5
+
+
 def test_long_text_in_parts_gives_the_same_blocks():
     data = words(3, 1_600_000).encode()
     assert len(data) > 1 << 23

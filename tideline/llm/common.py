@@ -67,6 +67,13 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def with_text(df: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+    """``columns`` of ``df`` with another text; n_chars, if there, is counted again. Other columns stay as they are."""
+    (new,) = fresh(df, "new")
+    df = df.withColumn(new, text)
+    return df.select(*(F.col(new).alias(c) if c == "text" else F.length(F.coalesce(new, F.lit(""))).cast("long").alias(c) if c == "n_chars" else F.col(quoted(c)) for c in columns))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -7,22 +7,27 @@ anchors are sorted, which loses nothing:
 1. Every string of ``width`` bytes has one anchor: the leftmost smallest of its own 64-byte
    fingerprints. Equal strings have the same anchor at the same offset. The strings that share an
    anchor are a run of starts, a block.
-2. The anchors' suffixes, as their leading bytes and a fingerprint of the leading 64, are
-   range-partitioned by splitters that Spark samples, sorted inside each bucket by leading tokens and
-   then by the block's fingerprint, and compared with their neighbours. Splitters fall between
-   different leading tokens, so no two equal suffixes lie on two sides of a boundary. A block that
-   has an equal neighbour repeats as a whole; one whose leading tokens nobody shares cannot repeat;
-3. The few between (edges of repeated passages) are taken apart: first into cells of ``CELL``
-   neighbouring strings, of which only those whose common core is found elsewhere go on, and then
-   into single strings, which are looked up.
+2. A sieve: fingerprints of the anchors' leading 64 bytes and of their blocks are range-partitioned by
+   sampled splitters and sorted. A block that has an equal neighbour repeats as a whole; one whose
+   leading bytes nobody shares cannot repeat. Leading bytes that fill several ranges are dealt over them by
+   their blocks, and neighbours across those boundaries count as sharing. Nine tenths of the blocks end here.
+3. The suffixes of the others (edges of repeated passages, and one example of each block that repeats)
+   are sorted as bytes: range-partitioned by their leading bytes, then in each bucket by multikey quicksort,
+   and what goes before the anchor likewise, read backwards. Two blocks have the string in common that starts
+   d bytes before the anchor if the neighbours between them in the one order share ``width`` - d bytes,
+   and in the other d. So all strings of a bucket are decided by comparing neighbours.
+
+Splitters fall between different leading bytes, so no two suffixes that share them lie on two sides of a boundary. Where
+more than ``LIMIT`` blocks share leading bytes (a common line with ever differing neighbours), the strings are
+divided by d into halves, each of which has more leading bytes in common, until few share them or one string is left.
 
 Blocks that repeat inside a map batch are combined before the shuffle, so a passage that a third of
-all documents share reaches a bucket once a batch. Fingerprints have 64 bits for anchors, 128 for
-blocks (with their anchor's) and 128 for single strings.
+all documents share reaches a bucket once a batch; copies of a text are one text before its bytes move.
+Fingerprints have 64 bits for anchors and 128 for blocks (with their anchor's).
 
 Cases: a null text counts as empty; texts under ``width`` bytes keep all bytes. Repeated rows repeat
 every string they have. Matches never cross documents. An empty table gives an empty result. Extra
-columns aren't carried by ``spans``; ``remove`` keeps all columns.
+columns aren't carried by ``spans``; ``remove`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,14 +37,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import BYTES, by_size, discard, materialize, shuffle_partitions, splitmix, text_key
+from tideline.llm.common import BYTES, by_size, discard, fresh, materialize, quoted, shuffle_partitions, splitmix, text_key, with_text
 
 WIDTH = 200
 GRAM = 64
-CELL = 8
+#: Blocks with the same leading bytes that one task sorts together.
+LIMIT = 2000
+#: Characters that are fingerprinted at once: a slice takes about 150 bytes of memory for each.
+SLICE = 1 << 18
 _MULTIPLIERS = splitmix(np.arange(101, 117, dtype=np.uint64)) | np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -128,12 +136,10 @@ def _anchors(documents: DataFrame, width: int, splitters: np.ndarray) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             k1, k2 = batch["k1"].to_numpy(), batch["k2"].to_numpy()
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
-            for first, last in by_size(texts):
-                if last - first == 1 and len(texts[first]) > 1 << 23:
-                    found = _long_blocks(texts[first], width)
-                else:
-                    found = blocks(texts[first:last], width)
+            texts = batch["text"].tolist()
+            for first, last in by_size(texts, SLICE):
+                encoded = [t.encode("utf-8", "surrogatepass") for t in texts[first:last]]
+                found = _long_blocks(encoded[0], width, SLICE) if last - first == 1 and len(encoded[0]) > 2 * SLICE else blocks(encoded, width)
                 x = pd.DataFrame(found)
                 x["many"] = x.duplicated(["lead", "block"], keep=False)
                 text = x["text"].to_numpy() + first
@@ -149,23 +155,31 @@ def _anchors(documents: DataFrame, width: int, splitters: np.ndarray) -> DataFra
                     spans["more"] = spans["end"] - spans["start"] - width
                     rows.append(spans.assign(lead=spans["k1"], block=0, turn=0, many=True, known=True))
                 for r in rows:
-                    yield r.assign(bucket=np.searchsorted(splitters, r["lead"].to_numpy(), side="right"))[_COLUMNS]
+                    yield r.assign(bucket=_bucket(splitters, r["lead"].to_numpy(), r["block"].to_numpy()))[_COLUMNS]
 
     texts = documents.where(F.octet_length("text") >= width).select(*text_key(F.col("text")), "text")
     return texts.mapInPandas(run, BLOCK)
 
 
+def _bucket(splitters: np.ndarray, lead: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The range of each row; a lead that is a splitter several times is dealt over its ranges in the order of the blocks."""
+    first, last = np.searchsorted(splitters, lead, side="left"), np.searchsorted(splitters, lead, side="right")
+    several = last - first > 1
+    share = (block.astype(np.float64) + 2.0**63) * 2.0**-64
+    return np.where(several, np.minimum(first + 1 + (share * (last - first)).astype(np.int64), last), last).astype(np.int32)
+
+
 def splitters(documents: DataFrame, width: int, buckets: int, one_in: int = 64) -> np.ndarray:
-    """Leading tokens that part the suffixes into even ranges, from a sample of the texts; as many as buckets, so they may come to the driver."""
+    """Leading tokens that part the suffixes into even ranges, from a sample of the texts; as many as buckets, so they may come to the driver. A hot one is there several times."""
     picked = documents.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(one_in)) == 0)
     shares = [i / buckets for i in range(1, buckets)]
     found = _anchors(picked, width, np.zeros(0, dtype=np.int64)).where("not known").agg(F.expr(f"approx_percentile(lead, array({','.join(map(repr, shares))}), 1000)") if shares else F.lit(None)).first()[0]
-    return np.unique(np.array(found or [], dtype=np.int64))
+    return np.sort(np.array(found or [], dtype=np.int64))
 
 
-def _long_blocks(text: bytes, width: int) -> dict[str, np.ndarray]:
-    """A text of over 8 MB in parts that overlap by a string less a byte; a block that a cut divides gives two blocks that both are whole."""
-    parts, step = [], 1 << 22
+def _long_blocks(text: bytes, width: int, step: int = 1 << 22) -> dict[str, np.ndarray]:
+    """A long text in parts that overlap by a string less a byte; a block that a cut divides gives two blocks that both are whole."""
+    parts = []
     for begin in range(0, len(text) - width + 1, step):
         x = blocks([text[begin : begin + step + width - 1]], width)
         x["start"] = x["start"] + begin
@@ -176,12 +190,12 @@ def _long_blocks(text: bytes, width: int) -> dict[str, np.ndarray]:
 WHOLE, EDGE, EXAMPLE = 1, 2, 3
 
 
-def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def compare(batches: Iterator[pd.DataFrame], hot: np.ndarray) -> Iterator[pd.DataFrame]:
     """A bucket's blocks, sorted by (lead, block), against their neighbours.
 
     WHOLE: has an equal block. EDGE: alone, but shares its leading tokens. EXAMPLE: one of each
     group of equal blocks whose leading tokens other blocks share. At most two rows wait for the next
-    batch.
+    batch. ``hot`` are the leads that lie in several buckets; they count as shared.
     """
     carry = None
     for batch in batches:
@@ -190,13 +204,13 @@ def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.loc[known, ["k1", "k2", "start", "more", "turn"]].assign(kind=WHOLE)
         x = batch[~known].drop(columns=["bucket", "known"]).assign(done=False, shown=False)
         x = x if carry is None else pd.concat([carry, x], ignore_index=True)
-        carry, out = _compare(x, final=False)
+        carry, out = _compare(x, hot, final=False)
         yield out
     if carry is not None:
-        yield _compare(carry, final=True)[1]
+        yield _compare(carry, hot, final=True)[1]
 
 
-def _compare(x: pd.DataFrame, final: bool) -> tuple[pd.DataFrame | None, pd.DataFrame]:
+def _compare(x: pd.DataFrame, hot: np.ndarray, final: bool) -> tuple[pd.DataFrame | None, pd.DataFrame]:
     lead, block = x["lead"].to_numpy(), x["block"].to_numpy()
     n = len(x)
     head = np.flatnonzero(np.concatenate([[True], (np.diff(lead) != 0) | (np.diff(block) != 0)])) if n else np.zeros(0, dtype=np.int64)
@@ -204,7 +218,7 @@ def _compare(x: pd.DataFrame, final: bool) -> tuple[pd.DataFrame | None, pd.Data
     run = np.repeat(np.arange(len(head)), sizes)
     many = (sizes >= 2) | (np.add.reduceat(x["many"].to_numpy(dtype=np.int64), head) > 0 if n else False)
     same = lead[head][1:] == lead[head][:-1]
-    shares = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if n else np.zeros(0, dtype=bool)
+    shares = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | np.isin(lead[head], hot) if n else np.zeros(0, dtype=bool)
     done, shown = x["done"].to_numpy(dtype=bool), x["shown"].to_numpy(dtype=bool)
     kind = np.where(done, 0, np.where(many[run], WHOLE, np.where(shares[run], EDGE, 0)))
     example = many & shares & ~shown[head]
@@ -228,77 +242,169 @@ def _compare(x: pd.DataFrame, final: bool) -> tuple[pd.DataFrame | None, pd.Data
     return carry, pd.concat([own, shown_rows])
 
 
+_EDGES = "k1 long, k2 long, start int, more int, turn int, example boolean, bytes binary"
+
+
 def _taken(edges: DataFrame, width: int) -> DataFrame:
     """The bytes of the blocks in ``edges`` (texts and places in them)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k1, k2, text, places in zip(batch["k1"], batch["k2"], batch["text"], batch["places"], strict=True):
+            rows, size = [], 0
+            for k1, k2, text, places in zip(batch["k1"].tolist(), batch["k2"].tolist(), batch["text"], batch["places"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                rows = [(p["start"], p["more"], p["turn"], p["kind"] == EXAMPLE, data[p["start"] : p["start"] + p["more"] + width]) for p in places]
-                x = pd.DataFrame(rows, columns=["start", "more", "turn", "example", "bytes"])
-                x.insert(0, "k1", k1)
-                x.insert(1, "k2", k2)
-                yield x
+                rows += [(k1, k2, p["start"], p["more"], p["turn"], p["kind"] == EXAMPLE, data[p["start"] : p["start"] + p["more"] + width]) for p in places]
+                if len(rows) > 10_000:
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in _EDGES.split(", ")])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _EDGES.split(", ")])
 
-    return edges.select("k1", "k2", "text", "places").mapInPandas(run, "k1 long, k2 long, start int, more int, turn int, example boolean, bytes binary")
+    return edges.select("k1", "k2", "text", "places").mapInPandas(run, _EDGES)
 
 
-def _parts(taken: DataFrame, width: int, whole: bool) -> DataFrame:
-    """The cells of blocks, by the fingerprints of their cores; or the single strings of the given ``cells``, by their own."""
+def multikey(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of words, and how many bytes each row in that order shares with the one before.
+
+    Multikey quicksort, all partitions of a level at once: rows that agree so far are parted by their next
+    word of eight bytes, and those that are alone then are done.
+    """
+    n, k = words.shape
+    order, group, shared = np.arange(n), np.zeros(n, dtype=np.int64), np.full(n, 8 * k, dtype=np.int64)
+    shared[:1] = 0
+    open_ = np.arange(n) if n > 1 else np.zeros(0, dtype=np.int64)
+    for level in range(k):
+        if not len(open_):
+            break
+        rows, own = order[open_], group[open_]
+        key = words[rows, level]
+        by = np.lexsort((key, own))
+        rows, key = rows[by], key[by]
+        order[open_] = rows
+        same = own[1:] == own[:-1]
+        differ = key[1:] ^ key[:-1]
+        parts = np.flatnonzero(same & (differ != 0))
+        byte = (differ[parts, None] >> np.arange(56, -1, -8, dtype=np.uint64) & np.uint64(255) != 0).argmax(1)
+        shared[open_[parts + 1]] = 8 * level + byte
+        new = np.concatenate([[True], ~same | (differ != 0)])
+        group[open_] = open_[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        open_ = open_[~(new & np.append(new[1:], True))]
+    return order, shared
+
+
+def _words(data: np.ndarray, first: np.ndarray, n: np.ndarray, step: int, width: int) -> np.ndarray:
+    """Words of the ``n`` bytes from ``first`` on, forwards or backwards, padded to ``width`` bytes with zeros."""
+    width = -(-width // 8) * 8
+    column = np.arange(width)
+    inside = column < n[:, None]
+    out = np.where(inside, data[np.where(inside, first[:, None] + step * column, 0)], 0).astype(np.uint8)
+    return out.view(">u8").astype(np.uint64)
+
+
+def found_twice(data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, span: int, width: int) -> np.ndarray:
+    """For each block (``begin`` to ``end`` in ``data``, a core of ``width`` - ``span`` bytes from ``at``) which strings two blocks have.
+
+    String d, of those from ``low`` to ``high``, starts d bytes before ``at``. Blocks with different cores share none.
+    """
+    n = len(at)
+    right, after = multikey(_words(data, at, np.minimum(end - at, width), 1, width))
+    right = np.argsort(right)
+    core = np.cumsum(after < width - span)[right]
+    before_words = _words(data, at - 1, np.minimum(at - begin, span), -1, span) if span else np.zeros((n, 0), dtype=np.uint64)
+    left, before = multikey(np.concatenate([core[:, None].astype(np.uint64), before_words], axis=1))
+    left = np.argsort(left)
+    before -= 8  # blocks with different cores come out below zero
+    twice = np.zeros((n, span + 1), dtype=bool)
+    for d in range(span + 1):
+        own = np.flatnonzero((low <= d) & (d <= high))
+        if len(own) < 2:
+            continue
+        key = np.cumsum(before < d)[left[own]] * np.int64(n + 1) + np.cumsum(after < width - d)[right[own]]
+        order = np.argsort(key, kind="stable")
+        same = np.diff(key[order]) == 0
+        twice[own[order], d] = np.append(same, False) | np.insert(same, 0, False)
+    return twice
+
+
+def _units(edges: DataFrame, ranges: Column, width: int) -> DataFrame:
+    """Blocks with the ranges of d that they are to be compared for, and the leading bytes that all strings of the range have in common."""
+    units = edges.withColumn("range", F.explode(ranges)).select(*(c.split()[0] for c in _EDGES.split(", ")), F.col("range.lo").alias("lo"), F.col("range.hi").alias("hi"))
+    return units.where("lo <= hi and turn >= lo and turn - more <= hi").withColumn("head", F.expr(f"substring(bytes, turn - lo + 1, {width} - hi + lo)"))
+
+
+def _sorted_out(units: DataFrame, width: int) -> DataFrame:
+    """k1, k2, start and end of the strings of edges that are found twice; a bucket is sorted in slices between different leading bytes."""
+
+    def decided(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for (lo, hi), own in x.groupby(["lo", "hi"], sort=False):
+            n = own["bytes"].map(len).to_numpy(dtype=np.int64)
+            end = np.cumsum(n)
+            begin = end - n
+            turn, more = own["turn"].to_numpy(dtype=np.int64), own["more"].to_numpy(dtype=np.int64)
+            data = np.frombuffer(b"".join(own["bytes"]), dtype=np.uint8)
+            low, high = np.maximum(turn - more - lo, 0), np.minimum(turn, hi) - lo
+            twice = found_twice(data, begin, end, begin + turn - lo, low, high, int(hi - lo), width)
+            twice[own["example"].to_numpy(dtype=bool)] = False
+            # runs of neighbouring strings, the last first
+            edge = np.diff(np.pad(twice, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            (row, first), (_, past) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+            anchor = (own["start"].to_numpy(dtype=np.int64) + turn - lo)[row]
+            yield pd.DataFrame({"k1": own["k1"].to_numpy()[row], "k2": own["k2"].to_numpy()[row], "start": (anchor - past + 1).astype(np.int32), "end": (anchor - first + width).astype(np.int32)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
         for batch in batches:
-            for begin in range(0, len(batch), 2000):
-                b = batch.iloc[begin : begin + 2000]
-                at = np.concatenate([[0], np.cumsum(b["bytes"].map(len).to_numpy())])[:-1]
-                low, high = (b["turn"] - b["more"]).to_numpy(), b["turn"].to_numpy()  # places before the anchor
-                if whole:
-                    first, n = low // CELL, high // CELL - low // CELL + 1
-                    row = np.repeat(np.arange(len(b)), n)
-                    cell = np.arange(len(row)) + np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-                else:
-                    row = np.repeat(np.arange(len(b)), b["cells"].map(len).to_numpy())
-                    cell = np.concatenate([np.asarray(c) for c in b["cells"]])
-                    row, cell = np.repeat(row, CELL), np.repeat(cell, CELL)
-                    place = cell * CELL + np.tile(np.arange(CELL), len(cell) // CELL)
-                    own = (place >= low[row]) & (place <= high[row])
-                    row, cell, place = row[own], cell[own], place[own]
-                shift = cell * CELL if whole else place
-                prints = Fingerprints(np.frombuffer(b"".join(b["bytes"]), dtype=np.uint8))
-                h, g = prints.at(at[row] + high[row] - shift, width - CELL + 1 if whole else width)
-                x = pd.DataFrame({"h": (h ^ splitmix(shift.astype(np.uint64))).view(np.int64), "g": g.view(np.int64)})
-                for c in ("k1", "k2", "start", "turn", "example"):
-                    x[c] = b[c].to_numpy()[row]
-                x["part"] = shift // CELL if whole else (b["start"].to_numpy()[row] + high[row] - shift)
-                yield x.drop(columns="turn")
-
-    return taken.mapInPandas(run, "h long, g long, k1 long, k2 long, start int, example boolean, part int")
-
-
-def _found_again(parts: DataFrame) -> DataFrame:
-    """h, g of the parts that are found twice; copies of a text all have its parts as an example's, so those that aren't examples come from one place each."""
-    again = parts.groupBy("h", "g").agg(F.max("example").alias("example"), F.sum(F.when(F.col("example"), 0).otherwise(1)).alias("n"))
-    return again.where("n >= 1 and (example or n >= 2)").select("h", "g")
+            for first in range(0, len(batch), LIMIT):
+                part = batch.iloc[first : first + LIMIT]
+                heads = part["head"]
+                cut = int((heads != heads.iloc[-1]).to_numpy().nonzero()[0][-1]) + 1 if heads.iloc[0] != heads.iloc[-1] else 0
+                if not cut and waiting and waiting[-1]["head"].iloc[-1] != heads.iloc[0]:
+                    yield from decided(pd.concat(waiting))
+                    waiting = []
+                if cut:
+                    yield from decided(pd.concat([*waiting, part.iloc[:cut]]))
+                    waiting = []
+                waiting.append(part.iloc[cut:])
+        if waiting:
+            yield from decided(pd.concat(waiting))
+
+    n = shuffle_partitions(units.sparkSession)
+    return units.repartitionByRange(n, "head").sortWithinPartitions("head").mapInPandas(run, "k1 long, k2 long, start int, end int")
+
+
+def _edges_found(taken: DataFrame, width: int) -> DataFrame:
+    """k1, k2, start, end of all strings of edges that are found twice."""
+    units, out = _units(taken, F.expr(f"array(struct(0 as lo, {width - GRAM} as hi))"), width), None
+    while True:
+        hot = materialize(units.groupBy("head", "lo", "hi").agg(F.count("*").alias("c")).where(F.col("c") > LIMIT).select("head", "lo", "hi"), "hot")
+        if hot.isEmpty():
+            found = _sorted_out(units, width)
+            return found if out is None else out.unionByName(found)
+        key = ["head", "lo", "hi"]
+        found = _sorted_out(units.join(hot, key, "left_anti").select(*units.columns), width)
+        many = units.join(hot, key, "left_semi").select(*units.columns)
+        # a single string that many share is found twice by that
+        found = found.unionByName(many.where("lo = hi and not example").select("k1", "k2", F.expr("start + turn - lo").alias("start"), F.expr(f"start + turn - lo + {width}").alias("end")))
+        out = found if out is None else out.unionByName(found)
+        halves = F.expr("array(struct(lo as lo, cast((lo + hi) div 2 as int) as hi), struct(cast((lo + hi) div 2 as int) + 1 as lo, hi as hi))")
+        units = materialize(_units(many.where("lo < hi"), halves, width), "units", "zstd")
 
 
 def repeated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """k1, k2 and spans (arrays of start, end in bytes) of the texts in which something repeats."""
     n = shuffle_partitions(documents.sparkSession)
-    suffixes = _anchors(documents, width, splitters(documents, width, n)).repartitionById(n, "bucket").sortWithinPartitions("lead", "block")
-    judged = materialize(suffixes.mapInPandas(compare, "k1 long, k2 long, start int, more int, turn int, kind int"), "suffixes")
+    bounds = splitters(documents, width, n)
+    values, times = np.unique(bounds, return_counts=True)
+    hot = values[times > 1]
+    suffixes = _anchors(documents, width, bounds).repartitionById(n, "bucket").sortWithinPartitions("lead", "block")
+    judged = materialize(suffixes.mapInPandas(lambda batches: compare(batches, hot), "k1 long, k2 long, start int, more int, turn int, kind int"), "suffixes")
     places = judged.where(f"kind in ({EDGE}, {EXAMPLE})").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "more", "turn", "kind")).alias("places"))
-    texts = documents.where(F.octet_length("text") >= width).select(*text_key(F.col("text")), "text")
+    texts = documents.where(F.octet_length("text") >= width).select(*text_key(F.col("text")), "text").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     # neighbouring blocks overlap by a string less a byte, which zstd packs well
     taken = materialize(_taken(texts.join(places, ["k1", "k2"]), width), "blocks", "zstd")
-    cells = materialize(_parts(taken, width, whole=True), "cells")
-    chosen = cells.join(_found_again(cells), ["h", "g"]).groupBy("k1", "k2", "start", "example").agg(F.collect_set("part").alias("cells"))
-    single = materialize(_parts(taken.join(chosen, ["k1", "k2", "start", "example"]), width, whole=False), "strings")
-    discard(taken, cells)
-    edge = single.where("not example").join(_found_again(single), ["h", "g"]).select("k1", "k2", F.col("part").alias("start"), (F.col("part") + width).alias("end"))
-    every = judged.where(f"kind = {WHOLE}").select("k1", "k2", "start", (F.col("start") + F.col("more") + width).alias("end")).unionByName(edge)
+    every = judged.where(f"kind = {WHOLE}").select("k1", "k2", "start", (F.col("start") + F.col("more") + width).alias("end")).unionByName(_edges_found(taken, width))
     found = materialize(every.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    discard(judged, single)
+    discard(judged, taken)
     return found
 
 
@@ -312,10 +418,12 @@ def _cut(text: str | None, spans: list | None) -> tuple[bytes, bytes, list[tuple
     return data, b"".join([*kept, data[at:]]), runs
 
 
-def _with_spans(documents: DataFrame, width: int) -> DataFrame:
-    found = repeated(documents, width).withColumnsRenamed({"k1": "_s1", "k2": "_s2", "spans": "_spans"})
-    keyed = documents.select("*", *(k.alias(f"_{n}") for k, n in zip(text_key(F.col("text")), ("k1", "k2"), strict=True)))
-    return keyed.join(found, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")), "left")
+def _with_spans(documents: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """The documents with a column of their spans, and its name."""
+    k1, k2, s1, s2, spans_ = fresh(documents, "k1", "k2", "s1", "s2", "spans")
+    found = repeated(documents.select("text"), width).select(F.col("k1").alias(s1), F.col("k2").alias(s2), F.col("spans").alias(spans_))
+    keyed = documents.select("*", *(k.alias(n) for k, n in zip(text_key(F.col("text")), (k1, k2), strict=True)))
+    return keyed.join(found, (F.col(k1) == F.col(s1)) & (F.col(k2) == F.col(s2)), "left"), spans_
 
 
 def spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -324,15 +432,15 @@ def spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text, found in zip(batch["text"], batch["_spans"], strict=True):
+            for text, found in zip(batch["text"], batch["spans"], strict=True):
                 data, kept, runs = _cut(text, found)
                 rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield out
 
-    joined = _with_spans(documents.select("doc_id", "text"), width).select("doc_id", "text", "_spans")
-    return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined, found = _with_spans(documents.select("doc_id", "text"), width)
+    return joined.select("doc_id", "text", F.col(found).alias("spans")).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -357,6 +465,5 @@ def remove(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             out.append(b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass"))
         return pd.Series(out)
 
-    joined = _with_spans(documents, width).withColumn("_new", cut("text", "_spans"))
-    columns = [F.col("_new").alias(c) if c == "text" else F.length(F.coalesce("_new", F.lit(""))).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
-    return joined.select(*columns)
+    joined, found = _with_spans(documents, width)
+    return with_text(joined, cut("text", found), documents.columns)
