@@ -152,7 +152,7 @@ def word_prefix_hashes(encoded: list[bytes], prefixes: tuple[int, ...]):
         yield splitmix(_hashed(sums, starts[own], starts[own] + size)), text[own]
 
 
-def by_size(texts, limit: int = 1 << 20):
+def by_size(texts, limit: int = 1 << 18):
     """Slices of a sequence of texts, each of about ``limit`` characters at most or of one text."""
     start, total = 0, 0
     for i, t in enumerate(texts):

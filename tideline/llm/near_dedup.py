@@ -132,11 +132,10 @@ def signed(documents: DataFrame, shape: Bands, words: int = WORDS) -> DataFrame:
 
 
 def bags(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """id and the levels of all shingles as a set of longs ("cells"), whose overlap is the multiset overlap."""
+    """id of each of the (distinct) texts and the levels of all shingles as a set of longs ("cells"), whose overlap is the multiset overlap."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.drop_duplicates("id")
             texts, ids = batch["text"].tolist(), batch["id"].to_numpy()
             for first, last in by_size(texts):
                 text, shingle, count = shingles(texts[first:last], words)
@@ -145,7 +144,7 @@ def bags(texts: DataFrame, words: int = WORDS) -> DataFrame:
                 ends = np.cumsum(np.bincount(np.repeat(text, count), minlength=last - first))
                 yield pd.DataFrame({"id": ids[first:last], "cells": np.split(cells, ends[:-1])})
 
-    return texts.mapInPandas(run, "id long, cells array<long>").dropDuplicates(["id"])
+    return texts.mapInPandas(run, "id long, cells array<long>")
 
 
 def verified(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
@@ -166,19 +165,19 @@ def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = B
     table = materialize(signed(documents, shape, words), "bands")
     rows = table.select("id", "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c >= 2").select("band")
-    rows = materialize(rows.join(shared, "band"), "buckets")
-    wanted = rows.select("id").distinct()
-    texts = documents.where(has_words()).select(F.xxhash64("text").alias("id"), "text")
-    bag = materialize(bags(texts.join(wanted, "id"), words), "bags")
+    rows = materialize(rows.join(shared, "band").groupBy("id", "n").agg(F.collect_list("band").alias("bands")), "buckets")
+    texts = documents.where(has_words()).select(F.xxhash64("text").alias("id"), "text").groupBy("id").agg(F.first("text").alias("text"))
+    bag = materialize(bags(texts.join(rows.select("id"), "id"), words), "bags")
     # cells that no other text has: what they leave, e, bounds every overlap, so J <= e / n
     single = bag.select("id", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
     single = single.groupBy("id").agg(F.count("*").cast("int").alias("c"))
-    rows = rows.join(single, "id", "left").withColumn("e", F.col("n") - F.coalesce("c", F.lit(0))).drop("c").where(F.col("e") >= similarity * F.col("n"))
-    state = materialize(rows.select("band", "id", "n", "e", F.col("id").alias("root")), "buckets")
+    rows = rows.join(single, "id", "left").withColumn("e", F.col("n") - F.coalesce("c", F.lit(0))).where(F.col("e") >= similarity * F.col("n"))
+    texts = materialize(rows.select("id", "n", "e", F.col("id").alias("root"), "bands"), "texts")
     ratio = similarity / (1 + similarity)
     near = (F.least("n", "m") >= similarity * F.greatest("n", "m")) & (F.least("e", "f") >= ratio * (F.col("n") + F.col("m")) - 1e-6)
     tried = None
     for k in range(rounds + 1):
+        state = texts.select("id", "n", "e", "root", F.explode("bands").alias("band"))
         # the hub is the text with the least of its own: the likely origin of its bucket's copies
         hub = F.min(F.struct(((F.col("n") - F.col("e")) / F.col("n") if k == 0 else F.lit(0.0)).alias("own"), F.xxhash64("id", F.lit(k)).alias("r"), F.struct("id", "root").alias("hub"), F.col("n").alias("m"), F.col("e").alias("f")))
         if k < rounds:
@@ -195,8 +194,8 @@ def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = B
         tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
         new = materialize(verified(pairs, bag, similarity).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct(), "links")
         moved = materialize(components(new), "roots").select(F.col("id").alias("root"), F.col("root").alias("new"))
-        state = materialize(state.join(moved, "root", "left").select("band", "id", "n", "e", F.coalesce("new", "root").alias("root")), "buckets")
-    return state.where("id <> root").select("id", "root").distinct()
+        texts = materialize(texts.join(moved, "root", "left").select("id", "n", "e", F.coalesce("new", "root").alias("root"), "bands"), "texts")
+    return texts.where("id <> root").select("id", "root")
 
 
 def _across(state: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
