@@ -3,8 +3,9 @@
 The ranks file lists tokens as bytes. Bytes are mapped to printable characters one to one, so that a
 token becomes a string of the library's BPE model; a rank's merges are all splits of its token into
 two known tokens, in rank order, since byte-pair encoding by ranks joins any two neighbours whose
-bytes make a token, the lowest rank first. Decoding takes each id's characters through the reversed
-byte table and joins the bytes of all ids before it reads UTF-8, so a character that was split over
+bytes make a token, the lowest rank first. An id's offsets are where its bytes start and end; one that starts
+inside a character's bytes shares the character with the id before. Decoding joins the characters of all ids,
+takes them through the reversed byte table, and reads UTF-8 only then, so a character that was split over
 several ids comes back whole; bytes that aren't UTF-8 become U+FFFD.
 
 Cases: a null text counts as empty and gives no ids. Texts of any length are encoded whole. Ties and
@@ -18,10 +19,12 @@ import functools
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tideline.llm.chunks import CACHE, WITH_SPACE
+from tideline.llm.chunks import WITH_SPACE, ChunkIds, encoded
+from tideline.llm.common import by_size
 
 
 def byte_table() -> list[str]:
@@ -36,72 +39,72 @@ class ByteBpe:
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         from tokenizers.models import BPE
 
-        with open(path, "rb") as f:
-            self.bytes = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, f)}
-        ranks = {token: rank for rank, token in self.bytes.items()}
         table = byte_table()
         self.to_chars = str.maketrans({chr(b): c for b, c in enumerate(table)})
-        text = lambda token: token.decode("latin-1").translate(self.to_chars)
-        merges = [
-            (text(token[:i]), text(token[i:]))
-            for _, token in sorted(self.bytes.items())
-            for i in range(1, len(token))
-            if token[:i] in ranks and token[i:] in ranks
-        ]
-        self.tokenizer = Tokenizer(BPE({text(t): r for t, r in ranks.items()}, merges, ignore_merges=True))
+        self.to_byte = np.zeros(512, dtype=np.uint8)  # the byte table reversed
+        self.to_byte[[ord(c) for c in table]] = np.arange(256)
+        with open(path, "rb") as f:
+            ranks = {self.mapped(base64.b64decode(token)): int(rank) for token, rank in map(bytes.split, f)}
+        by_rank = sorted(ranks, key=ranks.__getitem__)
+        merges = [(t[:i], t[i:]) for t in by_rank for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        self.tokenizer = Tokenizer(BPE(ranks, merges, ignore_merges=True))
+        self.tokenizer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        # by id; unused ids are empty
+        self.chars, self.sizes = [""] * (ranks[by_rank[-1]] + 1), np.zeros(ranks[by_rank[-1]] + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.chars[rank], self.sizes[rank] = token, len(token)
+        self.decimal = [str(i) for i in range(len(self.chars))]
         self.pieces = regex.compile(pattern)
-        self.seen: dict[str, tuple[int, str, bytes]] = {}
-
-    def ids(self, pieces: list[str]) -> list[list[int]]:
-        """The ids of each piece (a match of the pattern)."""
-        mapped = [p.encode().decode("latin-1").translate(self.to_chars) for p in pieces]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(mapped, add_special_tokens=False)]
+        self.chunks = ChunkIds(self.pieces.findall, self.learnt)
+
+    def mapped(self, data: bytes) -> str:
+        """A printable character for each byte."""
+        return data.decode("latin-1").translate(self.to_chars)
+
+    def learnt(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces (matches of the pattern) in a row, and how many each has: as many as make up its bytes."""
+        space = self.mapped(b" ")
+        mapped = [p.replace(" ", space) if p.isascii() and p.isprintable() else self.mapped(p.encode()) for p in pieces]
+        ids = encoded(self.tokenizer, mapped)
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, mapped), np.int64, len(mapped)))) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def offsets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each id's bytes start and end."""
+        ends = np.cumsum(self.sizes[ids])
+        return ends - self.sizes[ids], ends
+
+    def to_bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, through the reversed byte table."""
+        text = "".join([self.chars[i] for i in ids.tolist()])
+        return self.to_byte[np.frombuffer(text.encode("utf-16-le"), dtype="<u2")].tobytes()
 
     def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """ids and for each the first code point it has bytes of, and the one after the last."""
-        out, starts, ends, at = [], [], [], 0
-        pieces = self.pieces.findall(text)
-        for piece, ids in zip(pieces, self.ids(pieces), strict=True):
-            chars = [i for i, c in enumerate(piece) for _ in c.encode()]
-            done = 0
-            for i in ids:
-                size = len(self.bytes[i])
-                starts.append(at + chars[done])
-                ends.append(at + chars[done + size - 1] + 1)
-                done += size
-            out += ids
-            at += len(piece)
-        return out, starts, ends
+        ids, _ = self.chunks.of([WITH_SPACE.findall(text)])
+        starts, ends = self.offsets(ids)
+        first = (np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80
+        character = np.cumsum(first) - 1
+        return ids.tolist(), character[starts].tolist(), (character[ends - 1] + 1).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode and decode chunks into the cache."""
-        lists = [(c, self.pieces.findall(c)) for c in chunks]
-        every = list({p for _, found in lists for p in found})
-        known = dict(zip(every, self.ids(every), strict=True))
-        for chunk, found in lists:
-            ids = [i for p in found for i in known[p]]
-            self.seen[chunk] = len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes.__getitem__, ids))
-
-    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Number of ids, hash of the ids, and hash of what the ids decode to, for each text."""
-        for start in range(0, len(texts), 256):
-            split = [WITH_SPACE.findall(t) for t in texts[start : start + 256]]
-            new = {c for chunks in split for c in chunks if c not in self.seen}
-            if len(self.seen) + len(new) > CACHE:
-                self.seen.clear()
-                new = {c for chunks in split for c in chunks}
-            self.learn(new)
-            for chunks in split:
-                found = [self.seen[c] for c in chunks]
-                ids = ",".join([x[1] for x in found])
-                data = b"".join([x[2] for x in found])
-                yield sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest()
+        return self.to_bytes(np.array(ids, dtype=np.int64)).decode("utf-8", "replace")
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str, int]]:
+        """Number of ids, hash of the ids, hash of what the ids decode to, and number of ids that start inside a character, for each text."""
+        for first, last in by_size(texts):
+            ids, ends = self.chunks.of([WITH_SPACE.findall(t) for t in texts[first:last]])
+            begin = 0
+            for end in ends.tolist():
+                own = ids[begin:end]
+                begin = end
+                data = self.to_bytes(own)
+                inside = np.frombuffer(data, dtype=np.uint8)[self.offsets(own)[0]] & 0xC0 == 0x80
+                decimal = ",".join([self.decimal[i] for i in own.tolist()])
+                yield len(own), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(data).hexdigest(), int(inside.sum())
 
 
 @functools.lru_cache(maxsize=2)
@@ -115,18 +118,18 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: a narrow map over Arrow batches, no shuffle."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and n_inside, the ids that start inside a character: a narrow map over Arrow batches, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(codec(path, pattern).digests(_texts(batch)))
-            n, ids, data = zip(*rows, strict=True) if rows else ((), (), ())
+            n, ids, data, inside = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string()), pa.array(inside, pa.int64())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_inside"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_inside long")
 
 
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
