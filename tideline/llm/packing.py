@@ -18,7 +18,6 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import byte_table
-from tideline.llm.chunks import CACHE, WITHOUT_SPACE
+from tideline.llm.chunks import WITHOUT_SPACE, ChunkIds, encoded
 from tideline.llm.common import by_size, materialize, shuffle_partitions
 
 LENGTH = 2048
@@ -35,85 +34,56 @@ END_ID = 1
 
 #: Letters and numbers below U+0250, where lower case and composition depend on single characters only.
 _LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
-#: What needs the library's whole pipeline: other characters, special tokens, separators that aren't white space to it.
-ODD = re.compile("[\x1c-\x1f]|[^\x00-\u024f]|<\\|")
+PIECES = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^\\s{_LETTERS}{_NUMBERS}]+")
+#: What needs the library's whole pipeline: other characters, special tokens, controls, of which some aren't white space to it.
+ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]|[^\x00-\u024f]|<\\|")
 
 
 class WordBpe:
     """The ids of whole texts by a tokenizers file that drops white space and ends words.
 
-    Pieces that are new to the worker are encoded by the library and kept in a bounded cache, which
-    is emptied when it is full; ids are then gathered from one array. Chunks with odd characters go
-    through the library's whole pipeline.
+    Chunks are encoded once each (``ChunkIds``): their pieces by the library's model alone, those with
+    odd characters by the library's whole pipeline. A piece's last id is the only one that ends a word.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.chars = str.maketrans({chr(b): c for b, c in enumerate(byte_table())})
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1 << 16, dtype=np.int64)
-        self.n = 0
-
-    def _append(self, keys: list[str], ids: list[list[int]]) -> None:
-        first, base = self.n, int(self.ends[self.n - 1]) if self.n else 0
-        ends = base + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        total = int(ends[-1])
-        while total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(ids) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[base:total] = np.fromiter((i for x in ids for i in x), np.uint32, total - base)
-        self.ends[first : first + len(ids)] = ends
-        self.at.update(zip(keys, range(first, first + len(ids)), strict=True))
-        self.n += len(ids)
-
-    def learn(self, new: list[str]) -> None:
-        """Encode pieces, and chunks marked by a leading zero, into the cache."""
-        plain, odd = [p for p in new if p[0] != "\0"], [p for p in new if p[0] == "\0"]
-        for start in range(0, len(plain), 8192):
-            part = plain[start : start + 8192]
-            mapped = [p.encode().decode("latin-1").translate(self.chars) for p in part]
-            self._append(part, [e.ids for e in self.model.encode_batch_fast(mapped, add_special_tokens=False)])
-        if odd:
-            self._append(odd, [e.ids for e in self.whole.encode_batch_fast([c[1:] for c in odd], add_special_tokens=False)])
+        vocabulary = self.whole.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.chunks = ChunkIds(lambda c: [c] if c[0] == "\0" else PIECES.findall(c), self.learnt)
+
+    def learnt(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, and of chunks marked by a leading zero, in a row, and how many each has."""
+        odd = [k for k, p in enumerate(pieces) if p[0] == "\0"]
+        whole = {k: e.ids for k, e in zip(odd, self.whole.encode_batch_fast([pieces[k][1:] for k in odd], add_special_tokens=False), strict=True)} if odd else {}
+        plain = [p if p.isascii() else p.encode().decode("latin-1").translate(self.chars) for p in pieces if p[0] != "\0"]
+        ids = encoded(self.model, plain)
+        sizes = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+        if not whole:
+            return ids, sizes
+        ends, all_ids, all_sizes, k = np.cumsum(sizes).tolist(), [], [], 0
+        for n in range(len(pieces)):
+            own = whole[n] if n in whole else ids[ends[k - 1] if k else 0 : ends[k]]
+            k += n not in whole
+            all_ids.append(np.asarray(own, dtype=np.uint32))
+            all_sizes.append(len(own))
+        return np.concatenate(all_ids), np.array(all_sizes, dtype=np.int64)
 
     @staticmethod
     def split(text: str) -> list[str]:
-        if not ODD.search(text) and "\0" not in text:
-            return PIECES.findall(text.lower())
-        out = []
-        for chunk in WITHOUT_SPACE.findall(text):
-            if ODD.search(chunk) or "\0" in chunk:
-                out.append("\0" + chunk)
-            else:
-                out += PIECES.findall(chunk.lower())
-        return out
+        if not ODD.search(text):
+            return text.lower().split()
+        return ["\0" + c if ODD.search(c) else c.lower() for c in WITHOUT_SPACE.findall(text)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids end."""
-        split = [self.split(t) for t in texts]
-        every = list(chain.from_iterable(split))
-        new = set(every).difference(self.at)
-        if self.n + len(new) > CACHE:
-            self.clear()
-            new = set(every)
-        if new:
-            self.learn(list(new))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        rows = np.fromiter(map(self.at.__getitem__, every), np.int64, len(every))
-        starts = np.where(rows > 0, self.ends[rows - 1], 0)
-        sizes = self.ends[rows] - starts
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(int(upto[-1])) + np.repeat(starts - upto[:-1], sizes)]
-        return ids, upto[np.cumsum(counts)]
+        return self.chunks.of([self.split(t) for t in texts])
 
 
 @functools.lru_cache(maxsize=1)
@@ -127,17 +97,19 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, end_id: int =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            keys = batch["doc_id"].tolist() if batch["doc_id"].notna().all() else [None if pd.isna(k) else int(k) for k in batch["doc_id"]]
-            rows = []
+            keys = batch["doc_id"].astype("Int64")
             for first, last in by_size(texts):
                 ids, ends = encoder(path).encode(texts[first:last])
-                begin = 0
-                for key, end in zip(keys[first:last], ends.tolist(), strict=True):
-                    own = np.append(ids[begin:end], np.uint32(end_id)).astype("<u4")
-                    begin, n = end, len(own)
-                    rows += [(key, s, min(length, n - s), zlib.crc32(own[s : s + length].tobytes()), n) for s in range(0, n, length)]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64", "start": "int64", "length": "int64", "ids_crc32": "int64", "doc_tokens": "int64"})
+                n = np.diff(ends, prepend=0) + 1
+                own = np.insert(ids, ends, end_id).astype("<u4")
+                count = -(-n // length)
+                doc = np.repeat(np.arange(last - first), count)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * length
+                size = np.minimum(length, n[doc] - start)
+                at = (np.cumsum(n) - n)[doc] + start
+                data = memoryview(own.tobytes())
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + size).tolist(), strict=True)]
+                yield pd.DataFrame({"doc_id": keys.iloc[first:last].iloc[doc].array, "start": start, "length": size, "ids_crc32": np.array(crc, dtype=np.int64), "doc_tokens": n[doc]})
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
