@@ -69,7 +69,7 @@ class ByteBpe:
         space = self.mapped(b" ")
         mapped = [p.replace(" ", space) if p.isascii() and p.isprintable() else self.mapped(p.encode()) for p in pieces]
         ids = encoded(self.tokenizer, mapped)
-        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, mapped), np.int64, len(mapped)))) + 1
+        ends = np.searchsorted(self.offsets(ids)[1], np.cumsum(np.fromiter(map(len, mapped), np.int64, len(mapped)))) + 1
         return ids, np.diff(ends, prepend=0)
 
     def offsets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +93,8 @@ class ByteBpe:
     def decode(self, ids: list[int]) -> str:
         return self.to_bytes(np.array(ids, dtype=np.int64)).decode("utf-8", "replace")
 
-    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str, int]]:
-        """Number of ids, hash of the ids, hash of what the ids decode to, and number of ids that start inside a character, for each text."""
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Number of ids, hash of the ids, and hash of what the ids decode to, for each text."""
         for first, last in by_size(texts):
             ids, ends = self.chunks.of([WITH_SPACE.findall(t) for t in texts[first:last]])
             begin = 0
@@ -102,9 +102,8 @@ class ByteBpe:
                 own = ids[begin:end]
                 begin = end
                 data = self.to_bytes(own)
-                inside = np.frombuffer(data, dtype=np.uint8)[self.offsets(own)[0]] & 0xC0 == 0x80
                 decimal = ",".join([self.decimal[i] for i in own.tolist()])
-                yield len(own), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(data).hexdigest(), int(inside.sum())
+                yield len(own), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(data).hexdigest()
 
 
 @functools.lru_cache(maxsize=2)
@@ -118,18 +117,18 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and n_inside, the ids that start inside a character: a narrow map over Arrow batches, no shuffle."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: a narrow map over Arrow batches, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(codec(path, pattern).digests(_texts(batch)))
-            n, ids, data, inside = zip(*rows, strict=True) if rows else ((),) * 4
+            n, ids, data = zip(*rows, strict=True) if rows else ((),) * 3
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string()), pa.array(inside, pa.int64())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_inside"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_inside long")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
