@@ -16,22 +16,20 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline import shared_folder
+
 TS = "ts"
 _RANGE = "_range"
 _WHOLE = "_whole"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tideline-checkpoints"
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the folder that driver and executors share; it goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tideline-timeline-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tideline-timeline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
