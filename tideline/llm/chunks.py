@@ -2,7 +2,7 @@
 
 Both vocabularies' pre-tokenizers never let a piece cross from a non-space character into white
 space, so a text's ids are its chunks' ids in a row, and only pieces that are new to a worker reach
-the tokenizers library. The cache is emptied when it is full, which changes speed only.
+the tokenizers library. When the cache is full, what was met only once goes, which changes speed only.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 WITH_SPACE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WITHOUT_SPACE = re.compile(f"[^{SPACE}]+")
 #: Chunks and pieces that a worker keeps; a slice of texts may add its own to them.
-CACHE = 200_000
+CACHE = 300_000
 #: Pieces that go to the library as one text: it costs less than a text each, and more than a few again.
 TOGETHER = 16
 
@@ -56,14 +56,23 @@ class ChunkIds:
     def clear(self) -> None:
         self.rows = _Rows()
         self.ids = np.zeros(1 << 18, dtype=np.uint32)
-        self.starts, self.sizes = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.starts, self.sizes, self.met = (np.zeros(1 << 16, dtype=np.int64) for _ in range(3))
         self.used = 0
 
+    def _thin(self) -> None:
+        """Keep the chunks that were met again since they came or since the last time; none if they are most."""
+        kept = np.flatnonzero(self.met[: len(self.rows)] > 1)
+        chunks, ids, starts, sizes = list(self.rows), self.ids, self.starts[kept], self.sizes[kept]
+        self.clear()
+        if len(kept) <= CACHE // 2:
+            self.rows.update(zip([chunks[k] for k in kept.tolist()], range(len(kept)), strict=True))
+            self._put(np.arange(len(kept)), ids[ragged(starts, sizes)], sizes)
+
     def _put(self, rows: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.rows) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.met))
         self.ids[self.used : self.used + len(ids)] = ids
         self.starts[rows], self.sizes[rows] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(ids)
@@ -88,11 +97,12 @@ class ChunkIds:
     def of(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts given as their chunks, and where each text's ids end."""
         if len(self.rows) > CACHE:
-            self.clear()
+            self._thin()
         counts = np.fromiter(map(len, split), np.int64, len(split))
         rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if self.rows.new:
             self._learn()
+        self.met[: len(self.rows)] += np.bincount(rows, minlength=len(self.rows))
         sizes = self.sizes[rows]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         return self.ids[ragged(self.starts[rows], sizes)], upto[np.cumsum(counts)]

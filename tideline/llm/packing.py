@@ -35,7 +35,7 @@ END_ID = 1
 #: Letters and numbers below U+0250, where lower case and composition depend on single characters only.
 _LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECES = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^\\s{_LETTERS}{_NUMBERS}]+")
-#: What needs the library's whole pipeline: other characters, special tokens, controls, of which some aren't white space to it.
+#: What needs the library's whole pipeline: other characters, special tokens, controls.
 ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]|[^\x00-\u024f]|<\\|")
 
 
@@ -56,7 +56,7 @@ class WordBpe:
         vocabulary = self.whole.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks = ChunkIds(lambda c: [c] if c[0] == "\0" else PIECES.findall(c), self.learnt)
+        self.chunks = ChunkIds(self.pieces, self.learnt)
 
     def learnt(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, and of chunks marked by a leading zero, in a row, and how many each has."""
@@ -75,11 +75,15 @@ class WordBpe:
             all_sizes.append(len(own))
         return np.concatenate(all_ids), np.array(all_sizes, dtype=np.int64)
 
+    @staticmethod
+    def pieces(chunk: str) -> list[str]:
+        """The pieces of a chunk; a chunk that needs the library's whole pipeline is one, marked by a leading zero."""
+        return ["\0" + chunk] if ODD.search(chunk) else PIECES.findall(chunk.lower())
+
     @staticmethod
     def split(text: str) -> list[str]:
-        if not ODD.search(text):
-            return text.lower().split()
-        return ["\0" + c if ODD.search(c) else c.lower() for c in WITHOUT_SPACE.findall(text)]
+        # str.split takes the separators for white space, the library doesn't
+        return WITHOUT_SPACE.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids end."""
