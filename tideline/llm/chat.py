@@ -158,7 +158,8 @@ def repair(conversations: DataFrame, costs: Costs = Costs()) -> DataFrame:
     n = shuffle_partitions(conversations.sparkSession)
     order = ["conv_id", "turn", "role", "text"]
     turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    ranged = turns.repartitionByRange(n, "conv_id", "turn", "role", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    # in the order of the sort, by the beginnings of texts, as the bounds of ranges come to the driver
+    ranged = turns.repartitionByRange(n, "conv_id", "turn", "role", F.substring("text", 1, 64)).withColumn("part", F.spark_partition_id())
     table = materialize(ranged, "turns")
     parts = (table.agg(F.max("part")).first()[0] or 0) + 1
     ordered = lambda *c: table.select("part", *c).repartitionById(parts, "part").sortWithinPartitions("part", *order)
