@@ -8,19 +8,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline import find_package
+from tideline import find_package, shared_folder
+
+
+#: Bytes of texts that go to a Python worker at once, but for a single longer text.
+BATCH = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     find_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).removesuffix("b")) > BATCH:
+        spark.conf.set(key, str(BATCH))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tideline-checkpoints"
-
-
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -28,7 +30,7 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     readers prune columns. The folder is removed when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tideline-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tideline-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that the table replaces
     hadoop_path, files = _folder(spark, path)

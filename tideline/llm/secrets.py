@@ -11,7 +11,8 @@ one pattern: a match starts after all earlier matches and the pieces between the
 
 Cases: a null text counts as empty (no spans). Null sources count as one owner, null languages as one
 language. Equal texts have equal spans; ties and repeated rows don't add owners. An empty table gives
-an empty result. Extra columns aren't carried by ``scan``; ``redact`` keeps all columns.
+an empty result. Extra columns aren't carried by ``scan``; ``redact`` keeps all columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialize, text_key
+from tideline.llm.common import fresh, materialize, quoted, text_key, with_text
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -32,16 +33,22 @@ MAX_REPOSITORIES = 2
 _FOUND = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+#: Matches whose places are added up together, so that the work grows with the matches of a text, not their square.
+_BLOCK = 128
+
+
 def _matches(kind: int, pattern: str, value_group: int, keep: str) -> Column:
     """The matches of a pattern in ``t`` that ``keep`` accepts (of ``x.v``), or null where there is none."""
-    quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    walk = f"""aggregate(
-        arrays_zip(slice(split(t, '{quoted}', -1), 1, size(regexp_extract_all(t, '{quoted}', 0))) as p, regexp_extract_all(t, '{quoted}', 0) as m, regexp_extract_all(t, '{quoted}', {value_group}) as v),
-        named_struct('at', 0, 'out', cast(array() as {_FOUND})),
+    quoted_ = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    found = f"""arrays_zip(slice(split(t, '{quoted_}', -1), 1, size(regexp_extract_all(t, '{quoted_}', 0))), regexp_extract_all(t, '{quoted_}', 0), regexp_extract_all(t, '{quoted_}', {value_group}))"""
+    block = f"""aggregate(slice(z, {_BLOCK} * b + 1, {_BLOCK}), named_struct('at', element_at(done, -1).at, 'out', cast(array() as {_FOUND})),
         (a, x) -> named_struct('at', a.at + length(x.p) + length(x.m), 'out', if({keep},
-            array_append(a.out, named_struct('start', a.at + length(x.p), 'kind', {kind}, 'end', a.at + length(x.p) + length(x.m), 'value', x.v)), a.out)),
-        a -> a.out)"""
-    return F.when(F.expr(f"rlike(t, '{quoted}')"), F.expr(walk.replace(" as p,", ",").replace(" as m,", ",").replace(" as v)", ")").replace("x.p", "x['0']").replace("x.m", "x['1']").replace("x.v", "x['2']")))
+            array_append(a.out, named_struct('start', a.at + length(x.p), 'kind', {kind}, 'end', a.at + length(x.p) + length(x.m), 'value', x.v)), a.out)))"""
+    for name, place in (("x.p", "x['0']"), ("x.m", "x['1']"), ("x.v", "x['2']")):
+        block = block.replace(name, place)
+    start = f"array(named_struct('at', 0, 'out', cast(array() as {_FOUND})))"
+    walk = f"aggregate(sequence(0, (size(z) - 1) div {_BLOCK}), {start}, (done, b) -> array_append(done, {block}), done -> flatten(transform(done, x -> x.out)))"
+    return F.when(F.expr(f"rlike(t, '{quoted_}')"), F.expr(f"element_at(transform(array({found}), z -> {walk}), 1)"))
 
 
 def candidates(documents: DataFrame) -> DataFrame:
@@ -99,17 +106,16 @@ def scan(documents: DataFrame, **parameters) -> DataFrame:
 def redact(documents: DataFrame, mark: str = "[SECRET]", **parameters) -> DataFrame:
     """The documents with every span, base or live, put out of their texts; overlapping spans give one mark. n_chars, if there, is counted again."""
     found = located(documents, **parameters).where(F.size("all_spans") > 0)
-    spans = found.groupBy(F.col("k1").alias("_s1"), F.col("k2").alias("_s2")).agg(F.first("all_spans").alias("_spans"))
-    keyed = documents.select("*", *(k.alias(f"_{n}") for k, n in zip(text_key(F.col("text")), ("k1", "k2"), strict=True)))
-    joined = keyed.join(spans, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")), "left")
-    walk = f"""aggregate(_spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct(
+    k1, k2, s1, s2, name = fresh(documents, "k1", "k2", "s1", "s2", "spans")
+    spans = found.groupBy(F.col("k1").alias(s1), F.col("k2").alias(s2)).agg(F.first("all_spans").alias(name))
+    keyed = documents.select("*", *(k.alias(n) for k, n in zip(text_key(F.col("text")), (k1, k2), strict=True)))
+    joined = keyed.join(materialize(spans, "redacted"), (F.col(k1) == F.col(s1)) & (F.col(k2) == F.col(s2)), "left")
+    walk = f"""aggregate({quoted(name)}, named_struct('at', 0, 'out', ''), (a, x) -> named_struct(
         'at', greatest(a.at, x.end),
         'out', if(x.start < a.at, a.out, concat(a.out, substring(text, a.at + 1, x.start - a.at), '{mark}'))),
         a -> concat(a.out, substring(text, a.at + 1)))"""
-    text = F.when(F.col("_spans").isNotNull(), F.expr(walk)).otherwise(F.col("text"))
-    out = joined.withColumn("_new", text)
-    columns = [F.col("_new").alias(c) if c == "text" else F.length(F.coalesce("_new", F.lit(""))).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
-    return out.select(*columns)
+    text = F.when(F.col(name).isNotNull(), F.expr(walk)).otherwise(F.col("text"))
+    return with_text(joined, text, documents.columns)
 
 
 def _sql_matches(kind: int, pattern: str, group: int, keep: str) -> str:
