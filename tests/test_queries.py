@@ -6,7 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tideline.plans import event_queries
+from tideline.plans import event_queries, language_queries
+
+QUERIES = event_queries.queries() | language_queries.queries()
+SQL = event_queries.oracle_sql() | language_queries.oracle_sql()
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -15,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 @pytest.fixture(scope="module")
 def sql():
     con = duckdb.connect()
-    for name in ("events", "orders"):
+    for name in ("events", "orders", "nation"):
         con.execute(f"create view {name} as select * from '{DATA}/{name}.parquet'")
     return con
 
@@ -24,12 +27,12 @@ def rows(values):
     return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in values), key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
-@pytest.mark.parametrize("name", sorted(event_queries.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, sql, name):
-    df = event_queries.queries()[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     names = sorted(df.columns)
-    want = sql.sql(f"select {', '.join(names)} from ({event_queries.oracle_sql()[name]})")
-    assert sorted(sql.sql(event_queries.oracle_sql()[name]).columns) == names
+    want = sql.sql(f"select {', '.join(names)} from ({SQL[name]})")
+    assert sorted(sql.sql(SQL[name]).columns) == names
     got = rows(df.select(*names).collect())
     assert got == rows(want.fetchall()) and got
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.expr import Lit, apply, function
 from tideline.functions.scalars import ite, option_flat_map, option_map, option_map2
-from tideline.functions.types import BOOL, FLOAT, INT, STRING, UNIT, FrozenMap, list_of, map_of
+from tideline.functions.types import BOOL, FLOAT, INT, STRING, UNIT, FrozenMap, list_of, map_of, set_of
 from tideline.operators import library as L
 from tideline.operators.graph import Input, Stream
 from tideline.operators.lowering import events as trace_of
@@ -30,17 +30,20 @@ TYPES = ("click", "view", "purchase", "error", "signup")
 STREAMS = {**dict.fromkeys(TYPES, INT), "cents": INT, "price": FLOAT, "kind": STRING, "number": INT, "big": BOOL, "any": UNIT}
 
 
+def micros(column: str) -> Column:
+    """Microseconds since the epoch, by calendar fields, so that no session time zone comes in."""
+    at = F.col(column).cast("timestamp_ntz")
+    return F.datediff(at, F.lit(EPOCH.date())).cast("long") * DAY + F.hour(at).cast("long") * HOUR + F.minute(at).cast("long") * (HOUR // 60) + (F.expr(f"extract(second from cast({column} as timestamp_ntz))") * 1_000_000).cast("long")
+
+
 def user_timelines(spark: SparkSession, sf_dir: str, split: bool = False) -> Timeline:
     """A timeline of each user's events; scans only the columns that the query's streams read."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    at = F.col("ts").cast("timestamp_ntz")
-    # by calendar fields, so that no session time zone comes in
-    ts = F.datediff(at, F.lit(EPOCH.date())).cast("long") * DAY + F.hour(at).cast("long") * HOUR + F.minute(at).cast("long") * (HOUR // 60) + (F.expr("extract(second from cast(ts as timestamp_ntz))") * 1_000_000).cast("long")
     cents = F.round(F.col("value") * 100).cast("long")
     columns = {t: F.when(F.col("event_type") == t, cents) for t in TYPES}
     columns |= {"cents": cents, "price": F.col("value"), "kind": F.col("event_type"), "number": F.col("event_id"), "big": cents > 5000, "any": F.lit(True)}
     # the table's timestamps are unique
-    return from_events(df, columns, ("user_id",), ts, unique=True, split=split)
+    return from_events(df, columns, ("user_id",), micros("ts"), unique=True, split=split)
 
 
 class Streams(dict):
@@ -108,7 +111,25 @@ _SQL["delayed_last"] = _BASE + f""", h as (select user_id, max(ts) as h from s g
 d as (select user_id, ts + {6 * HOUR} as ts, click as out, lead(ts) over (partition by user_id order by ts) as nxt from s where click is not null)
 select d.user_id, d.ts, d.out from d join h using (user_id) where d.ts <= h and (nxt is null or d.ts < nxt)"""  # a click at the very tick of the firing would still leave last the click before; no two differ by 6 h to the microsecond
 
+_or = lambda x, d=0: apply("getSomeOrElse", x, d)
+query(
+    "lift_widths",
+    lambda s: {
+        "l1": L.lift1(lambda a: apply("Some", _or(a) * 3), s.view),
+        "l4": L.lift4(lambda a, b, c, d: apply("Some", _or(a) + 2 * _or(b) + 3 * _or(c) + 4 * _or(d)), s.click, s.view, s.error, s.signup),
+        "l5": L.lift5(lambda a, b, c, d, e: ite(apply("isSome", e), None, apply("Some", _or(a) - _or(b) + _or(c) - _or(d))), s.click, s.view, s.error, s.signup, s.purchase),
+        "m3": L.merge3(s.click, s.view, s.error), "m4": L.merge4(s.signup, s.error, s.view, s.click), "m6": L.merge6(s.purchase, s.error, s.signup, s.click, s.view, s.cents),
+        "m7": L.merge7(s.purchase, s.error, s.signup, s.number, s.click, s.view, s.cents), "m8": L.merge8(s.purchase, L.time(s.error), s.signup, s.number, s.click, s.view, s.cents, s.cents),
+        "u2": L.merge_unit(s.click, s.error), "u4": L.merge_unit4(s.click, s.error, s.signup, s.view),
+    },
+    """ select user_id, ts, view * 3 as l1, case when purchase is null then coalesce(click, 2 * view, 3 * error, 4 * signup) end as l4, case when purchase is null then coalesce(click, -view, error, -signup) end as l5,
+  coalesce(click, view, error) as m3, coalesce(signup, error, view, click) as m4, cents as m6, coalesce(purchase, error, signup, number) as m7, coalesce(purchase, case when error is not null then ts end, signup, number) as m8,
+  case when coalesce(click, error) is not null then true end as u2, case when coalesce(click, error, signup, view) is not null then true end as u4 from s""",
+)
+
 # signal lifts
+two_steps("slift4", lambda s: L.slift4(lambda a, b, c, d: a * b - c * d, s.click, s.view, s.error, s.cents), f"{upto('click')} as a, {upto('view')} as b, {upto('error')} as c", "a * b - c * cents")
+query("lifted_function_argument", lambda s: {"out": L.curried(lambda f, x: f - x)(L.curried(lambda a, b: apply("max", a, b))(s.click, s.view), s.cents)}, f", m as (select *, {upto('click')} as a, {upto('view')} as b from s), t as (select user_id, ts, greatest(a, b) - cents as out, a is not null and b is not null as ok from m) select user_id, ts, out from t where ok")
 simple("on_click_at_purchase", lambda s: L.on(s.purchase, s.click), upto("click"), "purchase is not null")
 two_steps("slift_sum_two_signals", lambda s: s.click + s.view, f"{upto('click')} as a, {upto('view')} as b", "a + b", "coalesce(click, view) is not null")
 two_steps("slift3", lambda s: L.slift3(lambda a, b, c: a * 2 + b - c, s.click, s.view, s.error), f"{upto('click')} as a, {upto('view')} as b, {upto('error')} as c", "a * 2 + b - c", "coalesce(click, view, error) is not null")
@@ -155,16 +176,26 @@ simple("reduce_max_of", lambda s: L.reduce(s.view, lambda a, b: apply("max", a,
 _RESET = f", m as (select *, {upto('error', 'count')} as g, {upto('click', 'count')} as n from s), t as (select *, {upto('click', 'count').replace('partition by user_id', 'partition by user_id, g')} as c from m)"
 query("reset_count_since_error", lambda s: L.reset_count(s.click, s.error), _RESET + " select user_id, ts, c as out from t where coalesce(click, error) is not null and n > 0" + _zero("0"))
 query("no_event_since", lambda s: L.no_event(s.click, s.error), _RESET + " select user_id, ts, c = 0 as out from t where coalesce(click, error) is not null and n > 0" + _zero("true"))
+# windows: tumbling (counts since the last period), sliding (the time that the last five events took), session (events since a gap of a day)
+query("tumbling_count", lambda s: L.reset_count(s.click, L.period(DAY)), f""", h as (select user_id, max(ts) as h from s group by user_id), f as (select user_id, min(ts) as f from s where click is not null group by user_id),
+p as (select user_id, unnest(range({DAY}, h + 1, {DAY})) as ts from h) select user_id, ts, row_number() over (partition by user_id, ts // {DAY} order by ts) as out from s where click is not null
+union all select user_id, ts, 0 from p join f using (user_id) where f < ts""" + _zero("0"))
+simple("sliding_span", lambda s: L.time(s.cents) - L.last_n(L.time(s.cents), 4), "ts - lag(ts, 4) over (partition by user_id order by ts)")
+_GAP = f"case when prev is null or ts - prev > {DAY} then 1 else 0 end"
+query("session_count", lambda s: L.reset_count(s.cents, L.filter(s.cents, L.default(L.time(s.cents) - L.prev(L.time(s.cents)) > DAY, True))), f", m as (select *, lag(ts) over (partition by user_id order by ts) as prev from s), g as (select *, sum({_GAP}) over (partition by user_id order by ts) as session from m) select user_id, ts, row_number() over (partition by user_id, session order by ts) as out from g" + _zero("0"))
 two_steps("runtime_view_to_purchase", lambda s: L.runtime(s.view, s.purchase), f"{upto('case when view is not null then ts end')} as v", "ts - v", "purchase is not null")
 simple("lastn_2", lambda s: L.last_n(s.cents, 2), "lag(cents, 2) over (partition by user_id order by ts)")
 _BURST = _SAMPLED.format(value="cents", rate=5 * DAY)
 query("bursts", lambda s: L.bursts(s.cents, 3 * DAY, 2 * DAY, 5), _BURST + f", t as (select *, row_number() over (partition by user_id, kept order by ts) as c from go) select user_id, ts, c <= 5 and ts < kept + {3 * DAY} as out from t" + _zero("true"))
-query("bursts_since", lambda s: L.bursts_since(s.click, 3 * DAY, 2 * DAY, 5, s.error), None)
+_SINCE = f""", r as materialized (select * from (select user_id, ts, click as v, {upto("case when error is not null then ts end")} as since, row_number() over (partition by user_id, click is not null order by ts) as i from s) where v is not null),
+go as (with recursive c as (select user_id, i, ts, v, ts as kept from r where i = 1
+  union all select r.user_id, r.i, r.ts, r.v, case when r.since is not null and (c.kept < r.since or r.ts - c.kept >= {5 * DAY}) then r.ts else c.kept end from c join r on r.user_id = c.user_id and r.i = c.i + 1) select * from c)"""
+query("bursts_since", lambda s: L.bursts_since(s.click, 3 * DAY, 2 * DAY, 5, s.error), _SINCE + f", t as (select *, row_number() over (partition by user_id, kept order by ts) as c from go) select user_id, ts, c <= 5 and ts < kept + {3 * DAY} as out from t" + _zero("true"))
 
 # running collections, as traces print them
 query("distinct_types_set", lambda s: apply("toString", L.collect_set(s.kind)), f""", t as (select user_id, ts, list_sort(list_distinct({upto("kind", "array_agg")})) as k from s)
 select user_id, ts, 'Set(' || array_to_string(list_transform(k, lambda x: '"' || x || '"'), ', ') || ')' as out from t""" + _zero("'Set()'"))
-query("set_with_remove", lambda s: apply("Set.contains", L.collect_set_with_remove(L.filter(s.kind, s.big), L.filter(s.kind, ~s.big)), "click"), None)
+simple("set_with_remove", lambda s: apply("Set.contains", L.collect_set_with_remove(L.filter(s.kind, s.big), L.filter(s.kind, ~s.big)), "click"), f"coalesce({upto('case when click is not null then big end')}, false)", zero="false")
 _PIVOT = ", ".join(f"{upto(t, '{f}')} as m{t}" for t in sorted(TYPES))
 _SHOWN = "'Map(' || array_to_string(list_filter([" + ", ".join(f"case when m{t} is not null and m{t} > 0 then '\"{t}\" -> ' || m{t} end" for t in sorted(TYPES)) + "], lambda x: x is not null), ', ') || ')'"
 for _name, _make, _f in (("map_count", lambda s: L.collect_count(s.kind), "count"), ("map_max", lambda s: L.collect_max(s.kind, s.cents), "max"), ("map_min", lambda s: L.collect_min(s.kind, s.cents), "min")):
@@ -207,12 +238,12 @@ query(
     "scalar_float_ops",
     lambda s: (lambda p, n: {
         "r_add": _round(apply("fadd", p, n)), "r_sub": _round(apply("fsub", p, n)), "r_mul": _round(apply("fmul", p, n)), "r_div": _round(apply("fdiv", p, n)), "r_neg": _round(apply("fnegate", p)),
-        "r_pow": _round(apply("pow", n, 2.0)), "r_log": _round(apply("log", p, 2.0)), "r_sin": _round(apply("sin", p)), "r_cos": _round(apply("cos", p)), "r_atan": _round(apply("atan", p)),
+        "r_pow": _round(apply("pow", n, 2.0)), "r_log": _round(apply("log", p, 2.0)), "r_sin": _round(apply("sin", p)), "r_cos": _round(apply("cos", p)), "r_atan": _round(apply("atan", p)), "r_tan": _round(apply("tan", apply("fdiv", p, 1000.0))),
         "r_lt": apply("flt", p, n), "r_leq": apply("fleq", p, n), "r_gt": apply("fgt", p, n), "r_geq": apply("fgeq", p, n), "r_inf": apply("fgt", apply("fdiv", p, 0.0), 1e300),
     })(s.price, apply("intToFloat", s.number % 97 + 1)),
     """, m as (select user_id, ts, price as p, cast(number % 97 + 1 as double) as n from s)
 select user_id, ts, trunc((p + n) * 1000)::bigint as r_add, trunc((p - n) * 1000)::bigint as r_sub, trunc(p * n * 1000)::bigint as r_mul, trunc(p / n * 1000)::bigint as r_div, trunc(-p * 1000)::bigint as r_neg,
-  trunc(pow(n, 2) * 1000)::bigint as r_pow, trunc(ln(p) / ln(2.0::double) * 1000)::bigint as r_log, trunc(sin(p) * 1000)::bigint as r_sin, trunc(cos(p) * 1000)::bigint as r_cos, trunc(atan(p) * 1000)::bigint as r_atan,
+  trunc(pow(n, 2) * 1000)::bigint as r_pow, trunc(ln(p) / ln(2.0::double) * 1000)::bigint as r_log, trunc(sin(p) * 1000)::bigint as r_sin, trunc(cos(p) * 1000)::bigint as r_cos, trunc(atan(p) * 1000)::bigint as r_atan, trunc(tan(p / 1000) * 1000)::bigint as r_tan,
   p < n as r_lt, p <= n as r_leq, p > n as r_gt, p >= n as r_geq, true as r_inf from m""",
 )
 query(
@@ -250,11 +281,11 @@ query(
     "set_ops",
     lambda s: (lambda x: {
         "r_size": apply("Set.size", x), "r_has": apply("Set.contains", x, 0), "r_all": apply("toString", x), "r_less": apply("toString", apply("Set.remove", x, 1)),
-        "r_union": apply("toString", apply("Set.union", x, frozenset({7}))), "r_both": apply("toString", apply("Set.intersection", x, frozenset({0, 3}))), "r_minus": apply("toString", apply("Set.minus", x, frozenset({0, 3}))),
+        "r_none": L.slift1(lambda _: apply("Set.size", Lit(frozenset(), set_of(INT))), s.cents), "r_one": L.slift1(lambda _: apply("toString", apply("Set.add", Lit(frozenset(), set_of(INT)), 5)), s.cents), "r_union": apply("toString", apply("Set.union", x, frozenset({7}))), "r_both": apply("toString", apply("Set.intersection", x, frozenset({0, 3}))), "r_minus": apply("toString", apply("Set.minus", x, frozenset({0, 3}))),
         "r_fold": apply("Set.fold", x, Lit(0), function(lambda acc, v: acc + v * v, INT, INT)),
     })(_set(s)),
     """, m as (select user_id, ts, list_sort(list_distinct([1, cents % 3, number % 4])) as x from s)
-select user_id, ts, len(x)::bigint as r_size, list_contains(x, 0) as r_has, 'Set(' || array_to_string(x, ', ') || ')' as r_all, 'Set(' || array_to_string(list_filter(x, lambda v: v <> 1), ', ') || ')' as r_less,
+select user_id, ts, len(x)::bigint as r_size, list_contains(x, 0) as r_has, 'Set(' || array_to_string(x, ', ') || ')' as r_all, 'Set(' || array_to_string(list_filter(x, lambda v: v <> 1), ', ') || ')' as r_less, 0::bigint as r_none, 'Set(5)' as r_one,
   'Set(' || array_to_string(list_append(x, 7), ', ') || ')' as r_union, 'Set(' || array_to_string(list_filter(x, lambda v: v in (0, 3)), ', ') || ')' as r_both, 'Set(' || array_to_string(list_filter(x, lambda v: v not in (0, 3)), ', ') || ')' as r_minus,
   list_sum(list_transform(x, lambda v: v * v))::bigint as r_fold from m""",
 )
