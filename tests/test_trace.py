@@ -135,3 +135,26 @@ def test_command_line_looks(tmp_path, capsys):
     assert found[:3] == ["x", "y", "s"] and all(x.isdigit() for x in found[3:])
     path.write_text("out z")
     assert cli.main([str(path), "--verify-only"]) == 1
+
+
+def test_standard_input_is_evaluated_as_it_comes(tmp_path, capsys, monkeypatch):
+    path = tmp_path / "a.spec"
+    path.write_text("in x: Events[Int]\nin u: Events[Unit]\nout sum(x) as total\nout delay(const(3, u), u) as late\n@raw out x as bare")
+    seen = []
+
+    def lines():
+        for line in ("1: x = 4\n", "2: u\n", "3: other = 1\n", "9: x = 5\n", "12: x = 6\n"):
+            seen.append(capsys.readouterr().out)
+            yield line
+
+    monkeypatch.setattr("sys.stdin", lines())
+    assert cli.main([str(path)]) == 0
+    out = "".join(seen) + capsys.readouterr().out
+    assert out.splitlines() == ["0: total = 0", "1: total = 4", "4", "5: late = ()", "9: total = 9", "5", "12: total = 15", "6"]
+    assert "1: total = 4" in "".join(seen[:4])
+    monkeypatch.setattr("sys.stdin", iter(["1: x = 4\n", "2: u\n", "9: x = 5\n"]))
+    assert cli.main([str(path), "--stop-on", "late"]) == 0 and capsys.readouterr().out.splitlines() == ["0: total = 0", "1: total = 4", "4", "5: late = ()"]
+    monkeypatch.setattr("sys.stdin", iter(["time,x,u\n", "1,4,\n", "2..3,,()\n"]))
+    assert cli.main([str(path), "--csv", "--flatten-input"]) == 0 and capsys.readouterr().out.splitlines() == ["1: x = 4", "2: u = ()", "3: u = ()"]
+    monkeypatch.setattr("sys.stdin", iter(["2: x = 4\n", "1: x = 1\n"]))
+    assert cli.main([str(path)]) == 1 and "backwards" in capsys.readouterr().err

@@ -1,18 +1,25 @@
-"""``python -m tideline SPEC [TRACE]``: run a specification over a trace, or look at its graph."""
+"""``python -m tideline SPEC [TRACE]``: run a specification over a trace, or look at its graph.
+
+A trace that is a file goes through Spark; without one, lines are read from standard input and evaluated as they come.
+"""
 
 from __future__ import annotations
 
 import argparse
 import os
 import sys
+from collections.abc import Iterable
+from typing import Any
 
 from pyspark.sql import SparkSession
 
 from tideline.operators import graph as g
+from tideline.functions.types import decode, show
 from tideline.operators.lowering import events
-from tideline.plans.spec import compile_spec
+from tideline.plans.spec import Spec, compile_spec
 from tideline.plans.syntax import SpecError
 from tideline.sources import trace
+from tideline.streaming.engine import Engine, EngineError
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -51,8 +58,10 @@ def main(argv: list[str] | None = None) -> int:
     asked = [f for n, f in looks.items() if getattr(a, n)]
     for look in asked:
         print(look())
-    if asked or a.verify_only or a.trace is None:
+    if asked or a.verify_only:
         return 0
+    if a.trace is None:
+        return online(spec, sys.stdin, a)
     spark = SparkSession.builder.appName("tideline").getOrCreate()
     types = {n: s.type for n, s in spec.inputs.items()}
     line = (trace.read_csv if a.csv else trace.read_text)(spark, a.trace, types, a.until, a.abort_at)
@@ -64,5 +73,38 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
+def online(spec: Spec, lines: Iterable[str], a: argparse.Namespace) -> int:
+    """Evaluate lines as they come and print each output event once time has moved past it."""
+    types = {n: s.type for n, s in spec.inputs.items()}
+    stopped, last = False, -1
+
+    def tell(ts: int, name: str, value: Any) -> None:
+        nonlocal last, stopped
+        if stopped and ts > last:
+            raise StopIteration
+        last, stopped = ts, stopped or name == a.stop_on
+        print(show(value) if name in spec.raw else f"{ts}: {name} = {show(value)}", flush=True)
+
+    engine = Engine(spec, tell)
+    try:
+        for n, (ts, stream, value) in enumerate(trace.events_of_lines(lines, types, a.until, a.csv)):
+            if a.abort_at is not None and n > a.abort_at:
+                break
+            if a.flatten_input:
+                print(f"{ts}: {stream} = {show(decode(value, types[stream]))}" if stream in types else ts, flush=True)
+                continue
+            engine.set_time(ts)
+            if stream in types:
+                engine.provide(stream, decode(value, types[stream]))
+        if not a.flatten_input:
+            engine.step(0)
+    except StopIteration:
+        pass
+    except (EngineError, trace.TraceError) as error:
+        print(error, file=sys.stderr)
+        return 1
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -200,7 +200,7 @@ def _uncommented(line: str) -> str:
 class _Lines:
     """Parses lines into rows (_at, ts, streams...), in the order of the file."""
 
-    def __init__(self, types: dict[str, t.Type], schema: pa.Schema, until: int | None, header: list[str] | None) -> None:
+    def __init__(self, types: dict[str, t.Type], schema: pa.Schema | None, until: int | None, header: list[str] | None) -> None:
         self.types, self.schema, self.until, self.header = types, schema, until, header
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +228,15 @@ class _Lines:
                 yield ts, "", None
 
 
+def events_of_lines(lines: Iterable[str], types: dict[str, t.Type], until: int | None = None, csv: bool = False) -> Iterator[tuple[int, str, Any]]:
+    """The events of a trace's lines as they come. Ranges are expanded line by line, so time must not go backwards between lines."""
+    rows = iter(lines)
+    cells = _Lines(types, None, until, [c.strip() for c in next(rows, "").split(",")]).cells if csv else None
+    for line in rows:
+        for found in events_of_line(line, types, until) if cells is None else sorted(filter(None, cells(line.rstrip("\n"))), key=lambda e: e[0]):
+            yield found
+
+
 def split_cells(line: str) -> list[str]:
     """A CSV trace's line at its commas outside brackets and strings."""
     out, depth, quoted, start = [], 0, False, 0
