@@ -5,6 +5,7 @@ import pytest
 from tideline.functions.expr import Fault
 from tideline.functions.types import decode, show
 from tideline.operators import graph as g
+from tideline.operators import library as L
 from tideline.operators.stepper import Stepper
 from tideline.plans.spec import SpecError, compile_spec
 from tideline.sources.trace import events_of_line
@@ -207,6 +208,14 @@ def test_periodic_recursive_delay():
     assert run(text, "1: e\n10: e") == {"0: p = 3", "3: p = 3", "6: p = 3", "9: p = 3"}
 
 
+def test_operators_of_the_callers_own():
+    text = "in x: Events[Int]\nin y: Events[Int]\nout spread(x, y + 1) as s\nout spread(x, 3) as t"
+    own = {"spread": lambda a, b: L.maximum(L.merge(a, b)) - L.minimum(L.merge(a, b))}
+    assert run(text, "1: x = 5\n2: y = 1\n3: x = 9", builtins=own) == {"0: t = 0", "1: s = 0", "1: t = 2", "2: s = 3", "3: s = 7", "3: t = 6"}
+    with pytest.raises(SpecError, match="not defined"):
+        compile_spec(text)
+
+
 @pytest.mark.parametrize(
     ("text", "message"),
     [

@@ -58,3 +58,39 @@ def test_structured_streaming_gives_the_batch_result(spark, tmp_path):
     want = {tuple(r) for r in events(spec.outputs, Timeline(spark.createDataFrame(rows, schema), ("k",))).collect()}
     mark = 50_000
     assert got == {r for r in want if r[1] <= mark and r[0] != "z"}
+
+
+ROWS = "k string, ts long, x long, u boolean"
+
+
+def streamed(spark, folder, spec, **options):
+    """One run over what is in the folder that earlier runs haven't seen; all output so far."""
+    stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(str(folder / "in"))
+    out = evaluate(stream, spec, "k", **options)
+    out.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "ck")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return sorted(tuple(r) for r in spark.read.schema(out.schema).parquet(str(folder / "out")).collect())
+
+
+def feed(spark, folder, name, rows):
+    spark.createDataFrame(rows, ROWS).coalesce(1).write.json(str(folder / f"in/{name}"))
+
+
+def test_a_query_goes_on_from_its_checkpoint(spark, tmp_path):
+    spec = compile_spec(SPEC)
+    rows = [("a", 1000, 1, None), ("b", 2000, 7, True), ("a", 5000, 4, True), ("b", 9000, 2, None), ("a", 12_000, 3, True), ("z", 60_000, 0, None)]
+    feed(spark, tmp_path, 0, rows[:3])
+    first = streamed(spark, tmp_path, spec)
+    feed(spark, tmp_path, 1, rows[3:])
+    second = streamed(spark, tmp_path, spec)
+    assert streamed(spark, tmp_path, spec) == second and set(first) < set(second)
+    want = {tuple(r) for r in events(spec.outputs, Timeline(spark.createDataFrame(rows, ROWS), ("k",))).collect()}
+    assert len(second) == len(set(second)) and {r for r in second if r[0] != "z"} == {r for r in want if r[0] != "z"}
+
+
+def test_silent_keys_are_forgotten(spark, tmp_path):
+    spec = compile_spec("in x: Events[Int]\nin u: Events[Unit]\nout sum(x) as total")
+    for i, rows in enumerate(([("a", 1000, 1, None), ("b", 1500, 5, None)], [("b", 4000, 1, None)], [("z", 20_000, 0, None)], [("a", 21_000, 2, None), ("b", 21_000, 2, None)], [("z", 40_000, 0, None)])):
+        feed(spark, tmp_path, i, rows)
+        got = streamed(spark, tmp_path, spec, expire=17_000)
+    assert [r[1:] for r in got if r[0] == "a"] == [(0, "total", "0"), (0, "total", "0"), (1000, "total", "1"), (21_000, "total", "2")]
+    assert [r[1:] for r in got if r[0] == "b"] == [(0, "total", "0"), (1500, "total", "5"), (4000, "total", "6"), (21_000, "total", "8")]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline import shared_folder
 from tideline.functions.types import INT, STRING
+from tideline.operators import library as L
 from tideline.operators.lowering import events as trace_of
 from tideline.operators.lowering import outputs
 from tideline.operators.timeline import TS, Timeline, from_events
@@ -27,11 +28,11 @@ def _named(f: Query) -> Query:
     return f
 
 
-def specified(name: str, text: str, sql: str, time_unit: str | None = None) -> None:
+def specified(name: str, text: str, sql: str, time_unit: str | None = None, **options) -> None:
     """A specification over each user's timeline; ``sql`` continues the common table expressions ``e`` and ``s``."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return outputs(compile_spec(text, time_unit).outputs, user_timelines(spark, sf_dir))
+        return outputs(compile_spec(text, time_unit, **options).outputs, user_timelines(spark, sf_dir))
 
     _QUERIES[name], _SQL[name] = run, _BASE + sql
 
@@ -140,6 +141,12 @@ specified(
     """,
     " select user_id, ts, -2 * cents as t, (2 - cents % 2)::bigint as odd, cents as got, 1::bigint as one from s",
 )
+specified(
+    "spec_own_operator",
+    "in cents: Events[Int]\nout spread(cents, 500) as spread",
+    f""", m as (select user_id, ts, {upto('cents', 'max')} as hi, {upto('cents', 'min')} as lo from s) select user_id, ts, greatest(hi, 500) - least(lo, 500) as spread from m union all select distinct user_id, 0, 0 from s""",
+    builtins={"spread": lambda a, b: L.maximum(L.merge(a, b)) - L.minimum(L.merge(a, b))},
+)
 
 
 def _times(df: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 Events of a key wait in the state until the watermark has passed their time; then the key's ticks are
 stepped in order of time, timers between them. So the result is the batch result up to the watermark,
 however events were spread over batches. Rows that come later than the watermark allows are dropped by
-Spark; two events of one stream at the same time are an error.
+Spark; two events of one stream at the same time are an error. A query that starts again from its checkpoint goes on where it was.
+
+The state of a key stays for ever, unless ``expire`` says for how long a key may be silent: then it is forgotten, and a later
+event of the key begins a new timeline at its own tick 0.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ _TIME = "_event_time"
 class _Keyed:
     """One key's events and operator state; called by Spark with its new rows or at a timeout."""
 
-    def __init__(self, spec: Spec, key: str, millis: int) -> None:
+    def __init__(self, spec: Spec, key: str, millis: int, expire: int | None) -> None:
         self.stepper = Stepper(spec.outputs.values())
         self.ids = {n: g.resolve(s).id for n, s in spec.outputs.items()}
         self.inputs = {n: (s.id, s.type) for n, s in spec.inputs.items()}
-        self.key, self.millis = key, millis
+        self.key, self.millis, self.expire = key, millis, expire
 
     def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         st = self.stepper
@@ -64,9 +67,13 @@ class _Keyed:
             for at, values in st.due(ts):
                 self._add(rows, key[0], at, values)
             self._add(rows, key[0], ts, st.tick(ts, waiting.pop(ts)))
-        state.update((pickle.dumps((st.snapshot(), waiting)),))
-        if waiting:
-            state.setTimeoutTimestamp(max(min(waiting) * self.millis, mark + 1))
+        forgotten = None if self.expire is None else st.now * self.millis + self.expire
+        if not waiting and forgotten is not None and forgotten <= mark:
+            state.remove()
+        else:
+            state.update((pickle.dumps((st.snapshot(), waiting)),))
+            if waiting or forgotten is not None:
+                state.setTimeoutTimestamp(max(min(waiting) * self.millis if waiting else forgotten, mark + 1))
         yield pd.DataFrame(rows, columns=[self.key, "ts", "stream", "value"])
 
     def _add(self, rows: list[tuple], key: Any, ts: int, values: dict[int, Any]) -> None:
@@ -77,12 +84,13 @@ class _Keyed:
                 rows.append((key, ts, n, t.show(values[i])))
 
 
-def evaluate(stream: DataFrame, spec: Spec, key: str, delay: str = "0 seconds", millis: int = 1) -> DataFrame:
+def evaluate(stream: DataFrame, spec: Spec, key: str, delay: str = "0 seconds", millis: int = 1, expire: int | None = None) -> DataFrame:
     """Output events (key, ts, stream, value as text) of a streaming DataFrame with ``key``, ``ts`` and a nullable column for each input.
 
-    ``millis``: the length of a time unit in milliseconds; ``delay``: how late events may come.
+    ``millis``: the length of a time unit in milliseconds; ``delay``: how late events may come; ``expire``: after how many
+    milliseconds of event time without events a key's state goes.
     """
     find_package(stream.sparkSession)
     timed = stream.withColumn(_TIME, F.timestamp_millis(F.col("ts") * millis)).withWatermark(_TIME, delay)
     kind = dict(stream.dtypes)[key]
-    return timed.groupBy(key).applyInPandasWithState(_Keyed(spec, key, millis), f"{key} {kind}, ts long, stream string, value string", "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy(key).applyInPandasWithState(_Keyed(spec, key, millis, expire), f"{key} {kind}, ts long, stream string, value string", "state binary", "append", GroupStateTimeout.EventTimeTimeout)
