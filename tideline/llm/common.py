@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,14 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(7), body).alias("k2")]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: libraries keep what they had at their peak."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if release is not None:
+        release(0)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64, elementwise on uint64 (a new array)."""
     x = x ^ (x >> np.uint64(30))

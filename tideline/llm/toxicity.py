@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import by_size, fresh, quoted, word_prefix_hashes
+from tideline.llm.common import by_size, fresh, quoted, trim, word_prefix_hashes
 
 BUCKETS = 1 << 18
 #: Beginnings of words that are features besides whole words, in bytes; compounds share them.
@@ -155,7 +155,9 @@ def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate:
 
 
 def trained(documents: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
-    return fit(*sampled(documents, labels, sample))
+    model = fit(*sampled(documents, labels, sample))
+    trim()
+    return model
 
 
 def scores(texts: list[str], model: Model) -> np.ndarray:
