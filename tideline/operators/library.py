@@ -11,8 +11,8 @@ from typing import Any
 
 from tideline.functions.expr import Expr, Lit, apply, trace
 from tideline.functions.scalars import ite
-from tideline.functions.types import BOOL, INT, NOTHING, FrozenMap, map_of, option, set_of
-from tideline.operators.graph import Const, Default, DefaultFrom, Delay, Fold, Last, Lift, Merge, Nil, On, Period, SignalLift, Stream, Time, recursive
+from tideline.functions.types import BOOL, INT, NOTHING, option, set_of
+from tideline.operators.graph import Collected, Const, Default, DefaultFrom, Delay, Fold, Last, Lift, Merge, Nil, On, Period, SignalLift, Stream, Time, recursive
 
 MAX_ARITY = 5
 
@@ -242,43 +242,24 @@ def period(every: int) -> Stream:
 # running collections
 
 def collect_count(events: Stream) -> Stream:
-    return Fold(events, Lit(FrozenMap(), map_of(events.type, INT)), lambda m, x: apply("Map.inc", m, x))
-
-
-def _collect_extreme(key: Stream, value: Stream, pick: str) -> Stream:
-    kind = map_of(key.type, INT)
-
-    def body(me: Stream) -> Stream:
-        old = Last(me, value)
-        k = On(value, key)
-        best = SignalLift(lambda m, x, v: apply(pick, apply("Map.getOrElse", m, x, v), v), [old, k, value])
-        return Default(SignalLift(lambda m, x, v: apply("Map.add", m, x, v), [old, k, best]), Lit(FrozenMap(), kind))
-
-    return recursive(kind, body)
+    return Collected("count", [events])
 
 
 def collect_max(key: Stream, value: Stream) -> Stream:
-    return _collect_extreme(key, value, "max")
+    return Collected("max", [key, value])
 
 
 def collect_min(key: Stream, value: Stream) -> Stream:
-    return _collect_extreme(key, value, "min")
+    return Collected("min", [key, value])
 
 
 def counting(x: Stream) -> Stream:
     """Numbers for the values of ``x``, from 1, in the order in which they first come."""
-    kind = map_of(x.type, INT)
-
-    def body(me: Stream) -> Stream:
-        new = lambda m, v: ite(apply("Map.contains", m, v), m, apply("Map.add", m, v, apply("Map.size", m) + 1))
-        return Default(SignalLift(new, [Last(me, x), x]), Lit(FrozenMap(), kind))
-
-    return recursive(kind, body)
+    return Collected("counting", [x])
 
 
 def collect_set(value: Stream) -> Stream:
-    kind = set_of(value.type)
-    return recursive(kind, lambda me: Default(SignalLift(lambda s, x: apply("Set.add", s, x), [Last(me, value), value]), Lit(frozenset(), kind)))
+    return Collected("set", [value])
 
 
 def collect_set_with_remove(value: Stream, remove: Stream) -> Stream:

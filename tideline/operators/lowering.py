@@ -76,7 +76,7 @@ class Lowering:
             for s in part:
                 self.fallible[s.id] = g.is_recursive(part) and not isinstance(s, g.Delay | g.Time | g.Const) or self._can_fail(s)
         g.within_tick([s for p in parts for s in p])  # cycles that no tick could evaluate
-        if any(isinstance(s, g.Default | g.Fold | g.Period) for p in parts for s in p):
+        if any(isinstance(s, g.Default | g.Fold | g.Period | g.Collected) for p in parts for s in p):
             self.timeline = with_zero(self.timeline)
         self.done |= {s.id for s in self.inputs}
         self.last_input = horizon(self.timeline)
@@ -93,9 +93,11 @@ class Lowering:
                     self._period(taken[0])
                 elif not g.is_recursive(taken) and isinstance(taken[0], g.Delay) and self._own_delays(taken[0]):
                     self._delay(taken[0])
+                elif self._by_windows(taken):
+                    self._collected(taken[0])
                 else:
                     # all steps that are ready go in one pass, unless they make ticks that others must see
-                    taken = [s for p in ready if not (isinstance(p[0], g.Period) or len(p) == 1 and isinstance(p[0], g.Delay) and not g.is_recursive(p) and self._own_delays(p[0])) for s in p]
+                    taken = [s for p in ready if not (isinstance(p[0], g.Period) or self._by_windows(p) or len(p) == 1 and isinstance(p[0], g.Delay) and not g.is_recursive(p) and self._own_delays(p[0])) for s in p]
                     self._stepped(taken)
             self.done |= {s.id for s in taken}
             waiting = [p for p in waiting if p[0].id not in self.done]
@@ -121,7 +123,7 @@ class Lowering:
 
     def _simple(self, part: list[g.Stream]) -> bool:
         s = part[0]
-        return not g.is_recursive(part) and not isinstance(s, g.Delay | g.Period) and (not isinstance(s, g.Fold) or self._closed(s))
+        return not g.is_recursive(part) and not isinstance(s, g.Delay | g.Period | g.Collected) and (not isinstance(s, g.Fold) or self._closed(s))
 
     def _cell(self, s: g.Stream) -> Cell:
         s = g.resolve(s)
@@ -249,6 +251,43 @@ class Lowering:
         ticks = armed.where("_at <= _horizon and (_next is null or _at <= _next)").select(*keys, F.col("_at").alias(TS), F.lit(True).alias(_name(s))).distinct()
         self.timeline = union_ticks(self.timeline, ticks)
 
+    def _by_windows(self, part: list[g.Stream]) -> bool:
+        """Whether windows over one key's ticks give a collection."""
+        s = part[0]
+        return isinstance(s, g.Collected) and not self.timeline.split and not self.fallible[s.id] and "map<" not in g.resolve(s.deps[0]).type.spark.simpleString()
+
+    def _collected(self, s: g.Collected) -> None:
+        """A running collection. Sets and numberings are lists of first occurrences; numbers of each value are
+        running values of each (tick, value), as many as the maps have entries.
+        """
+        keys, df = list(self.timeline.keys), self.timeline.df
+        first, last = self._cell(s.deps[0]), self._cell(s.deps[-1])
+        upto = Window.partitionBy(*keys).orderBy(TS).rowsBetween(Window.unboundedPreceding, 0)
+        zero = F.col(TS) == 0
+        value = F.last(first.value, ignorenulls=True).over(upto) if len(s.deps) > 1 else first.value
+        df = df.withColumns({"_x": F.when(last.present if s.kind == "count" else last.present & ~zero, value), "_n": last.value})
+        some = F.col("_x").isNotNull()
+        if s.kind in ("set", "counting"):
+            seen = F.row_number().over(Window.partitionBy(*keys, "_x").orderBy(TS)) == 1
+            df = df.withColumn("_new", F.when(some & seen, F.col("_x")))
+            df = df.withColumn("_all", F.when(some | zero, F.collect_list("_new").over(upto)))
+            whole = F.array_sort("_all") if s.kind == "set" else F.map_from_arrays("_all", F.transform("_all", lambda _, i: i.cast("long") + 1))
+            self.timeline = self.timeline.with_df(df.withColumn(_name(s), whole.cast(s.type.spark)).drop("_x", "_n", "_new", "_all"))
+            return
+        values = F.collect_set("_x").over(Window.partitionBy(*keys))
+        each = df.where(some).withColumn("_values", values).select(*keys, TS, "_x", "_n", F.explode("_values").alias("_value"))
+        own = F.when(F.col("_x") == F.col("_value"), F.lit(1) if s.kind == "count" else F.col("_n"))
+        number = {"count": F.count, "max": F.max, "min": F.min}[s.kind](own).over(Window.partitionBy(*keys, "_value").orderBy(TS).rowsBetween(Window.unboundedPreceding, 0))
+        each = each.select(*keys, TS, F.when(number > 0 if s.kind == "count" else number.isNotNull(), F.struct("_value", number.alias("_number"))).alias("_entry"))
+        maps = each.groupBy(*keys, TS).agg(F.map_from_entries(F.array_sort(F.collect_list("_entry"))).alias("_map"))
+        maps = maps.select(*(F.col(k).alias(f"_m_{k}") for k in keys), F.col(TS).alias("_m_ts"), "_map")
+        met = F.col(TS) == F.col("_m_ts")
+        for k in keys:
+            met = met & df[k].eqNullSafe(maps[f"_m_{k}"])
+        empty = F.map_from_arrays(F.array(), F.array()).cast(s.type.spark)
+        whole = F.coalesce(F.col("_map").cast(s.type.spark), F.when(zero, empty))
+        self.timeline = self.timeline.with_df(df.join(maps, met, "left").select(*self.timeline.df.columns, whole.alias(_name(s))))
+
     def _stepped(self, nodes: list[g.Stream]) -> None:
         """Evaluate nodes by the stepper; their other dependencies are columns already."""
         ids = {s.id for s in nodes}

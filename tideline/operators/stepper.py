@@ -31,7 +31,7 @@ class Stepper:
                     todo += [g.resolve(d) for d in s.deps]
         self.order = [s for s in g.within_tick([nodes[i] for i in sorted(nodes)]) if s.id not in self.given and not isinstance(s, g.Input)]
         self.steps = [(s, [g.resolve(d).id for d in s.deps]) for s in self.order]
-        self.sampled = {d for s, deps in self.steps for d in (deps if isinstance(s, g.SignalLift) else deps[1:] if isinstance(s, g.On) else deps[:1] if isinstance(s, g.Last) else [])}
+        self.sampled = {d for s, deps in self.steps for d in (deps if isinstance(s, g.SignalLift) else deps[1:] if isinstance(s, g.On) else deps[:1] if isinstance(s, g.Last) or isinstance(s, g.Collected) and len(deps) > 1 else [])}
         self.delays = [(s, deps) for s, deps in self.steps if isinstance(s, g.Delay)]
         self.periods = [s for s in self.order if isinstance(s, g.Period)]
         self.reset()
@@ -143,8 +143,26 @@ class Stepper:
             return NOTHING if s.id in fired else _ABSENT
         if kind is g.Fold:
             return self._fold(s, deps[0], values, ts)
+        if kind is g.Collected:
+            return self._collected(s, deps, values, ts)
         return _ABSENT
 
+    def _collected(self, s: g.Collected, deps: list[int], values: dict[int, Any], ts: int) -> Any:
+        before = self.memory.get(s.id, _ABSENT)
+        if ts == 0 and (s.kind != "count" or deps[0] not in values):
+            out = s.empty()
+        elif deps[-1] not in values:
+            return _ABSENT
+        else:
+            before = s.empty() if before is _ABSENT else before
+            x, n = values.get(deps[0], self.current.get(deps[0], _ABSENT)), values[deps[-1]]
+            if x is _ABSENT:
+                return _ABSENT
+            fault = next((y for y in (before, x, n) if isinstance(y, Fault)), None)
+            out = fault or s.add(before, x, n)
+        self.memory[s.id] = out
+        return out
+
     def _fold(self, s: g.Fold, d: int, values: dict[int, Any], ts: int) -> Any:
         before = self.memory.get(s.id, _ABSENT)
         if d in values:
