@@ -312,18 +312,50 @@ class _Run:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         st, key, fresh = self.stepper, None, True
         for batch in batches:
-            rows: list[dict] = []
-            for row in batch.to_pylist():
-                own = tuple(row[k] for k in self.keys)
+            n = batch.num_rows
+            keys = list(zip(*(batch.column(k).to_pylist() for k in self.keys), strict=True)) if self.keys else [()] * n
+            times = batch.column(TS).to_pylist()
+            given = [(i, batch.column(name).to_pylist(), t, fallible) for i, (name, t, fallible) in self.given.items()]
+            # output rows: the row that each comes of (a timer's tick before it, too), whether it is that row, its time and values
+            source: list[int] = []
+            own_row: list[bool] = []
+            at_times: list[int] = []
+            out: dict[int, list] = {i: [] for i in self.out}
+            for r in range(n):
+                own, ts = keys[r], times[r]
                 if fresh or own != key:
                     key, fresh = own, False
                     st.reset()
-                ts = row[TS]
                 for at, values in st.due(ts):
-                    self._add(rows, {**dict.fromkeys(self.columns), **dict(zip(self.keys, own, strict=True)), TS: at}, values)
-                events = {i: self._read(row[n], t, fallible) for i, (n, t, fallible) in self.given.items() if row[n] is not None}
-                self._add(rows, row, st.tick(ts, events), always=True)
-            yield pa.RecordBatch.from_pylist(rows, self.schema)
+                    if any(i in values for i in out):
+                        source.append(r)
+                        own_row.append(False)
+                        at_times.append(at)
+                        self._add(out, values)
+                events = {i: self._read(column[r], t, fallible) for i, column, t, fallible in given if column[r] is not None}
+                source.append(r)
+                own_row.append(True)
+                at_times.append(ts)
+                self._add(out, st.tick(ts, events))
+            yield self._batch(batch, source, own_row, at_times, out)
+
+    def _batch(self, batch: pa.RecordBatch, source: list[int], own_row: list[bool], at_times: list[int], out: dict[int, list]) -> pa.RecordBatch:
+        """Columns that the operators don't read go through as they are, without becoming Python values."""
+        names = {name: i for i, (name, _, _) in self.out.items()}
+        whole = len(source) == batch.num_rows
+        rows = None if whole else pa.array(source, pa.int64())
+        kept = None if whole else pa.array([r if own else None for r, own in zip(source, own_row, strict=True)], pa.int64())
+        columns = []
+        for field in self.schema:
+            if field.name in names:
+                columns.append(pa.array(out[names[field.name]], field.type))
+            elif field.name == TS and not whole:
+                columns.append(pa.array(at_times, field.type))
+            else:
+                column = batch.column(field.name)
+                column = column if whole else column.take(rows if field.name in self.keys else kept)
+                columns.append(column if column.type == field.type else column.cast(field.type))
+        return pa.RecordBatch.from_arrays(columns, schema=self.schema)
 
     @staticmethod
     def _read(x, t: Type, fallible: bool):
@@ -331,21 +363,16 @@ class _Run:
             return decode(x, t)
         return Fault(x["e"]) if x["e"] is not None else decode(x["v"], t)
 
-    def _add(self, rows: list[dict], row: dict, values: dict, always: bool = False) -> None:
-        out = dict(row)
-        some = False
-        for i, (n, t, fallible) in self.out.items():
+    def _add(self, out: dict[int, list], values: dict) -> None:
+        for i, (_, t, fallible) in self.out.items():
             x = None
             if i in values:
-                some = True
                 v = values[i]
                 if not fallible:
                     x = encode(v, t)
                 else:
                     x = {"v": None, "e": str(v)} if isinstance(v, Fault) else {"v": encode(v, t), "e": None}
-            out[n] = x
-        if some or always:
-            rows.append(out)
+            out[i].append(x)
 
 
 def _any(conditions: list[Column]) -> Column:
