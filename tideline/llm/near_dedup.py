@@ -9,8 +9,8 @@ than its latest register are never drawn, so a signature costs about one point a
 
 Registers form bands; texts that agree in a band are candidates, and a pair is linked if its exact
 multiset overlap is ``similarity`` or more. Classes are the components of the links. Inside a band's
-bucket no pairs are listed: every text is compared with one hub of its bucket, over several
-rounds with other hubs; texts that are in the hub's component by then need no further proof. Links of a
+bucket no pairs are listed: every text is compared with one hub of its bucket (in further ``rounds``, if asked for, with
+other hubs); texts that are in the hub's component by then need no further proof. Links of a
 round join components, not texts. For texts whose buckets still hold several components, links
 across components are searched by prefixes: with the cells that only one component has put first and the
 others in order of their frequency, two texts of n and m cells can reach the similarity only if they
@@ -160,7 +160,7 @@ def _met(one: Column, other: Column) -> list[Column]:
     return [low["id"].alias("u"), low["root"].alias("u_root"), high["id"].alias("v"), high["root"].alias("v_root")]
 
 
-def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = Bands(), words: int = WORDS, rounds: int = 3) -> DataFrame:
+def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = Bands(), words: int = WORDS, rounds: int = 1) -> DataFrame:
     """(id, root) of the texts that have a near-duplicate and aren't their class's root themselves; ids are hashes of texts."""
     table = materialize(signed(documents, shape, words), "bands")
     rows = table.select("id", "n", F.explode("bands").alias("band"))
