@@ -7,7 +7,8 @@ text or not, with the whole page as context. It is trained here, on pages that a
 makes up in many layouts with known labels; no page of the corpus is used for training.
 
 Cases: a null page counts as empty (no text). Unclosed and wrongly nested elements, stray "<" and cut
-pages are read as far as they go. Ties and repeated rows are each extracted; an empty table gives an
+pages are read as far as they go; from the first tag whose quotes don't end, tags end at the next ">". Reading takes time in
+proportion to the page, and pages of very many blocks go through the network in segments. Ties and repeated rows are each extracted; an empty table gives an
 empty result; extra columns aren't carried. Pages of any length are read whole.
 """
 
@@ -24,7 +25,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|textarea|title|noscript|svg|iframe|select|button)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S | re.I)
+from tideline.llm.common import by_size
+
+OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][\w:-]*))")
+REST = re.compile(r"""(?:"[^"]*+"|'[^']*+'|[^'">])*+>""")
+#: Elements whose contents aren't text of the page.
+RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style template textarea title noscript svg iframe select button".split()}
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meta link q s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("br img meta link input hr wbr area base col embed source track".split())
@@ -36,61 +42,89 @@ INPUT = PATH + WORDS + EXTRA
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: int  # the slots of the path's names, as bits
     text: str
     linked: int
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Where each text starts and ends, and the tag after it: its name (None: nothing to open or close), whether it closes, its attributes."""
+    at = place = 0
+    quotes = True
+    while (m := OPEN.search(page, place)) is not None:
+        name, attributes = None, ""
+        if m[1]:
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        else:
+            whole = REST.match(page, m.end()) if quotes and m[4] else None
+            quotes = quotes and (whole is not None or not m[4])
+            end = whole.end() if whole is not None else page.find(">", m.end()) + 1
+            if not end:  # no tag ends any more; a comment may begin
+                comment = page.find("<!--", m.end())
+                yield at, len(page) if comment < 0 else comment, None, False, ""
+                return
+            name = m[4]
+            if name is not None:
+                name, attributes = name.lower(), page[m.end() : end - 1]
+                if not m[3] and name in RAW:
+                    close = RAW[name].search(page, end)
+                    name, end = None, len(page) if close is None else close.end()
+        yield at, m.start(), name, bool(m[3]), attributes
+        at = place = end
+    yield at, len(page), None, False, ""
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page with text, in order. An open element is its name, and its name with each class or id."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}
     parts: list[str] = []
-    state = {"links": 0, "linked": 0}
-
-    def text(raw: str) -> None:
-        if raw:
-            decoded = html.unescape(raw) if "&" in raw else raw
-            parts.append(decoded)
-            if state["links"]:
-                state["linked"] += len(decoded)
+    links = linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             found = SPACE.sub(" ", "".join(parts)).strip()
             if found:
-                out.append(Block(tuple(x for _, names in stack for x in names), found, state["linked"]))
+                out.append(Block(stack[-1][1] if stack else 0, found, linked))
             parts.clear()
-        state["linked"] = 0
+        linked = 0
 
-    at = 0
-    for m in TAG.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        name = m[3]
+    def pop() -> None:
+        open_[stack.pop()[0]] -= 1
+
+    for start, end, name, closes, attributes in tokens(page):
+        if end > start:
+            decoded = html.unescape(page[start:end])
+            parts.append(decoded)
+            linked += len(decoded) if links else 0
         if name is None:
             continue
-        name = name.lower()
         if name in INLINE:
             if name == "br":
                 parts.append(" ")
             elif name == "a":
-                state["links"] = 0 if m[2] else 1
+                links = 0 if closes else 1
             continue
         flush()
-        state["links"] = 0
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+        links = 0
+        if closes:
+            if open_.get(name):
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             continue
         if stack and (stack[-1][0] == "p" and name in CLOSES_P or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-            stack.pop()
+            pop()
         if name not in VOID:
-            words = [w.lower() for v in NAMES.findall(m[4]) for w in re.split(r"[\s_-]+", v.strip("\"'")) if w]
-            stack.append((name, (name, *(f"{name}.{w}" for w in words), *(f".{w}" for w in words))))
-    text(page[at:])
+            words = [w.lower() for v in NAMES.findall(attributes) for w in re.split(r"[\s_-]+", v.strip("\"'")) if w]
+            path = stack[-1][1] if stack else 0
+            for x in (name, *(f"{name}.{w}" for w in words), *(f".{w}" for w in words)):
+                path |= 1 << _slot(x, PATH, False)[0]
+            stack.append((name, path))
+            open_[name] = open_.get(name, 0) + 1
     flush()
     return out
 
@@ -101,18 +135,20 @@ def _slot(word: str, size: int, sign: bool) -> tuple[int, float]:
     return h % size, (-1.0 if sign and h & 0x80000000 else 1.0)
 
 
-def vectors(found: list[Block]) -> np.ndarray:
+def vectors(found: list[Block], first: bool = True) -> np.ndarray:
+    """What the network reads of blocks; ``first``: whether they begin the page."""
     out = np.zeros((len(found), INPUT), dtype=np.float32)
+    if found:
+        bits = np.frombuffer(b"".join(b.path.to_bytes(PATH // 8, "little") for b in found), dtype=np.uint8)
+        out[:, :PATH] = np.unpackbits(bits, bitorder="little").reshape(len(found), PATH)
     for k, b in enumerate(found):
         row = out[k]
-        for name in b.path:
-            row[_slot(name, PATH, False)[0]] = 1
         words = b.text.lower().split()
         for w in words:
             i, s = _slot(w, WORDS, True)
             row[PATH + i] += s / (1 + len(words)) ** 0.5
         n = len(b.text)
-        row[-4:] = np.log1p(n) / 6, b.linked / n, "\xa9" in b.text, k == 0
+        row[-4:] = np.log1p(n) / 6, b.linked / n, "\xa9" in b.text, first and k == 0
     return out
 
 
@@ -128,10 +164,11 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool):
+def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool, state: tuple | None = None):
+    """Hidden states of all steps, what the way back needs, and the last state, which ``state`` may go on from."""
     steps, n, _ = x.shape
     z = x @ w + b
-    h = c = np.zeros((n, HIDDEN), dtype=np.float32)
+    h, c = state or (np.zeros((n, HIDDEN), dtype=np.float32),) * 2
     out, saved = np.zeros((steps, n, HIDDEN), dtype=np.float32), []
     for t in range(steps):
         a = z[t] + h @ u
@@ -144,7 +181,7 @@ def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.nd
             saved.append((h, c, i, f, o, new, th, m))
         h, c = m * (o * th) + (1 - m) * h, m * c2 + (1 - m) * c
         out[t] = h
-    return out, saved
+    return out, saved, (h, c)
 
 
 def _back(x: np.ndarray, saved: list, d_out: np.ndarray, u: np.ndarray):
@@ -177,8 +214,8 @@ class Labeller:
 
     def _forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         w = self.weights
-        ahead, s1 = _run(x, mask, *w[:3], keep)
-        behind, s2 = _run(x[::-1], mask[::-1], *w[3:6], keep)
+        ahead, s1, _ = _run(x, mask, *w[:3], keep)
+        behind, s2, _ = _run(x[::-1], mask[::-1], *w[3:6], keep)
         top = np.concatenate([ahead, behind[::-1], x], axis=2)
         return top @ w[6] + w[7][0], top, s1, s2
 
@@ -195,6 +232,29 @@ class Labeller:
                 out[k] = _sigmoid(g[: len(pages[k]), j])
         return out
 
+    def long_page(self, found: list[Block], segment: int = 4096) -> np.ndarray:
+        """The probabilities of one page's blocks, of which only a segment is held as vectors at a time."""
+        w, starts = self.weights, range(0, len(found), segment)
+        g, state = np.full(len(found), w[7][0], dtype=np.float32), None
+        for a in starts:
+            x = vectors(found[a : a + segment], a == 0)[:, None]
+            out, _, state = _run(x, np.ones(x.shape[:2], dtype=np.float32), *w[:3], False, state)
+            g[a : a + segment] += (out @ w[6][:HIDDEN] + x @ w[6][2 * HIDDEN :])[:, 0]
+        state = None
+        for a in reversed(starts):
+            x = vectors(found[a : a + segment], a == 0)[::-1, None]
+            out, _, state = _run(x, np.ones(x.shape[:2], dtype=np.float32), *w[3:6], False, state)
+            g[a : a + segment] += (out @ w[6][HIDDEN : 2 * HIDDEN])[::-1, 0]
+        return _sigmoid(g)
+
+    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean logistic loss over all blocks, by the weights."""
+        g, top, s1, s2 = self._forward(x, mask, keep=True)
+        d = (_sigmoid(g) - y) * mask / mask.sum()
+        d_top = d[:, :, None] * self.weights[6]
+        ahead, behind = _back(x, s1, d_top[:, :, :HIDDEN], self.weights[1]), _back(x[::-1], s2, d_top[::-1, :, HIDDEN : 2 * HIDDEN], self.weights[4])
+        return [*ahead, *behind, np.tensordot(d, top, axes=([0, 1], [0, 1])), d.sum(keepdims=True).reshape(1)]
+
     def train(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int, rate: float = 0.01, seed: int = 9) -> None:
         r = np.random.default_rng(seed)
         first, second, step = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights], 0
@@ -204,12 +264,8 @@ class Labeller:
                 y = np.zeros(mask.shape, dtype=np.float32)
                 for j, k in enumerate(part):
                     y[: len(labels[k]), j] = labels[k]
-                g, top, s1, s2 = self._forward(x, mask, keep=True)
-                d = (_sigmoid(g) - y) * mask / mask.sum()
-                d_top = d[:, :, None] * self.weights[6]
-                grads = [*_back(x, s1, d_top[:, :, :HIDDEN], self.weights[1]), *_back(x[::-1], s2, d_top[::-1, :, HIDDEN : 2 * HIDDEN], self.weights[4]), np.tensordot(d, top, axes=([0, 1], [0, 1])), d.sum(keepdims=True).reshape(1)]
                 step += 1
-                for k, v in enumerate(grads):
+                for k, v in enumerate(self.gradients(x, mask, y)):
                     first[k] = 0.9 * first[k] + 0.1 * v
                     second[k] = 0.999 * second[k] + 0.001 * v * v
                     self.weights[k] = (self.weights[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
@@ -299,9 +355,14 @@ def trained(pages: int = 900, epochs: int = 6, seed: int = 3) -> Labeller:
     return model
 
 
+#: Blocks of a page up to which it goes through the network with others.
+LONG = 10_000
+
+
 def extract(pages: list[str | None], model: Labeller) -> list[str]:
     found = [blocks(p) if isinstance(p, str) else [] for p in pages]
-    labels = model.probabilities([vectors(f) for f in found])
+    labels = model.probabilities([vectors(f) if len(f) <= LONG else vectors([]) for f in found])
+    labels = [model.long_page(f) if len(f) > LONG else p for f, p in zip(found, labels, strict=True)]
     return ["\n".join(b.text for b, p in zip(f, own, strict=True) if p >= 0.5) for f, own in zip(found, labels, strict=True)]
 
 
@@ -311,8 +372,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                part = batch.iloc[first : first + 256]
+            sizes = [p if isinstance(p, str) else "" for p in batch["html"]]
+            for first, last in by_size(sizes, 1 << 21):
+                part = batch.iloc[first:last]
                 text = extract(list(part["html"]), model)
                 yield pd.DataFrame({"page_id": part["page_id"].astype("Int64"), "url": part["url"], "text": text, "n_chars": [len(t) for t in text]})
 

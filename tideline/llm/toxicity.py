@@ -115,6 +115,23 @@ def _counted(buckets: np.ndarray, step: int = 1 << 20) -> np.ndarray:
     return out
 
 
+def risk(g: np.ndarray, n_p: int, prior: float) -> tuple[float, np.ndarray]:
+    """What a step goes down on, and its derivative by the outputs: the risk, or where its part of negatives is below zero that part turned round.
+
+    The first ``n_p`` outputs are of positive examples, the others of unlabelled text; the loss is logistic.
+    """
+    p = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+    negative = np.mean(np.logaddexp(0, g[n_p:])) - prior * np.mean(np.logaddexp(0, g[:n_p]))
+    d = np.empty(len(g))
+    if negative < 0:
+        d[:n_p] = prior * p[:n_p] / n_p
+        d[n_p:] = -p[n_p:] / (len(g) - n_p)
+        return float(-negative), d
+    d[:n_p] = prior * (p[:n_p] - 1 - p[:n_p]) / n_p
+    d[n_p:] = p[n_p:] / (len(g) - n_p)
+    return float(prior * np.mean(np.logaddexp(0, -g[:n_p])) + negative), d
+
+
 def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> Model:
     """Minimise the non-negative risk by Adam over all examples at once."""
     weights = np.zeros(BUCKETS, dtype=np.float32)
@@ -136,15 +153,7 @@ def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate:
     state = [np.zeros(len(names) + 1), np.zeros(len(names) + 1)]
     for step in range(1, steps + 1):
         g = np.bincount(row, weights=w[column], minlength=n) + b
-        p = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-        negative = np.mean(np.logaddexp(0, g[n_p:])) - prior * np.mean(np.logaddexp(0, g[:n_p]))
-        d = np.empty(n)
-        if negative >= 0:
-            d[:n_p] = prior * (p[:n_p] - 1 - p[:n_p]) / n_p
-            d[n_p:] = p[n_p:] / (n - n_p)
-        else:
-            d[:n_p] = prior * p[:n_p] / n_p
-            d[n_p:] = -p[n_p:] / (n - n_p)
+        _, d = risk(g, n_p, prior)
         gradient = np.append(np.bincount(column, weights=d[row], minlength=len(names)) + decay * w, d.sum())
         state[0] = 0.9 * state[0] + 0.1 * gradient
         state[1] = 0.999 * state[1] + 0.001 * gradient**2
