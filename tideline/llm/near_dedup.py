@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import by_size, fresh, materialize, quoted, splitmix, word_hashes
+from tideline.llm.common import by_size, discard, fresh, materialize, quoted, splitmix, word_hashes
 from tideline.llm.components import components
 
 WORDS = 5
@@ -209,8 +209,10 @@ def _across(state: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     open_ = state.join(mixed, "band").select("id", "root").distinct()
     cells = bag.join(open_, "id").select("id", "root", F.size("cells").alias("n"), F.explode("cells").alias("cell"))
+    used = []
     for _ in range(2):  # texts that go leave cells to one component, which makes more texts go
         cells = materialize(cells, "cells")
+        used.append(cells)
         kinds = cells.groupBy("cell").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell", "df")
         bags_ = cells.join(materialize(kinds, "kinds"), "cell").groupBy("id").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "cell"))).alias("shared"))
         bags_ = bags_.where(F.size("shared") >= similarity * F.col("n") - slack)
@@ -220,6 +222,7 @@ def _across(state: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     reach = (F.col("n") - F.col("own") - F.col("k")) / ratio - F.col("n")
     size = F.floor(F.log(F.col("n")) / np.log(1 / similarity) + 1e-9).cast("int")
     prefix = materialize(prefix.select("id", "root", "n", F.col("x.cell").alias("cell"), size.alias("size"), reach.alias("reach")), "prefixes")
+    discard(*used)
     small = prefix.where(F.col("reach") >= F.col("n") - slack)
     large = prefix.select("id", "root", "n", "cell", "reach", F.explode(F.array("size", F.col("size") - 1)).alias("size"))
     key = ["cell", "size"]
