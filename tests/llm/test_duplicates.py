@@ -82,6 +82,43 @@ def test_a_large_group_that_hangs_together_by_chains(spark):
     assert {frozenset(v) for v in found.values()} == want
 
 
+def test_a_family_of_two_thousand_near_copies_equals_all_pairs(spark):
+    """Variants of one text whose edits recur: many are no near copies of the base, and some of those are of one another."""
+    r, base, vocabulary = random.Random(6), words(55, 110).split(), words(56, 30).split()
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(r.randint(0, 12)):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        rows.append((i, " ".join(w[r.randint(0, 8) :])))
+    bags = [bag(t) for _, t in rows]
+    ids = {}
+    cells = [[ids.setdefault((g, k), len(ids)) for g, n in b.items() for k in range(n)] for b in bags]
+    matrix = np.zeros((len(rows), len(ids)), dtype=np.float32)
+    for i, c in enumerate(cells):
+        matrix[i, c] = 1
+    size, root, links = matrix.sum(1), list(range(len(rows))), 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        both = matrix[:i] @ matrix[i]
+        for j in np.flatnonzero(both >= 0.8 * (size[:i] + size[i] - both) - 1e-6):
+            links += 1
+            root[find(i)] = find(int(j))
+    want = defaultdict(set)
+    for i in range(len(rows)):
+        want[find(i)].add(i)
+    got = defaultdict(set)
+    for x in near_dedup.classes(documents(spark, rows)).collect():
+        got[x.class_id].add(x.doc_id)
+    assert links > 50_000 and len(want) > 100
+    assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values()}
+
+
 def test_multiset_similarity_counts_repeats(spark):
     once, twice = words(9, 60), words(9, 60) + " " + words(9, 60)
     got = {r.doc_id: r.class_id for r in near_dedup.classes(documents(spark, [(1, once), (2, twice), (3, twice + " tail")])).collect()}
