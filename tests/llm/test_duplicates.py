@@ -125,6 +125,20 @@ def test_multiset_similarity_counts_repeats(spark):
     assert got[1] != got[2] and got[2] == got[3]
 
 
+def test_other_similarities(spark):
+    r, text = random.Random(7), words(70, 100)
+    rows = [(i, edited(text, r, 0.02 * (i % 4))) for i in range(12)] + [(20, text), (21, text + " more")]
+    bags = {i: bag(t) for i, t in rows}
+    for similarity in (1.0, 0.9):
+        got = {x.doc_id: x.class_id for x in near_dedup.classes(documents(spark, rows), similarity=similarity).collect()}
+        for i, a in bags.items():
+            for j, b in bags.items():
+                both = sum((a & b).values())
+                if both >= similarity * (sum(a.values()) + sum(b.values()) - both):
+                    assert got[i] == got[j]
+        assert len(set(got.values())) > 3
+
+
 def test_signatures_agree_with_weighted_similarity():
     r = random.Random(1)
     a = " ".join(r.choice("abcdef") * 3 for _ in range(400))

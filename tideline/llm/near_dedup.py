@@ -220,7 +220,7 @@ def _across(state: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     own = F.col("n") - F.size("shared")
     prefix = bags_.select("id", "root", "n", own.alias("own"), F.posexplode(F.slice("shared", 1, F.greatest(F.lit(0), F.floor(F.col("n") * (1 - similarity) + slack).cast("int") + 1 - own))).alias("k", "x"))
     reach = (F.col("n") - F.col("own") - F.col("k")) / ratio - F.col("n")
-    size = F.floor(F.log(F.col("n")) / np.log(1 / similarity) + 1e-9).cast("int")
+    size = F.floor(F.log(F.col("n")) / float(np.log(1 / similarity)) + 1e-9).cast("int") if similarity < 1 else F.col("n").cast("int")
     prefix = materialize(prefix.select("id", "root", "n", F.col("x.cell").alias("cell"), size.alias("size"), reach.alias("reach")), "prefixes")
     discard(*used)
     small = prefix.where(F.col("reach") >= F.col("n") - slack)
