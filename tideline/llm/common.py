@@ -14,7 +14,7 @@ from tideline import find_package, shared_folder
 
 
 #: Bytes of texts that go to a Python worker at once, but for a single longer text.
-BATCH = 16 << 20
+BATCH = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
