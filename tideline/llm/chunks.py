@@ -82,7 +82,7 @@ class ChunkIds:
         base = len(self.rows) - len(new)
         found = [self.pieces(c) for c in new]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        alone = np.fromiter((f[0] == c if len(f) == 1 else False for f, c in zip(found, new, strict=True)), bool, len(new))
+        alone = np.array([len(f) == 1 and f[0] == c for f, c in zip(found, new, strict=True)], dtype=bool)
         several = np.flatnonzero(~alone)
         parts = np.fromiter(map(self.rows.__getitem__, chain.from_iterable([found[k] for k in several])), np.int64, int(counts[several].sum()))
         more, self.rows.new = self.rows.new, []

@@ -78,6 +78,11 @@ class WordBpe:
     @staticmethod
     def pieces(chunk: str) -> list[str]:
         """The pieces of a chunk; a chunk that needs the library's whole pipeline is one, marked by a leading zero."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
+                return [chunk[:-1].lower(), chunk[-1]]
         return ["\0" + chunk] if ODD.search(chunk) else PIECES.findall(chunk.lower())
 
     @staticmethod
