@@ -207,7 +207,9 @@ def _across(state: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     """
     ratio, slack = similarity / (1 + similarity), 1e-6
     mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    open_ = state.join(mixed, "band").select("id", "root").distinct()
+    open_ = materialize(state.join(mixed, "band").select("id", "root").distinct(), "open")
+    if open_.isEmpty():
+        return state.sparkSession.createDataFrame([], "u long, u_root long, v long, v_root long")
     cells = bag.join(open_, "id").select("id", "root", F.size("cells").alias("n"), F.explode("cells").alias("cell"))
     used = []
     for _ in range(2):  # texts that go leave cells to one component, which makes more texts go
