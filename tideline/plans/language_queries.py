@@ -13,7 +13,7 @@ from tideline.functions.types import INT, STRING
 from tideline.operators import library as L
 from tideline.operators.lowering import events as trace_of
 from tideline.operators.lowering import outputs
-from tideline.operators.timeline import TS, Timeline, from_events
+from tideline.operators.timeline import TS, Timeline
 from tideline.plans.event_queries import _BASE, HOUR, Query, micros, strict, upto, user_timelines
 from tideline.plans.spec import compile_spec
 from tideline.sources import trace
