@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import BYTES, by_size, discard, fresh, materialize, quoted, shuffle_partitions, splitmix, text_key, with_text
+from tideline.llm.common import BYTES, by_size, discard, fresh, materialize, shuffle_partitions, splitmix, text_key, with_text
 
 WIDTH = 200
 GRAM = 64
