@@ -20,7 +20,7 @@ BATCH = 4 << 20
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     find_package(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).removesuffix("b")) > BATCH:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH:
         spark.conf.set(key, str(BATCH))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
