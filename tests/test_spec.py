@@ -7,6 +7,7 @@ from tideline.functions.types import decode, show
 from tideline.operators import graph as g
 from tideline.operators import library as L
 from tideline.operators.stepper import Stepper
+from tideline.plans.docs import documented, markdown
 from tideline.plans.spec import SpecError, compile_spec
 from tideline.sources.trace import events_of_line
 
@@ -216,6 +217,33 @@ def test_operators_of_the_callers_own():
         compile_spec(text)
 
 
+def test_documentation_of_definitions():
+    text = """
+## The level, in
+## millimetres
+in level: Events[Int]
+# no documentation
+--- Twice a value
+@liftable
+def twice[T](a: T, f: (T, T) => T): T = f(a, a)
+module Limits { # of the tank
+  ## Where it spills
+  def high = 10
+  type Range = {low: Int, high: Int}
+}
+def state: Events[Int] = level
+out level > Limits.high as over
+"""
+    docs = documented(text)
+    assert [(d.kind, d.name, d.text) for d in docs] == [
+        ("in", "level", "The level, in\nmillimetres"), ("def", "twice", "Twice a value"), ("module", "Limits", ""),
+        ("def", "Limits.high", "Where it spills"), ("type", "Limits.Range", ""), ("def", "state", ""),
+    ]
+    assert [d.signature for d in docs] == ["in level: Events[Int]", "def twice[T](a: T, f: (T, T) => T): T", "module Limits", "def high", "type Range", "def state: Events[Int]"]
+    shown = markdown(docs)
+    assert shown.startswith("# Definitions\n") and "## Limits.high\n\n```\ndef high\n```\n\nWhere it spills\n" in shown
+
+
 @pytest.mark.parametrize(
     ("text", "message"),
     [

@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 from tideline.operators import graph as g
 from tideline.functions.types import decode, show
 from tideline.operators.lowering import events
+from tideline.plans.docs import documented, markdown
 from tideline.plans.spec import Spec, compile_spec
 from tideline.plans.syntax import SpecError
 from tideline.sources import trace
@@ -38,11 +39,16 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--list-out-streams", action="store_true")
     p.add_argument("--depth", action="store_true", help="print the longest propagation path")
     p.add_argument("--recursion", action="store_true", help="print the size of the largest recursion")
+    p.add_argument("--doc", action="store_true", help="print what the specification defines and how it is described, as Markdown")
     p.add_argument("--node-count", action="store_true", help="print the number of nodes")
     a = p.parse_args(argv)
     try:
         with open(a.spec, encoding="utf-8") as f:
-            spec = compile_spec(f.read(), a.time_unit, os.path.dirname(os.path.abspath(a.spec)))
+            text = f.read()
+        if a.doc:
+            print(markdown(documented(text)))
+            return 0
+        spec = compile_spec(text, a.time_unit, os.path.dirname(os.path.abspath(a.spec)))
     except SpecError as error:
         print(error, file=sys.stderr)
         return 1
