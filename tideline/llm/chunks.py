@@ -22,7 +22,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 WITH_SPACE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WITHOUT_SPACE = re.compile(f"[^{SPACE}]+")
 #: Chunks and pieces that a worker keeps; a slice of texts may add its own to them.
-CACHE = 300_000
+CACHE = 200_000
 #: Pieces that go to the library as one text: it costs less than a text each, and more than a few again.
 TOGETHER = 16
 

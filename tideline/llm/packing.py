@@ -107,7 +107,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, end_id: int =
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             keys = batch["doc_id"].astype("Int64")
-            for first, last in by_size(texts):
+            for first, last in by_size(texts, 1 << 20):
                 ids, ends = encoder(path).encode(texts[first:last])
                 n = np.diff(ends, prepend=0) + 1
                 own = np.insert(ids, ends, end_id).astype("<u4")
