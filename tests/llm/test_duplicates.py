@@ -119,6 +119,27 @@ def test_a_family_of_two_thousand_near_copies_equals_all_pairs(spark):
     assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values()}
 
 
+def test_a_family_of_many_links_is_not_listed_pair_by_pair(spark, monkeypatch):
+    """Variants of one text that differ in up to twelve places, linked if few differ: one hub of a bucket leaves many components with thousands of links."""
+    r, base, other = random.Random(2), words(31, 144).split(), words(32, 12).split()
+    rows = [(i, " ".join(other[t // 12] if t % 12 == 6 and r.random() < 0.5 else w for t, w in enumerate(base))) for i in range(300)]
+    rows += [(1000 + i, words(600 + i, 100)) for i in range(5)]
+    listed = []
+    for name in ("_to_hubs", "_across"):
+
+        def counted(*arguments, made=getattr(near_dedup, name)):
+            pairs = made(*arguments)
+            listed.append(pairs.count())
+            return pairs
+
+        monkeypatch.setattr(near_dedup, name, counted)
+    got = defaultdict(set)
+    for x in near_dedup.classes(documents(spark, rows)).collect():
+        got[x.class_id].add(x.doc_id)
+    assert {frozenset(v) for v in got.values()} == brute_classes(rows)
+    assert sum(listed) < 25_000
+
+
 def test_multiset_similarity_counts_repeats(spark):
     once, twice = words(9, 60), words(9, 60) + " " + words(9, 60)
     got = {r.doc_id: r.class_id for r in near_dedup.classes(documents(spark, [(1, once), (2, twice), (3, twice + " tail")])).collect()}

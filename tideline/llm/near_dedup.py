@@ -16,7 +16,9 @@ across components are searched by prefixes: with the cells that only one compone
 others in order of their frequency, two texts of n and m cells can reach the similarity only if they
 share a cell within the first n - a + 1 and m - a + 1, where a is the overlap that the pair needs. So
 only cells that tell components apart meet, pairs inside a component never do, and no link between
-texts of different classes is lost.
+texts of different classes is lost. Where such cells would give more pairs than they have texts, the
+texts first meet one hub a cell, then two, four, ..., which joins what is linked many times over; the pairs that
+are left then are still listed in full.
 
 Equal texts are one node, so copies cost one row each. Node ids are 64-bit hashes of texts.
 
@@ -176,40 +178,59 @@ def links(documents: DataFrame, similarity: float = SIMILARITY, shape: Bands = B
     ratio = similarity / (1 + similarity)
     near = (F.least("n", "m") >= similarity * F.greatest("n", "m")) & (F.least("e", "f") >= ratio * (F.col("n") + F.col("m")) - 1e-6)
     tried = None
-    for k in range(rounds + 1):
-        state = texts.select("id", "n", "e", "root", F.explode("bands").alias("band"))
-        # the hub is the text with the least of its own: the likely origin of its bucket's copies
-        hub = F.min(F.struct(((F.col("n") - F.col("e")) / F.col("n") if k == 0 else F.lit(0.0)).alias("own"), F.xxhash64("id", F.lit(k)).alias("r"), F.struct("id", "root").alias("hub"), F.col("n").alias("m"), F.col("e").alias("f")))
-        if k < rounds:
-            mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub.alias("x")).where("low <> high").select("band", "x.hub", "x.m", "x.f")
-            pairs = state.join(mixed, "band").where("root <> hub.root").where(near).select(*_met(F.struct("id", "root"), F.col("hub")))
-        else:
-            pairs = _across(state, bag, similarity)
+
+    def joined(pairs: DataFrame) -> DataFrame | None:
+        """(root, new) of the components that verified links among the pairs join, if there are any; ``texts`` have the new roots then."""
+        nonlocal texts, tried
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            continue
+            return None
         tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
         new = materialize(verified(pairs, bag, similarity).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct(), "links")
         moved = materialize(components(new), "roots").select(F.col("id").alias("root"), F.col("root").alias("new"))
         texts = materialize(texts.join(moved, "root", "left").select("id", "n", "e", F.coalesce("new", "root").alias("root"), "bands"), "texts")
+        return moved
+
+    for k in range(rounds):
+        state = texts.select("id", "n", "e", "root", F.explode("bands").alias("band"))
+        # the hub is the text with the least of its own: the likely origin of its bucket's copies
+        hub = F.min(F.struct(((F.col("n") - F.col("e")) / F.col("n") if k == 0 else F.lit(0.0)).alias("own"), F.xxhash64("id", F.lit(k)).alias("r"), F.struct("id", "root").alias("hub"), F.col("n").alias("m"), F.col("e").alias("f")))
+        mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub.alias("x")).where("low <> high").select("band", "x.hub", "x.m", "x.f")
+        joined(state.join(mixed, "band").where("root <> hub.root").where(near).select(*_met(F.struct("id", "root"), F.col("hub"))))
+    prefix, hubs = _prefixes(texts, bag, similarity), 1
+    while prefix is not None:
+        large, small = _sides(prefix, similarity)
+        rows, pairs = _pairs_at_most(large, small)
+        # a cell whose texts are linked would give all their pairs: first they meet 1, 2, 4, ... hubs, as long as those are fewer pairs
+        if pairs <= hubs * rows:
+            joined(_across(large, small, similarity))
+            break
+        moved = joined(_to_hubs(large, small, similarity, hubs))
+        if moved is not None:
+            old, prefix = prefix, materialize(prefix.join(moved, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"), "prefixes")
+            discard(old)
+        discard(large, small)
+        hubs *= 2
     return texts.where("id <> root").select("id", "root")
 
 
-def _across(state: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
-    """The pairs across components that could reach the similarity, of texts whose buckets still hold several components.
+def _prefixes(texts: DataFrame, bag: DataFrame, similarity: float) -> DataFrame | None:
+    """The cells by which links across components are found, of texts whose buckets still hold several components; None if there are no such texts.
 
     ``reach`` of a text's cell is the largest size of another text that could still pair with this one if this cell,
     in the common order, were the first that both have. The smaller text of a pair is found by the cells that reach
-    its own size, the larger one by those that reach the least size it may pair with.
+    its own size, the larger one by those that reach the least size it may pair with. The prefixes hold for
+    components that are joined later, too: what links those lies across the components of now.
     """
     ratio, slack = similarity / (1 + similarity), 1e-6
+    state = texts.select("id", "root", F.explode("bands").alias("band"))
     mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     open_ = materialize(state.join(mixed, "band").select("id", "root").distinct(), "open")
     if open_.isEmpty():
-        return state.sparkSession.createDataFrame([], "u long, u_root long, v long, v_root long")
+        return None
     cells = bag.join(open_, "id").select("id", "root", F.size("cells").alias("n"), F.explode("cells").alias("cell"))
     used = []
     for _ in range(2):  # texts that go leave cells to one component, which makes more texts go
@@ -225,23 +246,53 @@ def _across(state: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     size = F.floor(F.log(F.col("n")) / float(np.log(1 / similarity)) + 1e-9).cast("int") if similarity < 1 else F.col("n").cast("int")
     prefix = materialize(prefix.select("id", "root", "n", F.col("x.cell").alias("cell"), size.alias("size"), reach.alias("reach")), "prefixes")
     discard(*used)
+    return prefix
+
+
+_KEY = ["cell", "size"]
+
+
+def _sides(prefix: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The larger and the smaller texts (as hub, m and f) at each cell and size that several components have."""
+    slack = 1e-6
     small = prefix.where(F.col("reach") >= F.col("n") - slack)
     large = prefix.select("id", "root", "n", "cell", "reach", F.explode(F.array("size", F.col("size") - 1)).alias("size"))
-    key = ["cell", "size"]
 
     def facing(rows: DataFrame) -> DataFrame:
         """For each cell and size of ``rows`` the least text, whether there are several components, and the largest component."""
-        by_root = rows.groupBy(*key, "root").agg(F.count("*").alias("c"), F.min("n").alias("n"))
-        found = by_root.groupBy(*key).agg(F.min("n").alias("least"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("several"))
-        return materialize(found.select(*key, "least", F.col("top.root").alias("top"), (F.col("several") > 1).alias("several")), "facing")
+        by_root = rows.groupBy(*_KEY, "root").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+        found = by_root.groupBy(*_KEY).agg(F.min("n").alias("least"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("several"))
+        return materialize(found.select(*_KEY, "least", F.col("top.root").alias("top"), (F.col("several") > 1).alias("several")), "facing")
 
     meets = (F.col("several") | (F.col("root") != F.col("top"))) & (F.col("reach") >= F.col("least") - slack)
-    large = materialize(large.join(facing(small), key).where(meets).select("id", "root", "n", "reach", (F.col("root") == F.col("top")).alias("of_top"), "top", *key), "large")
-    small = small.join(facing(large), key).where(meets).select("id", "root", "n", "reach", *key)
+    large = materialize(large.join(facing(small), _KEY).where(meets).select("id", "root", "n", "reach", (F.col("root") == F.col("top")).alias("of_top"), "top", *_KEY), "large")
+    small = small.join(facing(large), _KEY).where(meets).select("id", "root", "n", "reach", *_KEY)
     # texts of a cell's largest component meet those of the others only, which are kept apart for them
-    tops = materialize(large.select(*key, "top").distinct(), "tops")
-    small = small.join(tops, key).select(F.struct("id", "root").alias("hub"), F.col("n").alias("m"), F.col("reach").alias("f"), F.explode(F.when(F.col("root") == F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("of_top"), *key)
-    pairs = large.join(materialize(small, "small"), [*key, "of_top"])
+    tops = materialize(large.select(*_KEY, "top").distinct(), "tops")
+    small = small.join(tops, _KEY).select(F.struct("id", "root").alias("hub"), F.col("n").alias("m"), F.col("reach").alias("f"), F.explode(F.when(F.col("root") == F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("of_top"), *_KEY)
+    return large, materialize(small, "small")
+
+
+def _pairs_at_most(large: DataFrame, small: DataFrame) -> tuple[int, int]:
+    """How many rows the sides have, and how many pairs would meet before their sizes are looked at."""
+    key = [*_KEY, "of_top"]
+    one, other = (side.groupBy(*key).agg(F.count("*").alias(c)) for side, c in ((large, "c"), (small, "d")))
+    total = one.join(other, key, "full").agg(F.sum(F.coalesce("c", F.lit(0)) + F.coalesce("d", F.lit(0))), F.sum(F.expr("cast(c as double) * d"))).first()
+    return total[0] or 0, total[1] or 0
+
+
+def _to_hubs(large: DataFrame, small: DataFrame, similarity: float, hubs: int) -> DataFrame:
+    """Every larger text with at most ``hubs`` of the smaller ones at its cell and size."""
+    draw = F.xxhash64("hub.id", F.lit(hubs))
+    drawn = small.groupBy(*_KEY, F.pmod(draw, F.lit(hubs)).alias("slot")).agg(F.min(F.struct(draw.alias("r"), "hub", "m")).alias("x")).select(*_KEY, "x.hub", "x.m")
+    met = large.join(drawn, _KEY).where((F.col("root") != F.col("hub.root")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6))
+    return met.select(*_met(F.struct("id", "root"), F.col("hub")))
+
+
+def _across(large: DataFrame, small: DataFrame, similarity: float) -> DataFrame:
+    """All pairs across components that could reach the similarity."""
+    slack = 1e-6
+    pairs = large.join(small, [*_KEY, "of_top"])
     fits = (F.col("m") <= F.col("n")) & (F.col("m") >= similarity * F.col("n") - slack) & (F.col("m") <= F.col("reach") + slack) & (F.col("n") <= F.col("f") + slack)
     return pairs.where(fits & (F.col("root") != F.col("hub.root")) & ((F.col("m") < F.col("n")) | (F.col("hub.id") < F.col("id")))).select(*_met(F.struct("id", "root"), F.col("hub")))
 
