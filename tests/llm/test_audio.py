@@ -93,3 +93,26 @@ def test_recordings_of_other_rates_have_the_same_prints():
         assert np.bitwise_count((got ^ want).view(np.uint32)).sum() < 0.03 * 32 * len(want)
     assert len(audio.fingerprint(audio.wav(sound(2000, 0), 2000))) == len(want)
     assert len(audio.unwav(audio.wav(np.ones(3), 48000))) == 1 and len(audio.unwav(audio.wav(np.ones(0), 8000))) == 0 and audio.unwav(audio.wav(np.ones(9), 0)) is None
+
+
+def test_channels_are_fewer_than_bits_and_never_understate_what_two_prints_share():
+    tunes = [audio.fingerprint(audio.wav(melody(k))) for k in range(6)]
+    for prints in (tunes, [random_prints(9, 50), random_prints(10, 60)], [np.repeat(random_prints(11, 1), 30)]):
+        axes, every = audio._axes(prints), np.concatenate(prints)
+        bound = audio._channels(every, axes) @ audio._channels(every, axes).T
+        assert (bound >= 32 - 2 * np.bitwise_count((every[:, None] ^ every).view(np.uint32)).astype(int) - 1e-4).all()
+        assert audio._channels(every, axes).shape[1] < 32
+    assert audio._channels(every, axes).shape[1] == 2  # one print alone has one axis
+
+
+def test_alignments_of_recordings_of_many_lengths_are_those_of_brute_force():
+    r = np.random.default_rng(12)
+    whole = [audio.fingerprint(audio.wav(melody(k))) for k in range(3)] + [random_prints(k, 100) for k in range(13, 16)]
+    prints = []
+    for k in range(130):
+        p = whole[k % 6][r.integers(0, 40) :][: r.integers(25, 90)]
+        prints.append(p ^ ((r.random((len(p), 32)) < 0.09) @ (1 << np.arange(32, dtype=np.uint64))).astype(np.uint32).view(np.int32))
+    want = brute_force(dict(enumerate(prints)), range(12))
+    got = {(q, i): (d, errors) for q, i, d, _, errors in audio.aligned(prints[:12], prints)}
+    assert set(got) == set(want) and len(want) > 20
+    assert all(abs(want[k][d] - errors) < 1e-9 for k, (d, errors) in got.items())

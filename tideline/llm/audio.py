@@ -6,8 +6,9 @@ bits, so a frame is one packed 32-bit integer. Each query is aligned with every
 an offset is accepted by the share of differing bits over the overlap, and pairs of equal integers (two
 prints ``AHEAD`` apart) vote for the best of the accepted offsets.
 
-The differing bits at all offsets are one correlation of the recordings' bits, so no alignment is lost and held notes
-cost what others do, but the time grows with the number of queries times that of recordings.
+A bound of the equal bits at all offsets is one correlation of the recordings' bits, turned to the axes that hold most of them;
+the bits are counted where the bound allows a match, so no alignment is lost. Recordings that differ cost the same whatever they hold, and
+the time grows with the number of queries times that of recordings.
 Equal fingerprints are one class and are compared once.
 
 The driver tables have no audio, so ``synthesized`` makes a WAV column from vectors: component k is
@@ -52,6 +53,10 @@ MIN_VOTES = 0
 AHEAD = 5
 #: Numbers in an array of correlations at most, unless two recordings need more.
 CELLS = 1 << 23
+#: Prints of overlaps that are judged at once, give or take one overlap.
+PLACES = 1 << 20
+#: Share of the bits' squares that is correlated as it is; the rest is bounded. More costs more axes, less lets more offsets be counted in vain.
+KEPT = 0.8
 
 
 def wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -185,12 +190,37 @@ def played_fingerprints(vectors: DataFrame) -> DataFrame:
     return _mapped(vectors.select("id", "vector"), "vector", lambda v: fingerprint(_played(v)), "id long, prints array<int>")
 
 
-def _spectra(prints: list[np.ndarray], size: int) -> np.ndarray:
-    """Fourier transforms of the 32 bits as plus and minus one, as frequency, bit, recording."""
-    signs = np.zeros((len(prints), 32, size), dtype=np.float32)
+def _axes(prints: list[np.ndarray]) -> np.ndarray:
+    """Orthonormal axes, as columns, of the 32 bits as plus and minus one: the fewest that hold ``KEPT`` of the prints' squares."""
+    signs = _signs(np.concatenate(prints)[:: max(1, sum(map(len, prints)) >> 16)]).astype(np.float64)
+    held, axes = np.linalg.eigh(signs.T @ signs)
+    few = int(np.searchsorted(np.cumsum(held[::-1]), KEPT * held.sum())) + 1
+    return np.ascontiguousarray(axes[:, ::-1][:, :few], dtype=np.float32)
+
+
+def _signs(prints: np.ndarray) -> np.ndarray:
+    """The 32 bits of each print as plus and minus one."""
+    return 1 - 2 * np.unpackbits(prints.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little").astype(np.float32)
+
+
+def _channels(prints: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Each print along the axes, and the length of what they leave out.
+
+    Two prints' product is at least the product of their signs, as lengths bound what is left out; a little more, for rounding.
+    """
+    along = _signs(prints) @ axes
+    return np.hstack([along, np.sqrt(np.maximum(32 - (along * along).sum(1, keepdims=True), 0) + 1e-3)])
+
+
+def _spectra(prints: list[np.ndarray], axes: np.ndarray, size: int) -> np.ndarray:
+    """Fourier transforms of the channels, as frequency, channel, recording."""
+    values = _channels(np.concatenate(prints), axes)
+    padded = np.zeros((len(prints), values.shape[1], size), dtype=np.float32)
+    end = 0
     for k, p in enumerate(prints):
-        signs[k, :, : len(p)] = 1 - 2 * (p.view(np.uint32) >> np.arange(32, dtype=np.uint32)[:, None] & np.uint32(1)).astype(np.float32)
-    return np.ascontiguousarray(np.fft.rfft(signs, axis=2).astype(np.complex64).transpose(2, 1, 0))
+        padded[k, :, : len(p)] = values[end : end + len(p)].T
+        end += len(p)
+    return np.ascontiguousarray(np.fft.rfft(padded, axis=2).astype(np.complex64, copy=False).transpose(2, 1, 0))
 
 
 def _fast_size(n: int) -> int:
@@ -199,10 +229,10 @@ def _fast_size(n: int) -> int:
 
 
 def _candidates(x: list[np.ndarray], y: list[np.ndarray], max_errors: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Indexes in x and y and offsets of all overlaps of enough prints with few enough differing bits.
+    """Indexes in x and y and offsets of all overlaps of enough prints with few enough differing bits, and of a few others.
 
-    The differing bits at every offset come from one correlation of both recordings' bits; its rounding is
-    allowed for, so that nothing is lost, and the caller counts the bits again.
+    A bound of the equal bits at every offset comes from one correlation of both recordings' channels; its rounding is
+    allowed for, so that nothing is lost, and the caller counts the bits.
     """
     ends = [np.array([len(p) for p in side]) for side in (x, y)]
     # the correlation is circular: offsets that meet there have overlaps of the fewest prints together, so too few each
@@ -210,39 +240,36 @@ def _candidates(x: list[np.ndarray], y: list[np.ndarray], max_errors: float) ->
     size = _fast_size(int(ends[0].max() + ends[1].max()) - fewest)
     offset = np.arange(size)
     offset[offset > ends[1].max() - fewest] -= size
-    own = max(1, min(32, CELLS // (32 * size)))
-    other = max(1, min(128, CELLS // (own * size)))
-    theirs = max(1, CELLS // (32 * size) // other) * other
+    axes = _axes(x + y)
+    own = max(1, min(60, CELLS // (32 * size)))
+    other = max(1, min(60, CELLS // (own * size)))
+    theirs = max(1, 2 * CELLS // (32 * size) // other) * other
     for k in range(0, len(y), theirs):
-        there = _spectra(y[k : k + theirs], size)
+        there = _spectra(y[k : k + theirs], axes, size)
         for i in range(0, len(x), own):
-            here = np.ascontiguousarray(_spectra(x[i : i + own], size).conj().transpose(0, 2, 1))
+            here = np.ascontiguousarray(_spectra(x[i : i + own], axes, size).conj().transpose(0, 2, 1))
             for j in range(0, there.shape[2], other):
-                agree = np.fft.irfft(here @ there[:, :, j : j + other], size, axis=0)
-                a, b = ends[0][i : i + own], ends[1][k + j : k + j + agree.shape[2]]
-                for n in np.unique(a):
-                    for m in np.unique(b):
-                        shared = np.minimum(np.minimum(n, m - offset), np.minimum(n + offset, m))
-                        least = np.where(shared >= min(MIN_FRAMES, n, m), (1 - 2 * max_errors) * 32 * shared - 2, np.inf).astype(np.float32)
-                        rows, columns = np.flatnonzero(a == n), np.flatnonzero(b == m)
-                        part = agree if len(rows) == len(a) and len(columns) == len(b) else agree[:, rows[:, None], columns]
-                        d, q, r = np.unravel_index(np.flatnonzero(part >= least[:, None, None]), part.shape)
-                        yield i + rows[q], k + j + columns[r], offset[d]
-
-
-def _judged(x: np.ndarray, y: list[np.ndarray], offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Differing bits, places where either sounds and votes of x against each of y at an offset."""
-    first, at = max(0, -offset), max(0, offset)
-    parts = [p[at : at + len(x) - first] for p in y]
-    ends = np.array([len(p) for p in parts])
-    b = np.zeros((len(parts), int(ends.max())), dtype=np.int32)
-    for k, p in enumerate(parts):
-        b[k, : len(p)] = p
-    a = x[first : first + b.shape[1]]
-    inside = np.arange(b.shape[1]) < ends[:, None]
-    wrong = (np.bitwise_count((a ^ b).view(np.uint32)) * inside).sum(1, dtype=np.int64)
-    same = (a == b) & (b != 0) & inside
-    return wrong, (((a != 0) | (b != 0)) & inside).sum(1), (same[:, :-AHEAD] & same[:, AHEAD:]).sum(1)
+                # recordings before offsets, as transforms are faster over numbers that lie together
+                agree = np.fft.irfft(np.ascontiguousarray((here @ there[:, :, j : j + other]).transpose(1, 2, 0)), size, axis=2)
+                n, m = (e[:1] if (e == e[0]).all() else e for e in (ends[0][i : i + own], ends[1][k + j : k + j + agree.shape[1]]))
+                n, m = n[:, None, None], m[:, None]
+                shared = np.minimum(np.minimum(n, m - offset), np.minimum(n + offset, m))
+                least = np.where(shared >= np.minimum(MIN_FRAMES, np.minimum(n, m)), (1 - 2 * max_errors) * 32 * shared - 2, np.inf).astype(np.float32)
+                enough = agree >= least
+                q, r = np.nonzero(enough.any(axis=2))
+                at, d = np.nonzero(enough[q, r])
+                yield i + q[at], k + j + r[at], offset[d]
+
+
+def _judged(x: np.ndarray, y: np.ndarray, starts: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Differing bits, places where either sounds and votes of overlaps of n prints each that start at these places of x and y."""
+    first = np.cumsum(n) - n
+    at = np.arange(n.sum()) - np.repeat(first, n)
+    a, b = (side[np.repeat(start, n) + at] for side, start in zip((x, y), starts))
+    same = (a == b) & (b != 0)
+    vote = same & (at >= AHEAD)
+    vote[AHEAD:] &= same[:-AHEAD]
+    return tuple(np.add.reduceat(v, first, dtype=np.int64) for v in (np.bitwise_count((a ^ b).view(np.uint32)), (a | b) != 0, vote))
 
 
 def aligned(x: list[np.ndarray], y: list[np.ndarray], max_errors: float = MAX_ERRORS, min_votes: int = MIN_VOTES) -> list[tuple[int, int, int, int, float]]:
@@ -255,16 +282,21 @@ def aligned(x: list[np.ndarray], y: list[np.ndarray], max_errors: float = MAX_ER
                 found.setdefault(len(p).bit_length(), []).append(k)
     for mine in classes[0].values():
         for theirs in classes[1].values():
-            for q, r, d in _candidates([x[k] for k in mine], [y[k] for k in theirs], max_errors):
-                order = np.lexsort((d, q))
-                cuts = np.flatnonzero(np.diff(q[order]) | np.diff(d[order])) + 1
-                for group in np.split(order, cuts) if len(order) else ():
-                    k, offset = mine[q[group[0]]], int(d[group[0]])
-                    others = [theirs[c] for c in r[group]]
-                    for other, wrong, sounding, votes in zip(others, *(v.tolist() for v in _judged(x[k], [y[c] for c in others], offset))):
-                        if sounding and wrong <= max_errors * 32 * sounding and votes >= min_votes:
-                            rank = (votes, -wrong / (32 * sounding), -abs(offset), offset)
-                            best[k, other] = max(rank, best.get((k, other), rank))
+            own, other = [x[k] for k in mine], [y[k] for k in theirs]
+            flat = [np.concatenate(side) for side in (own, other)]
+            ends = [np.array([len(p) for p in side]) for side in (own, other)]
+            starts = [np.cumsum(e) - e for e in ends]
+            for all_q, all_r, all_d in _candidates(own, other, max_errors):
+                first, at = np.maximum(0, -all_d), np.maximum(0, all_d)
+                n = np.minimum(ends[0][all_q] - first, ends[1][all_r] - at)
+                for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // PLACES)) + 1) if len(n) else ():
+                    q, r, d = all_q[part], all_r[part], all_d[part]
+                    wrong, sounding, votes = _judged(*flat, (starts[0][q] + first[part], starts[1][r] + at[part]), n[part])
+                    good = (sounding > 0) & (wrong <= max_errors * 32 * sounding) & (votes >= min_votes)
+                    for a, b, offset, bits, places, pairs in zip(*(v[good].tolist() for v in (q, r, d, wrong, sounding, votes))):
+                        rank = (pairs, -bits / (32 * places), -abs(offset), offset)
+                        key = mine[a], theirs[b]
+                        best[key] = max(rank, best.get(key, rank))
     return [(k, other, rank[3], rank[0], -rank[1]) for (k, other), rank in best.items()]
 
 
@@ -305,6 +337,6 @@ def matches(prints: DataFrame, queries: DataFrame, max_errors: float = MAX_ERROR
                 )
 
     own = _packed(kinds.join(asked.select("key").distinct(), "key").select("key", "prints"), 2048, "own")
-    good = _packed(kinds.select("key", "prints"), 256, "other").crossJoin(own).mapInArrow(run, "q long, key long, offset long, votes long, bit_errors double")
+    good = _packed(kinds.select("key", "prints"), 1024, "other").crossJoin(own).mapInArrow(run, "q long, key long, offset long, votes long, bit_errors double")
     named = materialize(good, "aligned").join(kinds.select("key", "match_id", "copies"), "key")
     return asked.withColumnRenamed("key", "q").join(named, "q").select(F.col("id").alias("query_id"), "match_id", "copies", "offset", "votes", "bit_errors")
