@@ -212,15 +212,15 @@ def _channels(prints: np.ndarray, axes: np.ndarray) -> np.ndarray:
     return np.hstack([along, np.sqrt(np.maximum(32 - (along * along).sum(1, keepdims=True), 0) + 1e-3)])
 
 
-def _spectra(prints: list[np.ndarray], axes: np.ndarray, size: int) -> np.ndarray:
-    """Fourier transforms of the channels, as frequency, channel, recording."""
+def _spectra(prints: list[np.ndarray], axes: np.ndarray, size: int, paired: bool) -> np.ndarray:
+    """Fourier transforms of the channels, as frequency, channel, recording; ``paired``: two recordings as the real and the imaginary part of one."""
     values = _channels(np.concatenate(prints), axes)
-    padded = np.zeros((len(prints), values.shape[1], size), dtype=np.float32)
+    padded = np.zeros((len(prints) + len(prints) % 2 * paired, values.shape[1], size), dtype=np.float32)
     end = 0
     for k, p in enumerate(prints):
         padded[k, :, : len(p)] = values[end : end + len(p)].T
         end += len(p)
-    return np.ascontiguousarray(np.fft.rfft(padded, axis=2).astype(np.complex64, copy=False).transpose(2, 1, 0))
+    return np.ascontiguousarray(np.fft.fft(padded[0::2] + np.complex64(1j) * padded[1::2] if paired else padded, axis=2).astype(np.complex64, copy=False).transpose(2, 1, 0))
 
 
 def _fast_size(n: int) -> int:
@@ -242,23 +242,27 @@ def _candidates(x: list[np.ndarray], y: list[np.ndarray], max_errors: float) ->
     offset[offset > ends[1].max() - fewest] -= size
     axes = _axes(x + y)
     own = max(1, min(60, CELLS // (32 * size)))
-    other = max(1, min(60, CELLS // (own * size)))
+    other = max(2, min(60, CELLS // (own * size)) // 2 * 2)
     theirs = max(1, 2 * CELLS // (32 * size) // other) * other
     for k in range(0, len(y), theirs):
-        there = _spectra(y[k : k + theirs], axes, size)
+        there = [_spectra(y[j : j + other], axes, size, True) for j in range(k, min(k + theirs, len(y)), other)]
         for i in range(0, len(x), own):
-            here = np.ascontiguousarray(_spectra(x[i : i + own], axes, size).conj().transpose(0, 2, 1))
-            for j in range(0, there.shape[2], other):
+            here = np.ascontiguousarray(_spectra(x[i : i + own], axes, size, False).conj().transpose(0, 2, 1))
+            for j, block in zip(range(k, len(y), other), there):
                 # recordings before offsets, as transforms are faster over numbers that lie together
-                agree = np.fft.irfft(np.ascontiguousarray((here @ there[:, :, j : j + other]).transpose(1, 2, 0)), size, axis=2)
-                n, m = (e[:1] if (e == e[0]).all() else e for e in (ends[0][i : i + own], ends[1][k + j : k + j + agree.shape[1]]))
-                n, m = n[:, None, None], m[:, None]
-                shared = np.minimum(np.minimum(n, m - offset), np.minimum(n + offset, m))
-                least = np.where(shared >= np.minimum(MIN_FRAMES, np.minimum(n, m)), (1 - 2 * max_errors) * 32 * shared - 2, np.inf).astype(np.float32)
-                enough = agree >= least
+                agree = np.fft.ifft(np.ascontiguousarray((here @ block).transpose(1, 2, 0)), axis=2).view(np.float32)
+                n, m = ends[0][i : i + own], ends[1][j : j + other]
+                pairs = np.append(m, m[-1:]) if len(m) % 2 else m
+                n, pairs = n[:1] if (n == n[0]).all() else n, pairs[:2] if (pairs == pairs[0]).all() else pairs
+                n, pairs = n[:, None, None, None], pairs.reshape(-1, 1, 2)
+                shared = np.minimum(np.minimum(n, pairs - offset[:, None]), np.minimum(n + offset[:, None], pairs))
+                least = np.where(shared >= np.minimum(MIN_FRAMES, np.minimum(n, pairs)), (1 - 2 * max_errors) * 32 * shared - 2, np.inf).astype(np.float32)
+                enough = agree >= least.reshape(*least.shape[:2], -1)
                 q, r = np.nonzero(enough.any(axis=2))
                 at, d = np.nonzero(enough[q, r])
-                yield i + q[at], k + j + r[at], offset[d]
+                q, r, d = q[at], 2 * r[at] + d % 2, offset[d // 2]
+                real = r < len(m)
+                yield i + q[real], j + r[real], d[real]
 
 
 def _judged(x: np.ndarray, y: np.ndarray, starts: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
