@@ -67,7 +67,7 @@ class Lowering:
         for s in self.inputs:
             if s.name not in timeline.df.columns:
                 raise KeyError(f"no input stream {s.name}")
-        self.timeline = timeline.with_df(timeline.df.select(*timeline.keys, TS, *(F.col(s.name).alias(_name(s)) for s in self.inputs)))
+        self.timeline = timeline.with_df(timeline.df.select(*timeline.keys, TS, *timeline.order, *(F.col(s.name).alias(_name(s)) for s in self.inputs)))
         self.done: set[int] = set()
 
     def run(self) -> Timeline:
@@ -89,6 +89,8 @@ class Lowering:
                 taken = simple
             else:
                 taken = ready[0]
+                if self.timeline.order and not isinstance(taken[0], g.Period):
+                    raise ValueError("delays, collections and recursions need times that don't repeat")
                 if not g.is_recursive(taken) and isinstance(taken[0], g.Period):
                     self._period(taken[0])
                 elif not g.is_recursive(taken) and isinstance(taken[0], g.Delay) and self._own_delays(taken[0]):
@@ -152,7 +154,7 @@ class Lowering:
     def _column(self, s: g.Stream, last, running: dict[str, Running]) -> Column:
         fallible = self.fallible[s.id]
         cells = [self._cell(d) for d in s.deps]
-        zero = F.col(TS) == 0
+        zero = self.timeline.zero()
         if isinstance(s, g.Nil):
             return F.lit(None).cast(s.type.spark)
         if isinstance(s, g.Time):
@@ -214,7 +216,7 @@ class Lowering:
             return F.when(c.present, F.col(name))
         init = literal(s.init.value, s.type)
         total = F.coalesce(F.col(name), F.lit(0).cast("long")) + init if s.shape in ("count", "sum") else {"max": F.greatest, "min": F.least}[s.shape](F.col(name), init)
-        return F.when(c.present | (F.col(TS) == 0), total)
+        return F.when(c.present | self.timeline.zero(), total)
 
     def _period(self, s: g.Period) -> None:
         ticks = self.last_input.select(*self.timeline.keys, F.explode(F.expr(f"sequence(0L, _horizon, {s.every}L)")).alias(TS), F.lit(True).alias(_name(s)))

@@ -3,6 +3,9 @@
 A tick is an instant at which any stream of the key has an event; time is a long. Streams of one
 timeline run independently for each key. Without key columns the whole table is one timeline.
 
+Where times repeat in a table, ``order`` names columns that put the rows of one time in order: each is a tick
+of its own, and ticks that aren't in the table come before them.
+
 Running values (last, count, sum, max, min) come from window functions that Spark hash-partitions by key:
 all streams share one shuffle and one sort. That leaves a key's ticks in one task. A ``split`` timeline
 instead range-partitions by (key, ts), computes inside each range and carries each range's totals to
@@ -57,12 +60,13 @@ _JOIN: dict[str, Callable] = {
 
 @dataclass(frozen=True)
 class Timeline:
-    """``df`` has the key columns, ``ts`` (long) and stream columns; (key, ts) is unique."""
+    """``df`` has the key columns, ``ts`` (long), the columns of ``order`` (long, from 0) and stream columns; (key, ts, order) is unique."""
 
     df: DataFrame
     keys: tuple[str, ...] = ()
     split: bool = False
     inputs: dict[str, Column] = field(default_factory=dict)
+    order: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if not self.keys and not self.split:
@@ -71,20 +75,24 @@ class Timeline:
     def with_df(self, df: DataFrame) -> Timeline:
         return replace(self, df=df)
 
+    def zero(self) -> Column:
+        """Whether a row is tick 0; where times repeat, that is not one of the table's rows."""
+        return reduce(lambda a, b: a & b, (F.col(o) < 0 for o in self.order), F.col(TS) == 0)
+
     def running(self, values: dict[str, Running]) -> Timeline:
         """The timeline with a column for each running value."""
         if not values:
             return self
         if not self.split:
-            return self.with_df(self.df.withColumns({n: _over(r, list(self.keys)) for n, r in values.items()}))
+            return self.with_df(self.df.withColumns({n: _over(r, list(self.keys), self.order) for n, r in values.items()}))
         return self._carried(values)
 
     def _carried(self, values: dict[str, Running]) -> Timeline:
         n = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
         keys = [*self.keys, _RANGE]
-        ranged = written(self.df.withColumns({f"_in_{n_}": r.value for n_, r in values.items()}).repartitionByRange(n, *self.keys, TS).withColumn(_RANGE, F.spark_partition_id()))
-        local = ranged.withColumns({n_: _over(replace(r, value=F.col(f"_in_{n_}")), keys) for n_, r in values.items()})
-        order = F.struct(TS)
+        ranged = written(self.df.withColumns({f"_in_{n_}": r.value for n_, r in values.items()}).repartitionByRange(n, *self.keys, TS, *self.order).withColumn(_RANGE, F.spark_partition_id()))
+        local = ranged.withColumns({n_: _over(replace(r, value=F.col(f"_in_{n_}")), keys, self.order) for n_, r in values.items()})
+        order = F.struct(TS, *self.order)
         totals = ranged.groupBy(*keys).agg(*(_total(r.kind, F.col(f"_in_{n_}"), order).alias(n_) for n_, r in values.items()))
         earlier = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
         # one row for each key and range that holds some of it
@@ -94,8 +102,8 @@ class Timeline:
         return self.with_df(joined.select(*out))
 
 
-def _over(r: Running, keys: list[str]) -> Column:
-    w = Window.partitionBy(*keys).orderBy(TS).rowsBetween(Window.unboundedPreceding, -1 if r.strict else 0)
+def _over(r: Running, keys: list[str], order: tuple[str, ...]) -> Column:
+    w = Window.partitionBy(*keys).orderBy(TS, *order).rowsBetween(Window.unboundedPreceding, -1 if r.strict else 0)
     return _LOCAL[r.kind](r.value).over(w)
 
 
@@ -106,20 +114,20 @@ def _total(kind: str, value: Column, order: Column) -> Column:
     return _LOCAL[kind](value)
 
 
-def from_events(df: DataFrame, streams: dict[str, Column], keys: tuple[str, ...] = (), ts: str | Column = TS, unique: bool = False, split: bool = False) -> Timeline:
+def from_events(df: DataFrame, streams: dict[str, Column], keys: tuple[str, ...] = (), ts: str | Column = TS, unique: bool = False, split: bool = False, order: tuple[str, ...] = ()) -> Timeline:
     """A timeline from rows of events: ``streams`` gives each stream's value in a row, null where it has no event.
 
     Two events of one stream at the same key and tick are an error, raised when the result is computed;
-    ``unique`` says that (key, ts) is unique, which saves the check and its shuffle.
+    ``unique`` says that (key, ts) is unique, which saves the check and its shuffle. With ``order`` each row is a tick of its own.
     """
     at = F.col(ts) if isinstance(ts, str) else ts
-    rows = df.select(*keys, at.cast("long").alias(TS), *(c.alias(n) for n, c in streams.items()))
-    if not unique:
+    rows = df.select(*keys, at.cast("long").alias(TS), *order, *(c.alias(n) for n, c in streams.items()))
+    if not unique and not order:
         once = lambda n: F.when(F.count(n) > 1, F.raise_error(F.lit(f"two events of {n} at the same time"))).otherwise(F.first(n, ignorenulls=True))
         if keys and not split:
             rows = rows.repartition(*keys)  # serves this grouping and the windows after it
         rows = rows.groupBy(*keys, TS).agg(*(once(n).alias(n) for n in streams)) if streams else rows.distinct()
-    return Timeline(rows, tuple(keys), split)
+    return Timeline(rows, tuple(keys), split, order=tuple(order))
 
 
 def from_long(df: DataFrame, types: dict[str, str], keys: tuple[str, ...] = (), split: bool = False) -> Timeline:
@@ -132,13 +140,14 @@ def from_long(df: DataFrame, types: dict[str, str], keys: tuple[str, ...] = (),
 
 def union_ticks(timeline: Timeline, more: DataFrame) -> Timeline:
     """The timeline with the rows of ``more`` (some of its columns): equal ticks become one row, by the first value of each column."""
-    both = timeline.df.unionByName(more, allowMissingColumns=True)
+    both = timeline.df.unionByName(more.withColumns({o: F.lit(-1).cast("long") for o in timeline.order}), allowMissingColumns=True)
     if timeline.keys and not timeline.split:
         both = both.repartition(*timeline.keys)  # serves this grouping and all windows after it
-    rest = [c for c in both.columns if c not in timeline.keys and c != TS]
+    tick = [*timeline.keys, TS, *timeline.order]
+    rest = [c for c in both.columns if c not in tick]
     if not rest:
         return timeline.with_df(both.distinct())
-    return timeline.with_df(both.groupBy(*timeline.keys, TS).agg(*(F.first(c, ignorenulls=True).alias(c) for c in rest)))
+    return timeline.with_df(both.groupBy(*tick).agg(*(F.first(c, ignorenulls=True).alias(c) for c in rest)))
 
 
 def horizon(timeline: Timeline) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline import shared_folder
@@ -155,12 +155,12 @@ def _times(df: DataFrame) -> DataFrame:
 
 
 def _trace(spark: SparkSession, sf_dir: str, line: str, header: str | None = None) -> str:
-    """The table written as one trace file, as a trace is ordered by time from line to line."""
+    """The table written as one trace file, as a trace is ordered by time from line to line; the lines of one time by their text."""
     path = f"{shared_folder(spark)}/tideline-trace-{uuid.uuid4().hex}"
     rows = _times(spark.read.parquet(f"{sf_dir}/events.parquet")).select(TS, F.expr(line).alias("line"))
     if header is not None:
         rows = rows.unionByName(spark.createDataFrame([(-1, header)], rows.schema))
-    rows.coalesce(1).sortWithinPartitions(TS).select("line").write.text(path)
+    rows.coalesce(1).sortWithinPartitions(TS, "line").select("line").write.text(path)
     return path
 
 
@@ -170,9 +170,14 @@ _ONE = f"""with s as (select epoch_us(ts) - 1704067200000000 as ts, event_type a
 
 @_named
 def text_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text trace read back: counts of clicks and the purchase before, over one timeline without key."""
+    """A text trace read back: counts of clicks and the purchase before, over one timeline without key.
+
+    Users' events may share their time. Each is a tick, but the clicks of one time count together, as in the SQL.
+    """
     spec = compile_spec("in click: Events[Int]\nin purchase: Events[Int]\nout count(click) as clicks\nout prev(purchase) as before")
-    return outputs(spec.outputs, trace.read_text(spark, _trace(spark, sf_dir, _INT_LINE), {n: s.type for n, s in spec.inputs.items()}))
+    found = outputs(spec.outputs, trace.read_text(spark, _trace(spark, sf_dir, _INT_LINE), {n: s.type for n, s in spec.inputs.items()}, repeated=True))
+    together = F.max("clicks").over(Window.partitionBy(TS, F.col("clicks") > 0))  # the count of 0 at tick 0 stays
+    return found.withColumn("clicks", F.when(F.col("clicks").isNotNull(), together))
 
 
 _SQL["text_trace"] = f"""{_ONE}, m as (select ts, case when kind = 'click' then count(*) filter (kind = 'click') over (order by ts) end as clicks,
@@ -184,7 +189,7 @@ select * from m where clicks is not null or "before" is not null union all selec
 def csv_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV trace with an expression in a cell and empty cells."""
     line = """concat(ts, ',', if(kind = 'click', concat(cents, ' + 1'), ''), ',"', kind, '"')"""
-    return trace.read_csv(spark, _trace(spark, sf_dir, line, "time,x,kind"), {"x": INT, "kind": STRING}).df
+    return trace.read_csv(spark, _trace(spark, sf_dir, line, "time,x,kind"), {"x": INT, "kind": STRING}, repeated=True).df.select(TS, "x", "kind")
 
 
 _SQL["csv_trace"] = f"{_ONE} select ts, case when kind = 'click' then cents + 1 end as x, kind from s"
@@ -224,7 +229,7 @@ _SQL["trace_open_range"] = "select unnest(range(29990, 30001)) as ts, 1::bigint
 @_named
 def trace_abort_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event and n more."""
-    return trace.read_text(spark, _trace(spark, sf_dir, _INT_LINE), {"click": INT, "view": INT}, abort_at=40).df
+    return trace.read_text(spark, _trace(spark, sf_dir, _INT_LINE), {"click": INT, "view": INT}, abort_at=40, repeated=True).df.select(TS, "click", "view")
 
 
 _SQL["trace_abort_at"] = f"{_ONE} select ts, case when kind = 'click' then cents end as click, case when kind = 'view' then cents end as view from (select * from s order by ts limit 41)"
@@ -234,7 +239,7 @@ _SQL["trace_abort_at"] = f"{_ONE} select ts, case when kind = 'click' then cents
 def trace_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The input as events again, as text."""
     types = {"click": INT, "signup": INT}
-    return trace.flattened(trace.read_text(spark, _trace(spark, sf_dir, _INT_LINE), types), types)
+    return trace.flattened(trace.read_text(spark, _trace(spark, sf_dir, _INT_LINE), types, repeated=True), types)
 
 
 _SQL["trace_flattened"] = f"""{_ONE} select ts, kind as stream, cents::varchar as "value" from s where kind in ('click', 'signup')"""
@@ -260,7 +265,7 @@ def json_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tideline-trace-{uuid.uuid4().hex}"
     _times(spark.read.parquet(f"{sf_dir}/events.parquet")).select(F.to_json(F.struct(TS, F.col("kind").alias("k"), F.to_json(F.struct(F.struct(F.col("cents").alias("n"), F.col("kind").alias("s")).alias("a"))).alias("record"))).alias("line")).write.text(path)
     spec = compile_spec('in record: Events[String]\nout CTF.getInt(record, "a.n") as n\nout CTF.getString(record, "a.s") as s')
-    return outputs(spec.outputs, trace.read_json(spark, path, {"record": STRING}, ("k",)))
+    return outputs(spec.outputs, trace.read_json(spark, path, {"record": STRING}, ("k",), repeated=True))
 
 
 _SQL["json_trace"] = f"{_ONE} select kind as k, ts, cents as n, kind as s from s"
