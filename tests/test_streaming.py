@@ -1,5 +1,7 @@
 """The push engine, and Structured Streaming against the batch result."""
 
+import time
+
 import pytest
 
 from tideline.operators.lowering import events
@@ -94,3 +96,53 @@ def test_silent_keys_are_forgotten(spark, tmp_path):
         got = streamed(spark, tmp_path, spec, expire=17_000)
     assert [r[1:] for r in got if r[0] == "a"] == [(0, "total", "0"), (0, "total", "0"), (1000, "total", "1"), (21_000, "total", "2")]
     assert [r[1:] for r in got if r[0] == "b"] == [(0, "total", "0"), (1500, "total", "5"), (4000, "total", "6"), (21_000, "total", "8")]
+
+
+def test_keys_may_share_states(spark, tmp_path):
+    spec = compile_spec(SPEC)
+    # more keys than states, one of them null, some silent in later batches, one forgotten
+    parts = [[(k, 1000 + i, i, True if i % 2 else None) for i, k in enumerate([None, *"abcdefgh"])], [(k, 5000, 2, None) for k in "abcd"], [(None, 9000, 1, None), ("a", 9000, 3, True), ("z", 20_000, 0, None)], [("b", 21_000, 1, None), ("z", 60_000, 0, None)]]
+    found = {}
+    for groups in (None, 3):
+        folder = tmp_path / str(groups)
+        for i, rows in enumerate(parts):
+            feed(spark, folder, i, rows)
+            stream = spark.readStream.schema(ROWS).option("recursiveFileLookup", True).json(str(folder / "in"))
+            out = evaluate(stream, spec, "k", expire=14_000, groups=groups)
+            out.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "ck")).trigger(availableNow=True).start().awaitTermination()
+        found[groups] = spark.read.schema(out.schema).parquet(str(folder / "out")).collect()
+    # at 60,000 the watermark stands; a state without older events isn't called for it
+    first, second = (sorted((r[0] or "", *r[1:]) for r in rows if r[1] < 60_000) for rows in found.values())
+    assert first == second and {r[0] for r in first} == {"", *"abcdefgh", "z"}
+    with pytest.raises(ValueError, match="integers or strings"):
+        evaluate(spark.readStream.schema("k double, ts long, x long, u boolean").json(str(tmp_path)), spec, "k", groups=3)
+
+
+def test_streamed_totals_hands_over_no_state_for_each_key(spark, tmp_path):
+    """A state costs milliseconds, so their number must not grow with the keys."""
+    from tideline.plans.language_queries import queries
+
+    folder = str(tmp_path / "in")
+    events = spark.range(3000).selectExpr("id as event_id", "timestamp_micros(1704153600000000 + id) as ts", "id as user_id", "'click' as event_type", "1.0D as value", "'' as props")
+    events.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    seen = []
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event): ...
+        def onQueryProgress(self, event):
+            seen.extend(s.numRowsTotal for s in event.progress.stateOperators)
+        def onQueryIdle(self, event): ...
+        def onQueryTerminated(self, event): ...
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    try:
+        assert queries()["streamed_totals"](spark, folder).count() == 6000
+        for _ in range(100):
+            if seen:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert 0 < max(seen) <= 2048

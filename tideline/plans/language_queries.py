@@ -279,7 +279,7 @@ def streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events[.]parquet")
     stream = _times(df).select("user_id", TS, "cents", F.when(F.col("kind") == "click", F.col("cents")).alias("click"))
     path = f"{shared_folder(spark)}/tideline-stream-{uuid.uuid4().hex}"
-    out = evaluate(stream, spec, "user_id")
+    out = evaluate(stream, spec, "user_id", groups=2048)  # the whole table is one batch, with events of all keys
     query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")
